@@ -110,10 +110,18 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def unique(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: faster here than hashing."""
+    if not len(x):
+        return x
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def distinct_per_text(offsets: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, code) pairs without repeats."""
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
-    pair = np.unique(owner * max(size, 1) + codes)
+    pair = unique(owner * max(size, 1) + codes)
     return pair // max(size, 1), pair % max(size, 1)
 
 
