@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import binary_tokens
-from .common import read_table
+from . import binary_tokens, jaccard, langid, quality, topk, toxicity
+from .common import read_table, remainder
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 
@@ -18,13 +19,61 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(by: int, value: int):
+    return F.coalesce(remainder("doc_id", by) == value, F.lit(False)).alias("held_out")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(remainder("doc_id", 3) != 1))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(3, 1), "score", "predicted")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(rows, F.col("vec_id") % 20 == 0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM c AS q JOIN c ON c.i = q.i AND c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
+"""
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs, docs.filter(remainder("doc_id", 3) != 1))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(3, 1), "lang_pred", "score")
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return jaccard.classes_of(docs, 3, 90, 100).withColumnRenamed("n_grams", "n_shingles")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(remainder("doc_id", 4) != 2))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2), "score", "predicted")
+
+
 def op10_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tokens.encode_and_read(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+QUERIES = (op2_toxicity, op4_topk, op5_language_id, op8_ngram_jaccard, op9_quality, op10_binary_tokens)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_binary_tokens": op10_binary_tokens}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_topk": OP4_SQL}
