@@ -17,6 +17,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from . import common
 
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 SENTINEL = "\x01"
 BLOCKS = T.StructType(
     [
@@ -90,68 +91,89 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-        self.sentinel = np.array(self.ids([SENTINEL])[0], np.uint32)
+        self.known: dict[str, bytes] = {"": b""}
+        self.sentinel = self.ids([SENTINEL])[0][0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if SENTINEL not in w]
-        for i in range(0, len(plain), 64):
-            group = plain[i : i + 64]
-            ids = np.array(self.ids([f" {SENTINEL} ".join(group)])[0], np.uint32)
-            cut = np.flatnonzero(ids == self.sentinel[0])
-            if len(cut) != len(group) - 1:  # a word of its own holds the sentinel's id
-                self.known.update((w, np.array(x, np.uint32)) for w, x in zip(group, self.ids(group), strict=True))
+        letters = [w for w in words if w.isascii() and w.isalpha()]
+        self.learn_groups(letters, " ", lambda ids: np.flatnonzero(self.closes[ids]) + 1, 0)
+        others = [w for w in words if not (w.isascii() and w.isalpha()) and SENTINEL not in w]
+        self.learn_groups(others, f" {SENTINEL} ", lambda ids: np.append(np.flatnonzero(ids == self.sentinel), len(ids)), 1)
+        self.known.update((w, np.array(self.ids([w])[0], np.uint32).tobytes()) for w in words if SENTINEL in w)
+
+    def learn_groups(self, words: list[str], between: str, ends, skip: int) -> None:
+        """Encode words in groups; ``ends`` finds where each word's ids end, ``skip`` ids lie between words."""
+        for i in range(0, len(words), 64):
+            group = words[i : i + 64]
+            ids = np.array(self.ids([between.join(group)])[0], np.uint32)
+            end = ends(ids)
+            if len(end) != len(group):
+                self.known.update((w, np.array(x, np.uint32).tobytes()) for w, x in zip(group, self.ids(group), strict=True))
                 continue
-            for w, start, stop in zip(group, [0, *(cut + 1)], [*cut, len(ids)], strict=True):
-                self.known[w] = ids[start:stop].copy()
-        self.known.update((w, np.array(self.ids([w])[0], np.uint32)) for w in words if SENTINEL in w)
+            raw, end, start = ids.tobytes(), (end * 4).tolist(), 0
+            for w, stop in zip(group, end, strict=True):
+                self.known[w] = raw[start:stop]
+                start = stop + 4 * skip
 
-    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the distinct words, and each word's offsets in them."""
-        if not len(words):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two piece codes for each word, and the flat ids and offsets of the pieces."""
         parts = pc.extract_regex(words, r"^(?P<stem>[A-Za-z]+)(?P<tail>[.,;:!?]+)?$")
         whole = pc.is_null(parts)
-        stems = pc.if_else(whole, words, pc.ascii_lower(pc.fill_null(pc.struct_field(parts, "stem"), ""))).to_pylist()
-        tails = pc.if_else(whole, "", pc.fill_null(pc.struct_field(parts, "tail"), "")).to_pylist()
-        wanted = {*stems, *tails}
-        new = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(wanted)
+        stem = pc.if_else(whole, words, pc.ascii_lower(pc.fill_null(pc.struct_field(parts, "stem"), "")))
+        tail = pc.if_else(whole, "", pc.fill_null(pc.struct_field(parts, "tail"), ""))
+        coded = pa.concat_arrays([stem, tail]).dictionary_encode()
+        wanted = coded.dictionary.to_pylist()
+        known = self.known
+        new = [w for w in wanted if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            known[""] = b""
+            new = [w for w in wanted if w]
         self.learn(new)
-        pieces = [self.known[x] for pair in zip(stems, tails, strict=True) for x in pair]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        return np.concatenate(pieces), np.concatenate([[0], np.cumsum(size)[1::2]])
+        ids = [known[w] for w in wanted]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = coded.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T
+        return code, np.frombuffer(b"".join(ids), np.uint32), np.concatenate([[0], np.cumsum(size)])
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each text."""
         offsets, codes, words = common.split_words(text)
-        flat, at = self.encode_words(words)
-        size = np.diff(at)[codes] if len(codes) else np.zeros(0, np.int64)
-        total = common.segment_sum(size, offsets)
+        if not len(words):
+            return np.full(len(text), end, np.uint32), np.ones(len(text), np.int64)
+        two, flat, at = self.pieces(words)
+        piece = two[codes].reshape(-1)
+        size = np.diff(at)[piece]
+        total = common.segment_sum(size, offsets * 2)
         counts = total + 1
-        base = np.concatenate([[0], np.cumsum(counts)])
-        out = np.full(base[-1], end, np.uint32)
-        if len(codes):
-            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            owner = np.repeat(np.arange(len(total)), total)
-            out[np.arange(len(inside)) + owner] = flat[np.repeat(at[codes], size) + inside]
+        out = np.full(counts.sum(), end, np.uint32)
+        where = np.ones(len(out), bool)
+        where[np.cumsum(counts) - 1] = False
+        shift = at[piece] - np.concatenate([[0], np.cumsum(size)[:-1]])
+        out[where] = flat[np.arange(size.sum()) + np.repeat(shift, size)]
         return out, counts
 
 
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker: tasks of the same worker share the words met before."""
+    return WordEncoder(path)
+
+
 def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Block rows in ascending doc_id order within and across shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(tokenizer_path)
+        coder = encoder(tokenizer_path)
         bits = max(width_of(coder.tokenizer.get_vocab_size()), width_of(end_id + 1))
         block, before, shard = 0, 0, None
         for batch in batches:
-            for part in common.slices(batch, most=common.SLICE_BYTES // 2):
+            for part in common.slices(batch, most=common.SLICE_BYTES):
                 ids, counts = coder.encode(common.text_of(part), end_id)
                 doc_ids = part.column("doc_id").to_pylist()
                 shard = part.column("shard")[0].as_py()
