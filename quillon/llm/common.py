@@ -187,3 +187,30 @@ def texts_of(docs: DataFrame, chosen: DataFrame, label: str, most_bytes: int) ->
     classes = max(1, ids.select(label).distinct().count())
     table = kept.withColumn("_size", size).filter(F.col("_size") <= most_bytes // classes).orderBy(draw, "doc_id").select("text", label).toArrow()
     return pc.fill_null(table["text"], "").to_pylist(), table[label].to_pylist()
+
+
+# --- components --------------------------------------------------------------
+def components(links: DataFrame) -> DataFrame:
+    """node and root (the smallest node reachable) of every node with a link.
+
+    Star contraction: each round hangs a node's larger neighbours on its smallest
+    one, then each node's smaller neighbours on the smallest of them, until
+    nothing changes.  Minima are combined before the shuffle; each round is cut
+    off in the checkpoint folder.
+    """
+    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    last = None
+    while True:
+        two = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = two.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = stage(small)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == last:
+            break
+        last = now
+    root = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return root.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

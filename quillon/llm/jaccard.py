@@ -289,33 +289,6 @@ def overlaps(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum(shared).alias("common"), F.sum((F.size("ga") + F.size("gb")).cast("long")).alias("both"))
 
 
-# --- components --------------------------------------------------------------
-def components(links: DataFrame) -> DataFrame:
-    """node and root (the smallest node reachable) of every node with a link.
-
-    Star contraction: each round hangs a node's larger neighbours on its smallest
-    one, then each node's smaller neighbours on the smallest of them, until
-    nothing changes.  Minima are combined before the shuffle; each round is cut
-    off in the checkpoint folder.
-    """
-    edges = common.stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    last = None
-    while True:
-        two = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = two.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), "u").toDF("u", "v", "w")
-        small = hung.select("u", "v").filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.stage(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    root = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return root.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-
-
 # --- the operator --------------------------------------------------------------
 def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, links, roots): documents with their nodes, links between different sets found, components.
@@ -329,7 +302,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataF
     tried = common.stage(overlaps(docs, n, common.stage(star_candidates(docs, n, num, den, buckets))))
     similar = (F.col("common") * den) >= (F.col("both") - F.col("common")) * num
     links = tried.filter(similar).select("a", "b")
-    roots = components(links)
+    roots = common.components(links)
     missed = tried.filter(~similar).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     touched = missed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
     again = touched.join(roots, "root", "left").select(F.coalesce("node", "root").alias("node"), "root").distinct()
@@ -339,7 +312,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataF
         if not second.isEmpty():
             more = overlaps(docs, n, second).filter(similar).select("a", "b")
             links = common.stage(links.unionByName(more))
-            roots = components(links)
+            roots = common.components(links)
     return sets, links, roots
 
 
