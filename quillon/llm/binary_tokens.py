@@ -187,6 +187,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
                     )
                     block, before, first = block + 1, before + n, last
 
+    common.ship_package(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(run, BLOCKS)
 
@@ -216,6 +217,7 @@ def read(spark, path: str) -> DataFrame:
                     names=["shard", "doc_id", "within", "n_tokens", "ids_crc32"],
                 )
 
+    common.ship_package(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # a row a shard
     base, bases = 0, []

@@ -8,7 +8,9 @@ once for each *distinct* word of a bounded slice and spread back by gather.
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_quillon_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="quillon-package-")) / "quillon.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._quillon_shipped = True
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    ship_package(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -138,6 +155,7 @@ def flat_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType, column: str = "text") -> DataFrame:
     """Apply ``work`` to bounded slices of each partition, without a shuffle."""
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

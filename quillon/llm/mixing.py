@@ -97,7 +97,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     open_weight = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     level = (F.sum("source_size").over(all_of) - capped) / open_weight
     found = listed.withColumn("level", F.when(F.col("cap") / F.col("weight") >= level, level))
-    found = found.withColumn("level", F.min("level").over(all_of))
+    found = found.withColumn("level", F.max("level").over(all_of))  # the first such source has the highest
     target = F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
     return found.select("sid", "source", "source_size", target.alias("target"))
 
@@ -128,3 +128,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 11)
     ranked = drawn.withColumn("rank", rank).join(counted, ["sid", "size", "part"])
     more = (F.col("before") + F.col("rank") <= F.col("extra")).cast("long")
     return ranked.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more)).alias("taken"))
+
+
+def apply(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 11) -> DataFrame:
+    """``docs`` as mixed: each row as many times as it is taken, 0 to ``MOST``.
+
+    Blank texts have no words to take and stay once.  Rows that share a doc_id
+    have their copies added up and shared out evenly, the first rows by text one
+    more.
+    """
+    found = mix(docs, weights, seed)
+    times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int")
+    plan = common.stage(found.select(F.col("doc_id").alias("_doc"), times.alias("_times")))
+    per = plan.groupBy("_doc").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows"))
+    joined = docs.join(per, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    if not per.filter("_rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        joined = joined.withColumn("_place", place).withColumn("_times", F.expr("_times div _rows + if(_place <= _times % _rows, 1, 0)"))
+    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
+    return repeated.select(*docs.columns)

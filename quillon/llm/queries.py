@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_tokens, jaccard, langid, quality, topk, toxicity
+from . import binary_tokens, decontamination, jaccard, langid, linededup, mixing, quality, tokencount, topk, toxicity
 from .common import read_table, remainder
 
 TOKENIZER_FILE = "word_bpe_49k.json"
+PIECES_FILE = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
@@ -23,12 +24,21 @@ def held_out(by: int, value: int):
     return F.coalesce(remainder("doc_id", by) == value, F.lit(False)).alias("held_out")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), (5, 2, 1))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(remainder("doc_id", 3) != 1))
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(3, 1), "score", "predicted")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id and edits of every benchmark item within a fifth of its words in word edits."""
+    return decontamination.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.search(rows, F.col("vec_id") % 20 == 0)
@@ -53,6 +63,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines within two edits: doc_id, n_lines, n_links and dropped line numbers."""
+    return linededup.copies(read_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECES_FILE))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return jaccard.classes_of(docs, 3, 90, 100).withColumnRenamed("n_grams", "n_shingles")
@@ -68,7 +87,7 @@ def op10_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tokens.encode_and_read(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = (op2_toxicity, op4_topk, op5_language_id, op8_ngram_jaccard, op9_quality, op10_binary_tokens)
+QUERIES = (op1_mixing, op2_toxicity, op3_decontamination, op4_topk, op5_language_id, op6_line_dedup, op7_token_counts, op8_ngram_jaccard, op9_quality, op10_binary_tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

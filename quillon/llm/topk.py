@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 QUERY_BLOCK = 2048
 ROW_BLOCK = 4096
 SLACK = 1e-6
@@ -132,6 +134,7 @@ def against(ids: np.ndarray, x: np.ndarray, k: int):
 def search(rows: DataFrame, is_query, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of each query row."""
     spark = rows.sparkSession
+    common.ship_package(spark)
     table = usable(rows, scale)
     asked = table.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     dims = [r[0] for r in asked.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
