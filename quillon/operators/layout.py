@@ -59,14 +59,15 @@ def flatten(polygons: DataFrame, references: DataFrame, keys: list[str], levels:
     return own.unionByName(below)
 
 
-def changed_cells(a: DataFrame, b: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells whose own geometry differs, closed upwards over references; only these need a boolean.
+def changed_cells(a: DataFrame, b: DataFrame, references: DataFrame, keys: list[str], more: DataFrame | None = None) -> DataFrame:
+    """Cells whose own geometry differs, and those of ``more``, closed upwards over references; only these need a boolean.
 
     Geometry is compared by a sum of hashes, so it needs one aggregation.
     """
     digest = lambda df, name: df.groupBy(*keys, "cell", "layer", "datatype").agg(F.sum(F.xxhash64("points").cast("decimal(38,0)")).alias(name), F.count("*").alias(f"{name}_n"))
     both = digest(a, "ha").join(digest(b, "hb"), [*keys, "cell", "layer", "datatype"], "full")
-    frontier = seen = both.filter(~F.col("ha").eqNullSafe(F.col("hb")) | ~F.col("ha_n").eqNullSafe(F.col("hb_n"))).select(*keys, "cell").distinct()
+    first = both.filter(~F.col("ha").eqNullSafe(F.col("hb")) | ~F.col("ha_n").eqNullSafe(F.col("hb_n"))).select(*keys, "cell")
+    frontier = seen = (first if more is None else first.unionByName(more.select(*keys, "cell"))).distinct()
     up = references.select(*keys, F.col("cell").alias("_parent"), F.col("child").alias("cell")).distinct()
     while True:
         frontier = frontier.join(up, [*keys, "cell"]).select(*keys, F.col("_parent").alias("cell")).distinct().join(seen, [*keys, "cell"], "left_anti")
