@@ -123,10 +123,10 @@ def within_cap(size: Column, cap: int = SIZE_CAP) -> Column:
     return size <= cap
 
 
-def side_warning(content: Column, path: Column, side: str, wanted: str = "xschem") -> Column:
+def side_warning(content: Column, path: Column, side: Column, wanted: str = "xschem") -> Column:
     """Warning of one side of a comparison: not UTF-8, or of another format; null if valid."""
     valid = F.is_valid_utf8(content.cast("string"))
-    return F.when(~valid, F.format_string("%s (%s): UTF-8 inválido", path, F.lit(side))).when(detect_format(content) != wanted, F.format_string("%s (%s): el formato no es %s", path, F.lit(side), F.lit(wanted)))
+    return F.when(~valid, F.format_string("%s (%s): UTF-8 inválido", path, side)).when(detect_format(content) != wanted, F.format_string("%s (%s): el formato no es %s", path, side, F.lit(wanted)))
 
 
 def layout_warning(code: Column, path: Column, side: Column, message: Column) -> Column:

@@ -12,23 +12,18 @@ from ..session import stage as checkpointed
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node) for every node reachable from each start, itself included.
 
-    ``edges`` are (child, parent), ``starts`` (start, node).  Each round doubles
-    the steps: jumps of length 2^k are joined with themselves, so a chain of n
-    commits takes log n rounds; distinct keeps merges from multiplying paths.
+    ``edges`` are (child, parent), ``starts`` (start, node).  Round k follows
+    jumps of exactly 2^k steps from all nodes within fewer than 2^k, so a chain
+    of n commits takes log n rounds; distinct keeps merges from multiplying paths.
     """
     jumps = checkpointed(edges.select(F.col("child").alias("u"), F.col("parent").alias("v")).filter("u is not null and v is not null").distinct())
-    seen = checkpointed(starts.select("start", "node").distinct())
-    known = seen.count()
-    while True:
+    seen = starts.select("start", "node").distinct()
+    while not jumps.isEmpty():
         step = seen.join(jumps, seen["node"] == jumps["u"]).select("start", F.col("v").alias("node"))
         seen = checkpointed(seen.unionByName(step).distinct())
-        now = seen.count()
-        if now == known:
-            return seen
-        known = now
-        far = jumps.alias("a").join(jumps.alias("b"), F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.v").alias("v"))
-        live = seen.select(F.col("node").alias("u")).distinct()
-        jumps = checkpointed(jumps.unionByName(far).distinct().join(live, "u", "left_semi"))
+        twice = jumps.alias("a").join(jumps.alias("b"), F.col("a.v") == F.col("b.u"))
+        jumps = checkpointed(twice.select(F.col("a.u").alias("u"), F.col("b.v").alias("v")).distinct())
+    return seen
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:

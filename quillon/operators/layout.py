@@ -88,17 +88,17 @@ def rect_xor(rects: DataFrame, keys: list[str]) -> DataFrame:
     solid = rects.filter("x1 < x2 and y1 < y2")
     edges = solid.select(*keys, F.explode(F.array("x1", "x2")).alias("x")).distinct()
     by_x = Window.partitionBy(*keys).orderBy("x")
-    slabs = edges.withColumn("k", F.row_number().over(by_x)).withColumn("x_next", F.lead("x").over(by_x))
-    first = slabs.select(*keys, F.col("x").alias("x1"), F.col("k").alias("k1"))
-    last = slabs.select(*keys, F.col("x").alias("x2"), F.col("k").alias("k2"))
-    spans = solid.join(first, [*keys, "x1"]).join(last, [*keys, "x2"]).withColumn("k", F.explode(F.sequence("k1", F.col("k2") - 1)))
+    slabs = edges.withColumn("_k", F.row_number().over(by_x)).withColumn("x_next", F.lead("x").over(by_x))
+    first = slabs.select(*keys, F.col("x").alias("x1"), F.col("_k").alias("_k1"))
+    last = slabs.select(*keys, F.col("x").alias("x2"), F.col("_k").alias("_k2"))
+    spans = solid.join(first, [*keys, "x1"]).join(last, [*keys, "x2"]).withColumn("_k", F.explode(F.sequence("_k1", F.col("_k2") - 1)))
     edge = F.explode(F.array(F.struct(F.col("y1").alias("y"), F.lit(1).alias("s")), F.struct(F.col("y2").alias("y"), F.lit(-1).alias("s")))).alias("e")
-    events = spans.select(*keys, "k", "side", edge)
-    sums = events.groupBy(*keys, "k", F.col("e.y").alias("y")).agg(F.sum(F.when(F.col("side") == "a", F.col("e.s")).otherwise(0)).alias("da"), F.sum(F.when(F.col("side") == "b", F.col("e.s")).otherwise(0)).alias("db"))
-    by_y = Window.partitionBy(*keys, "k").orderBy("y")
+    events = spans.select(*keys, "_k", "side", edge)
+    sums = events.groupBy(*keys, "_k", F.col("e.y").alias("y")).agg(F.sum(F.when(F.col("side") == "a", F.col("e.s")).otherwise(0)).alias("da"), F.sum(F.when(F.col("side") == "b", F.col("e.s")).otherwise(0)).alias("db"))
+    by_y = Window.partitionBy(*keys, "_k").orderBy("y")
     cover = sums.withColumn("ca", F.sum("da").over(by_y)).withColumn("cb", F.sum("db").over(by_y)).withColumn("y_next", F.lead("y").over(by_y))
     found = cover.filter("y_next is not null and (ca > 0) <> (cb > 0)")
-    return found.join(slabs, [*keys, "k"]).select(*keys, F.col("x").alias("x1"), F.col("x_next").alias("x2"), F.col("y").alias("y1"), F.col("y_next").alias("y2"), F.when(F.col("cb") > 0, "added").otherwise("removed").alias("side"))
+    return found.join(slabs, [*keys, "_k"]).select(*keys, F.col("x").alias("x1"), F.col("x_next").alias("x2"), F.col("y").alias("y1"), F.col("y_next").alias("y2"), F.when(F.col("cb") > 0, "added").otherwise("removed").alias("side"))
 
 
 def tile_rects(rects: DataFrame, size: float) -> DataFrame:
@@ -181,7 +181,7 @@ def polygon_xor(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     differ = both.groupBy(*keys).agg(sum_of("a").alias("_a"), sum_of("b").alias("_b")).filter("_a <> _b").select(*keys)
     schema = StructType([*(f for f in both.select(*keys).schema.fields), StructField("side", StringType()), StructField("points", ArrayType(point))])
 
-    def work(key, table: pd.DataFrame) -> pd.DataFrame:
+    def work(key, table):
         rings = {s: [np.array([(p["x"], p["y"]) for p in ring]) for ring in table.loc[table["side"] == s, "points"] if len(ring) > 2] for s in "ab"}
         pieces = trapezoid_xor(rings["a"], rings["b"])
         rows = [(*key, side, [{"x": x, "y": y} for x, y in ring]) for side, ring in pieces]

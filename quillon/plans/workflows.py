@@ -126,7 +126,7 @@ def two_sides(paired: DataFrame, keys: list[str], driver: str, missing_side: str
     own = paired.filter(P.driver_of(F.col("path")) == driver)
     wanted = "xschem" if driver == "schematic" else "gds"
     both = own.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("content")) for s, c in (("a", "before"), ("b", "after"))])).alias("s")).select(*keys, "s.*")
-    warn = F.when(F.col("content").isNotNull(), P.side_warning(F.col("content"), F.col("path"), "A", wanted) if driver == "schematic" else F.when(P.detect_format(F.col("content")) != "gds", P.layout_warning(F.lit("not_gdsii"), F.col("path"), F.upper("side"), F.lit(""))))
+    warn = F.when(F.col("content").isNotNull(), P.side_warning(F.col("content"), F.col("path"), F.upper("side"), wanted) if driver == "schematic" else F.when(P.detect_format(F.col("content")) != "gds", P.layout_warning(F.lit("not_gdsii"), F.col("path"), F.upper("side"), F.lit(""))))
     if missing_side == "warn":
         warn = F.when(F.col("content").isNull(), F.format_string("%s (%s): lado vacío", "path", F.upper("side"))).otherwise(warn)
     checked = both.withColumn("message", warn)
