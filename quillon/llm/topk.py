@@ -7,8 +7,8 @@ and the deviation are kept.  Within a segment of n components
 
 so a sum over segments bounds the distance from below, and with the two norms it
 bounds the inner product (|q|^2 + |x|^2 - |q - x|^2) / 2 from above.  Bounds are
-taken coarse to fine; only pairs whose bound reaches the query's k-th score so
-far are computed exactly, in integers.
+taken coarse to fine, for a block of rows and the queries that still have a pair
+whose bound reaches their k-th score so far; only such pairs get exact scores.
 
 The query set is stated and goes over all rows in blocks: each block of queries
 is of bounded size and passes once over the table, each partition keeps the k best
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 QUERY_BLOCK = 2048
-ROW_BLOCK = 4096
+ROW_BLOCK = 1024
 SLACK = 1e-6
 
 
@@ -65,43 +65,43 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
-        self.exact = x.astype(np.int64)
         self.norm = (x * x).sum(axis=1)
         self.levels = [(s, statistics(x, s)) for s in segment_counts(x.shape[1])]
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
         self.floor = np.full(len(ids), -np.inf)
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Offer a block of rows: bounds coarse to fine, each for the queries still open, then exact scores."""
         x = rows.astype(np.float64)
         norm = (x * x).sum(axis=1)
-        q, r = np.nonzero(self.bound(*self.levels[0], x, norm) >= self.floor[:, None])
-        for segments, own in self.levels[1:]:
-            other = statistics(x, segments)
-            alive = []
-            for i in range(0, len(q), 1 << 16):
-                a, b = q[i : i + (1 << 16)], r[i : i + (1 << 16)]
-                low = ((own[a] - other[b]) ** 2).sum(axis=1)
-                alive.append((self.norm[a] + norm[b] - low) / 2 * (1 + SLACK) + SLACK * (self.norm[a] + norm[b]) >= self.floor[a])
-            keep = np.concatenate(alive) if alive else np.zeros(0, bool)
-            q, r = q[keep], r[keep]
-        whole = rows.astype(np.int64)
-        score = np.concatenate([np.einsum("ij,ij->i", self.exact[q[i : i + (1 << 16)]], whole[r[i : i + (1 << 16)]]) for i in range(0, len(q), 1 << 16)] or [np.zeros(0, np.int64)])
-        other = ids[r]
-        real = other != self.ids[q]
-        q, other, score = q[real], other[real], score[real]
-        order = np.lexsort((other, -score, q))
-        q, other, score = q[order], other[order], score[order]
-        first = np.searchsorted(q, np.arange(len(self.ids)), side="left")
-        last = np.minimum(np.searchsorted(q, np.arange(len(self.ids)), side="right"), first + self.k)
+        asked = np.arange(len(self.ids))
+        alive = np.ones((len(asked), len(ids)), bool)
+        for segments, own in self.levels:
+            most = own[asked] @ statistics(x, segments).T
+            most += SLACK * (self.norm[asked][:, None] + norm[None, :])
+            alive &= most >= self.floor[asked][:, None]
+            open_ = alive.any(axis=1)
+            asked, alive = asked[open_], alive[open_]
+            if not len(asked):
+                return
+        # whole numbers below 2^53: their products and sums are exact
+        score = np.where(alive & (self.ids[asked][:, None] != ids[None, :]), self.x[asked] @ x.T, -np.inf)
+        floor = self.floor[asked]
+        new = np.flatnonzero(floor == -np.inf)
+        if len(new) and len(ids) > self.k:
+            floor[new] = np.partition(score[new], -self.k, axis=1)[:, -self.k]
+        q, r = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+        order = np.lexsort((ids[r], -score[q, r], q))
+        q, r = q[order], r[order]
+        first = np.searchsorted(q, np.arange(len(asked)), side="left")
+        last = np.minimum(np.searchsorted(q, np.arange(len(asked)), side="right"), first + self.k)
         for i in np.flatnonzero(last > first):
-            found = sorted([*self.best[i], *zip((-score[first[i] : last[i]]).tolist(), other[first[i] : last[i]].tolist(), strict=True)])[: self.k]
-            self.best[i] = found
+            at = r[first[i] : last[i]]
+            k = asked[i]
+            found = sorted([*self.best[k], *zip((-score[i, at]).astype(np.int64).tolist(), ids[at].tolist(), strict=True)])[: self.k]
+            self.best[k] = found
             if len(found) == self.k:
-                self.floor[i] = -found[-1][0]
-
-    def bound(self, segments: int, own: np.ndarray, x: np.ndarray, norm: np.ndarray) -> np.ndarray:
-        """Upper bound of every inner product at the coarsest level: a sum of segment products."""
-        return (own @ statistics(x, segments).T) * (1 + SLACK) + SLACK * (self.norm[:, None] + norm[None, :])
+                self.floor[k] = -found[-1][0]
 
 
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
