@@ -31,38 +31,47 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """(start from 1, size) of segment i from 1 of a line of that length; the last segments are the longer ones."""
-    base = F.floor(length / parts).cast("int")
-    over = (length - base * parts).cast("int")
-    start = F.lit(1) + base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1 - parts) + over)
-    return start, base + F.when(F.lit(i) > F.lit(parts) - over, 1).otherwise(0)
+def with_segments(lines: DataFrame, tau: int) -> DataFrame:
+    """``lines`` (line, h) with its length and, for each length it meets, the size of the shorter
+    segments and the number of longer ones, as columns of their own so that none is worked out twice."""
+    out = lines.withColumn("n", F.char_length("line"))
+    for less in range(tau + 1):
+        out = out.withColumn(f"size{less}", F.floor((F.col("n") - less) / (tau + 1)).cast("int"))
+    for less in range(tau + 1):
+        out = out.withColumn(f"over{less}", F.col("n") - less - F.col(f"size{less}") * (tau + 1))
+    return out
+
+
+def segment(less: int, i: int, parts: int) -> tuple[Column, Column]:
+    """(start from 1, size) of segment i from 1 of a line shorter by ``less``; the last segments are the longer ones."""
+    base, over = F.col(f"size{less}"), F.col(f"over{less}")
+    start = base * (i - 1) + F.greatest(F.lit(0), over + (i - 1 - parts)) + 1
+    return start, base + (over >= parts + 1 - i).cast("int")
 
 
 def key(i: int, length: Column, text: Column) -> Column:
     return F.xxhash64(F.lit(i), length.cast("int"), text)
 
 
-def index_keys(line: Column, n: Column, tau: int) -> Column:
+def index_keys(tau: int) -> Column:
     out = []
     for i in range(1, tau + 2):
-        start, size = segment(n, i, tau + 1)
-        out.append(key(i, n, F.substring(line, start, size)))
+        start, size = segment(0, i, tau + 1)
+        out.append(key(i, F.col("n"), F.substring("line", start, size)))
     return F.array(*out)
 
 
-def probe_keys(line: Column, n: Column, tau: int) -> Column:
+def probe_keys(tau: int) -> Column:
     """Keys under which a line can meet an indexed line no longer than itself."""
     out = []
     for less in range(tau + 1):
-        length = n - less
         for i in range(1, tau + 2):
-            start, size = segment(length, i, tau + 1)
+            start, size = segment(less, i, tau + 1)
             low = max(-(i - 1), less - (tau + 1 - i))
             high = min(i - 1, less + (tau + 1 - i))
             for shift in range(low, high + 1):
                 at = start + shift
-                out.append(F.when((at >= 1) & (at + size - 1 <= n), key(i, length, F.substring(line, at, size))))
+                out.append(F.when((at >= 1) & (at + size - 1 <= F.col("n")), key(i, F.col("n") - less, F.substring("line", at, size))))
     return F.array(*out)
 
 
@@ -71,53 +80,46 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def band_distance(a: Column, b: Column, tau: int) -> Column:
-    """Edit distance of two lines, exact where it is at most tau; lines of at least tau characters.
+def band_distance(pairs: DataFrame, a: str, b: str, tau: int) -> DataFrame:
+    """``pairs`` with the edit distance of two columns as ``edits``: exact where it is at most tau.
 
-    Bit d of the band at character j of ``b`` stands for place j - tau + d of
-    ``a``.  ``up`` and ``down`` mark vertical differences +1 and -1.  The score runs
-    down the last diagonal of the band to the end of ``a`` and along it from there.
+    Lines have at least tau characters.  Bit d of the band at character j of ``b``
+    stands for place j - tau + d of ``a``.  ``up`` and ``down`` mark vertical differences
+    +1 and -1.  The score runs down the last diagonal of the band to the end of ``a`` and along it from there.
+    What a step needs of the whole lines is laid out before, in columns of its own
+    behind an exchange that also spreads the pairs.
     """
     width = 2 * tau + 1
     full = (1 << width) - 1
-
-    def masks(left: Column, right: Column) -> Column:
-        """For each character of ``b`` the places of ``a`` in the band that hold it, as bits."""
-        padded = F.concat(F.array_repeat(F.lit(None).cast("string"), tau), left, F.array_repeat(F.lit(None).cast("string"), F.greatest(F.size(right) - F.size(left), F.lit(0)) + tau + 1))
-
-        def mask(char: Column, j: Column) -> Column:
-            bits = [F.when(F.get(padded, j + d) == char, F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)]
-            return sum(bits[1:], bits[0]).cast("long")
-
-        return F.transform(right, mask)
-
-    def step(m: Column):
-        def run(state: Column, match: Column) -> Column:
-            up, down = state["up"], state["down"]
-            cross = ((match.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(match).bitwiseOR(down)).bitwiseAND(F.lit(full))
-
-            def after(x: Column) -> Column:
-                plus = down.bitwiseOR(F.lit(full).bitwiseXOR(x.bitwiseOR(up)))
-                minus = x.bitwiseAND(up)
-                lower = F.shiftright(x, 1)
-                j = state["j"] + 1
-                at = (m - j + tau).cast("int")
-                along = F.getbit(plus, F.greatest(at, F.lit(0))) - F.getbit(minus, F.greatest(at, F.lit(0)))
-                grow = F.when(j + tau <= m, 1 - F.getbit(x, F.lit(width - 1))).otherwise(along)
-                return F.struct(
-                    minus.bitwiseOR(F.lit(full).bitwiseXOR(lower.bitwiseOR(plus))).alias("up"),
-                    lower.bitwiseAND(plus).alias("down"),
-                    (state["score"] + grow).cast("long").alias("score"),
-                    j.cast("long").alias("j"),
-                )
-
-            return let(cross, after)
-
-        return run
+    left, right = F.split(F.col(a), ""), F.split(F.col(b), "")
+    blank = lambda n: F.array_repeat(F.lit(None).cast("string"), n)
+    laid = pairs.withColumn("_right", right).withColumn("_m", F.char_length(a)).withColumn("_places", F.concat(blank(F.lit(tau)), left, blank(F.greatest(F.char_length(b) - F.char_length(a), F.lit(0)) + tau + 1)))
+    spread = min(10_000, laid.count() // 200 + 1)
+    laid = laid.repartition(spread, a, b)
+
+    def mask(char: Column, j: Column) -> Column:
+        """The places of ``a`` in the band that hold this character of ``b``, as bits."""
+        bits = [F.when(F.get("_places", j + d) == char, F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)]
+        return sum(bits[1:], bits[0]).cast("long")
+
+    def step(state: Column, match: Column) -> Column:
+        up, down, m = state["up"], state["down"], F.col("_m")
+        cross = ((match.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(match).bitwiseOR(down)).bitwiseAND(F.lit(full))
+
+        def after(x: Column) -> Column:
+            plus = down.bitwiseOR(F.lit(full).bitwiseXOR(x.bitwiseOR(up)))
+            minus = x.bitwiseAND(up)
+            lower = F.shiftright(x, 1)
+            j = state["j"] + 1
+            at = F.greatest((m - j + tau).cast("int"), F.lit(0))
+            grow = F.when(j + tau <= m, 1 - F.getbit(x, F.lit(width - 1))).otherwise(F.getbit(plus, at) - F.getbit(minus, at))
+            return F.struct(minus.bitwiseOR(F.lit(full).bitwiseXOR(lower.bitwiseOR(plus))).alias("up"), lower.bitwiseAND(plus).alias("down"), (state["score"] + grow).cast("long").alias("score"), j.cast("long").alias("j"))
+
+        return let(cross, after)
 
     first = F.struct(F.lit(full ^ ((1 << tau) - 1)).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.lit(tau).cast("long").alias("score"), F.lit(0).cast("long").alias("j"))
-    left, right = F.split(a, ""), F.split(b, "")
-    return F.aggregate(masks(left, right), first, step(F.char_length(a)), lambda s: s["score"])
+    edits = F.aggregate(F.transform("_right", mask), first, step, lambda s: s["score"])
+    return laid.withColumn("edits", edits).drop("_right", "_m", "_places")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -126,15 +128,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def similar_lines(docs: DataFrame, tau: int = 2, min_chars: int = 16) -> DataFrame:
     """a and b, 64-bit hashes of different lines within ``tau`` edits."""
-    line, n = F.col("line"), F.char_length("line")
-    lines = lines_of(docs).select("line", F.xxhash64("line").alias("h")).filter(n >= max(min_chars, tau + 1))
-    indexed = lines.select("h", F.explode(index_keys(line, n, tau)).alias("k")).distinct()
-    probes = lines.select(F.col("h").alias("g"), F.explode(F.array_compact(probe_keys(line, n, tau))).alias("k")).distinct()
+    lines = lines_of(docs).select("line", F.xxhash64("line").alias("h")).filter(F.char_length("line") >= max(min_chars, tau + 1))
+    cut = with_segments(lines, tau)
+    indexed = cut.select("h", F.explode(index_keys(tau)).alias("k")).distinct()
+    probes = cut.select(F.col("h").alias("g"), F.explode(probe_keys(tau)).alias("k")).filter("k is not null").distinct()
     pairs = common.stage(probes.join(indexed, "k").filter("g <> h").select("g", "h").distinct())
     wanted = pairs.select(F.explode(F.array("g", "h")).alias("h")).distinct()
     texts = common.stage(lines.join(wanted, "h", "left_semi").dropDuplicates(["h"]))
     both = pairs.join(texts.select("h", F.col("line").alias("short")), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("long")), "g")
-    return both.filter(band_distance(F.col("short"), F.col("long"), tau) <= tau).select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).distinct()
+    return band_distance(both, "short", "long", tau).filter(F.col("edits") <= tau).select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).distinct()
 
 
 def copies(docs: DataFrame, tau: int = 2, min_chars: int = 16) -> DataFrame:
