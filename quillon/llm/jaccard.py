@@ -16,8 +16,9 @@ Counts.  For each candidate pair the overlaps of eight fragments of the order
 are counted separately and summed; the test is exact in integers.
 
 Rest.  Where a centre fails the test, its bucket can still hold linked pairs in
-different components.  Those components' sets are matched again, now every pair
-of a shared fragment that lies in different components, and counted alike.
+different components.  The sets of these components are joined once more, by
+prefixes in the order of frequency among them, and pairs in different
+components are counted alike.
 
 Exact copies are one set from the start, and each partition passes on one
 row for each fragment, so a group of copies is never gathered in one task.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,9 +44,10 @@ from . import common
 U64 = np.uint64
 FRAGMENTS = 8
 CLASS_RATIO = 1.5
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 200_000
 FILTER_BITS = 1 << 25
 CUTS = 8
+PARITY = ("p0", "p1", "p2", "p3")
 
 
 # --- sets --------------------------------------------------------------------
@@ -234,32 +236,23 @@ def star_candidates(docs: DataFrame, n: int, num: int, den: int, buckets: int) -
     return pairs.distinct()
 
 
-def rest_candidates(docs: DataFrame, n: int, num: int, den: int, again: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of nodes of ``again`` (node, root) that share a fragment, lie in different components and were not tried."""
-    bits = node_filter(again)
+def parity(grams: list[np.ndarray]) -> list[pa.Array]:
+    """256 bits a set, each the parity of the grams that hash to it, as four longs.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in common.slices(batch):
-                sets = Sets(common.text_of(part), n)
-                sig, row = signatures(sets, distinct_rows(sets, seen, bits), num, den)
-                if len(sig):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(sets.node[row]), pa.array(sets.size[row])], names=["sig", "node", "n"])
-
-    found = docs.select("text").mapInArrow(emit, "sig long, node long, n long").join(again, "node").distinct()
-    mixed = found.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("sig")
-    live = common.stage(found.join(mixed, "sig"))
-    other = live.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    pairs = live.withColumnRenamed("node", "a").join(other, "sig")
-    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num) & (F.col("root") != F.col("root_b")))
-    return pairs.select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-
-
-def overlaps(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
-    """a, b, common and both for each pair: overlaps by fragment of the order, summed."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    Sets differ in at least as many grams as bits.
+    """
+    size = np.array([len(g) for g in grams])
+    slot = np.repeat(np.arange(len(grams)) * 256, size) + (common.mix(np.concatenate(grams)) >> U64(56)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=len(grams) * 256) & 1).astype(np.uint8)
+    words = np.packbits(odd).view("<i8").reshape(-1, len(PARITY))
+    return [pa.array(words[:, k]) for k in range(len(PARITY))]
+
+
+def gram_table(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
+    """node, n and grams (one sorted list for each fragment of the order) of the nodes of ``pairs``."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     bits = node_filter(nodes)
+    steps = np.arange(1, FRAGMENTS).astype(U64) << U64(61)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -267,26 +260,53 @@ def overlaps(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
             for part in common.slices(batch):
                 sets = Sets(common.text_of(part), n)
                 rows = distinct_rows(sets, seen, bits)
-                nodes, fragments, grams = [], [], []
-                for r in rows:
-                    gram = sets.gram[sets.at[r] : sets.at[r + 1]]
-                    cut = np.searchsorted(gram >> U64(61), np.arange(FRAGMENTS + 1).astype(U64))
-                    for f in range(FRAGMENTS):
-                        nodes.append(int(sets.node[r]))
-                        fragments.append(f)
-                        grams.append(gram[cut[f] : cut[f + 1]].view(np.int64))
-                if nodes:
-                    at = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(grams)))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()), lists], names=["node", "fragment", "grams"])
-
-    parts = docs.select("text").mapInArrow(emit, "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"])
-    parts = common.stage(parts)
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    both = pairs.join(left, "a").join(right, ["b", "fragment"])
-    shared = F.size(F.array_intersect("ga", "gb")).cast("long")
-    return both.groupBy("a", "b").agg(F.sum(shared).alias("common"), F.sum((F.size("ga") + F.size("gb")).cast("long")).alias("both"))
+                if not len(rows):
+                    continue
+                grams = [sets.gram[sets.at[r] : sets.at[r + 1]] for r in rows]
+                inner = np.concatenate([[0, *np.searchsorted(g, steps), len(g)] for g in grams]).reshape(len(rows), -1)
+                at = np.concatenate([[0], np.cumsum(np.diff(inner, axis=1).reshape(-1))])
+                values = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(grams).view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * FRAGMENTS, pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([pa.array(sets.node[rows]), pa.array(sets.size[rows]), lists, *parity(grams)], names=["node", "n", "grams", *PARITY])
+
+    found = docs.select("text").mapInArrow(emit, "node long, n long, grams array<array<long>>, " + ", ".join(f"{p} long" for p in PARITY))
+    return common.stage(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def linked(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b and whether they are similar: overlaps by fragment of the order, summed for each pair."""
+    left = grams.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+    right = grams.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    partial = F.zip_with("ga", "gb", lambda x, y: F.size(F.array_intersect(x, y)))
+    shared = F.aggregate(partial, F.lit(0).cast("long"), lambda total, x: total + x)
+    fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.when(fits, shared).otherwise(F.lit(0)))
+    return both.select("a", "b", (F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).alias("similar"))
+
+
+def rest_pairs(grams: DataFrame, again: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of nodes of ``again`` (node, root) that may be similar and lie in different components.
+
+    Here the order is by frequency among these nodes, then by gram.  Similar sets
+    share one of their first size - ceil(t size) + 1 grams in any common order,
+    and a gram of one node alone takes a place without giving a partner.  So a
+    variant with enough grams of its own has no candidates at all, however large its group.
+    """
+    own = grams.join(again, "node").select("node", "n", "root", *PARITY, F.explode(F.flatten("grams")).alias("gram"))
+    often = own.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("c > 1")
+    shared = own.join(often, "gram")
+    of_node = Window.partitionBy("node")
+    place = F.row_number().over(of_node.orderBy("c", "gram")) + F.col("n") - F.count("*").over(of_node)
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1
+    early = shared.withColumn("place", place).filter((F.col("place") <= prefix) & (F.col("low") != F.col("high"))).select("gram", "node", "n", "root", "place", *PARITY)
+    early = common.stage(early)
+    other = early.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("place").alias("place_b"), *[F.col(p).alias(f"{p}_b") for p in PARITY])
+    # at the first common gram nothing before it is common, which bounds the overlap by what follows
+    fits = (F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1) * (num + den) >= (F.col("n") + F.col("n_b")) * num
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_b"))))
+    fits = fits & (apart * (num + den) <= (F.col("n") + F.col("n_b")) * (den - num))
+    both = early.withColumnRenamed("node", "a").join(other, "gram").filter((F.col("a") < F.col("b")) & fits & (F.col("root") != F.col("root_b")))
+    return both.select("a", "b").distinct()
 
 
 # --- the operator --------------------------------------------------------------
@@ -296,22 +316,22 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataF
     Links have similarity num / den or more; they connect every component, though
     pairs inside one may stay untested.
     """
+    common.ship_package(docs.sparkSession)
     sets = common.stage(set_table(docs, n))
     grams = sets.agg(F.coalesce(F.sum("n_grams"), F.lit(0))).first()[0]
     buckets = max(16, int(grams * 2 * (den - num) / (den + num) * 2.2) // BUCKET_ROWS)
-    tried = common.stage(overlaps(docs, n, common.stage(star_candidates(docs, n, num, den, buckets))))
-    similar = (F.col("common") * den) >= (F.col("both") - F.col("common")) * num
-    links = tried.filter(similar).select("a", "b")
+    first = common.stage(star_candidates(docs, n, num, den, buckets))
+    lists = gram_table(docs, n, first)
+    tried = common.stage(linked(first, lists, num, den))
+    links = tried.filter("similar").select("a", "b")
     roots = common.components(links)
-    missed = tried.filter(~similar).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    missed = tried.filter("not similar").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     touched = missed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
-    again = touched.join(roots, "root", "left").select(F.coalesce("node", "root").alias("node"), "root").distinct()
-    again = common.stage(again)
+    again = common.stage(touched.join(roots, "root", "left").select(F.coalesce("node", "root").alias("node"), "root").distinct())
     if not again.isEmpty():
-        second = common.stage(rest_candidates(docs, n, num, den, again, tried))
+        second = common.stage(rest_pairs(lists, again, num, den).join(tried, ["a", "b"], "left_anti"))
         if not second.isEmpty():
-            more = overlaps(docs, n, second).filter(similar).select("a", "b")
-            links = common.stage(links.unionByName(more))
+            links = links.unionByName(linked(second, lists, num, den).filter("similar").select("a", "b"))
             roots = common.components(links)
     return sets, links, roots
 
@@ -324,3 +344,20 @@ def classes_of(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataF
     name = low.groupBy("root").agg(F.min("d").alias("component_id"))
     of_node = low.join(name, "root").select("node", "component_id")
     return sets.join(of_node, "node", "left").select("doc_id", "n_grams", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id; rows without n-grams stay.
+
+    Rows that go are few beside those that stay, so they are the side to look up.
+    Of rows that share a doc_id and have n-grams one stays.
+    """
+    found = common.stage(classes_of(docs, n, num, den))
+    gone = found.filter((F.col("n_grams") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = found.filter("n_grams > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = common.stage(twice)
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
