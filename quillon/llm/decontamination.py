@@ -13,10 +13,14 @@ word edits of the item.
    sequences at a small edit distance fall into step again, so that edits
    become differing places of the copies.
 3. Bit sampling.  Each repetition has a walk of its own and compares a few
-   sampled places by hash.  The number of repetitions is fixed on simulated
-   edits of the items so that the target recall is reached.
+   sampled places by hash.  The number of repetitions is fixed for each class
+   of item lengths, on simulated edits, so that the target recall is reached.
 4. Exact check.  Windows that agree in some repetition are verified by
    bit-parallel edit distance over the stretch around them.
+5. Classes out of reach.  Where MOST_REPEATS repetitions do not reach the
+   target, as with long items, no window is left to chance: neighbouring ones
+   are joined and verified, but for those with fewer shared n-grams than the
+   allowed edits must leave.
 
 Whole texts are worked, without a shuffle.  Items go out in blocks of bounded
 size; each block is one pass.
@@ -41,6 +45,9 @@ U64 = np.uint64
 ITEM_BLOCK = 4000
 SAMPLES = 3
 MOST_REPEATS = 64
+TRIALS = 400
+#: Words from which a class out of reach ends the fitting.
+LONG = 64
 SALT = U64(0x9E3779B97F4A7C15)
 MARK = U64((1 << 20) - 1)
 
@@ -129,36 +136,40 @@ class Index:
             self.marks[int(n)] = np.zeros(int(MARK) + 1, bool)
             self.marks[int(n)][gram & MARK] = True
             self.grams[int(n)] = (gram[order], np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order])
-        self.repeats = self.fit_repeats(recall, seed)
-        flat = np.concatenate(self.words) if self.words else np.zeros(0, U64)
-        first = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
-        keys = walk_keys(flat, first[:-1], first[1:], self.size, self.repeats)
-        owner = np.broadcast_to(np.arange(len(self.words)), keys.shape).reshape(-1)
-        order = np.argsort(keys.reshape(-1), kind="stable")
-        self.keys, self.key_items = keys.reshape(-1)[order], owner[order]
-
-    def fit_repeats(self, recall: float, seed: int) -> int:
-        """Fewest repetitions that reach ``recall`` on items with as many random edits as are allowed."""
+        self.repeats, self.tables = np.zeros(len(self.words), np.int64), {}
         rng = np.random.default_rng(seed)
-        hits = []
-        for i in rng.permutation(len(self.words))[:100]:
-            for _ in range(4):
-                other = self.words[i].tolist()
-                for _ in range(self.edits[i]):
-                    p, kind = int(rng.integers(max(len(other), 1))), rng.integers(3)
-                    other[p : p + (kind != 1)] = [int(rng.integers(1 << 62))] if kind != 2 else []
-                pair = np.array([*self.words[i].tolist(), *other], U64)
-                m = np.full(2, self.size[i])
-                keys = walk_keys(pair, np.array([0, self.size[i]]), np.array([self.size[i], len(pair)]), m, MOST_REPEATS)
-                hits.append(keys[:, 0] == keys[:, 1])
-        if not hits:
-            return 1
-        reached = np.cumsum(np.array(hits), axis=1).astype(bool).mean(axis=0)
+        band = np.floor(4 * np.log2(self.size)).astype(np.int64)
+        for b in np.unique(band):
+            own = np.flatnonzero(band == b)
+            self.repeats[own] = self.fit_repeats(own, recall, rng)
+            if not self.repeats[own[0]] and self.size[own].min() >= LONG:
+                break  # longer ones would need more repetitions still
+        for r in np.unique(self.repeats[self.repeats > 0]):
+            own = np.flatnonzero(self.repeats == r)
+            flat, first = np.concatenate([self.words[i] for i in own]), np.concatenate([[0], np.cumsum(self.size[own])]).astype(np.int64)
+            keys = walk_keys(flat, first[:-1], first[1:], self.size[own], int(r))
+            owner = np.broadcast_to(own, keys.shape).reshape(-1)
+            order = np.argsort(keys.reshape(-1), kind="stable")
+            self.tables[int(r)] = keys.reshape(-1)[order], owner[order]
+
+    def fit_repeats(self, own: np.ndarray, recall: float, rng: np.random.Generator) -> int:
+        """Fewest repetitions that reach ``recall`` on the items ``own`` with as many random edits as are allowed; 0 if none do."""
+        pairs, m = [], []
+        for i in np.resize(rng.permutation(own), TRIALS):
+            other = self.words[i].tolist()
+            for _ in range(self.edits[i]):
+                p, kind = int(rng.integers(max(len(other), 1))), rng.integers(3)
+                other[p : p + (kind != 1)] = [int(rng.integers(1 << 62))] if kind != 2 else []
+            pairs += [self.words[i], np.array(other, U64)]
+            m += [self.size[i]] * 2
+        first = np.concatenate([[0], np.cumsum([len(x) for x in pairs])]).astype(np.int64)
+        keys = walk_keys(np.concatenate(pairs), first[:-1], first[1:], np.array(m, np.int64), MOST_REPEATS)
+        reached = np.cumsum(keys[:, ::2] == keys[:, 1::2], axis=0).astype(bool).mean(axis=1)
         enough = np.flatnonzero(reached >= recall)
-        return int(enough[0]) + 1 if len(enough) else MOST_REPEATS
+        return int(enough[0]) + 1 if len(enough) else 0
 
-    def windows(self, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, start) where a shared n-gram places an item."""
+    def windows(self, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Rows (text, item, start, place) where the n-gram at a place of an item starts it in a text."""
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         rows = []
         for n, (gram, item, offset) in self.grams.items():
@@ -169,38 +180,63 @@ class Index:
             many = high - low
             where = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(hit) else np.zeros(0, np.int64)
             pos = np.repeat(hit, many)
-            rows.append(np.stack([owner[pos], item[where], pos - offset[where]], axis=1))
-        found = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
-        found = found[np.lexsort(found.T[::-1])]
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1]).any(axis=1)
-        return tuple(found[new].T)
+            rows.append(np.stack([owner[pos], item[where], pos - offset[where], offset[where]], axis=1))
+        found = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
+        return found[np.lexsort(found.T[::-1])]
+
+    def stretches(self, found: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first start, last start) of runs of windows with as many shared n-grams as a copy must have.
+
+        The starts that one copy's n-grams place differ by no more than its
+        edits; an edit takes at most n of the item's n-grams.
+        """
+        if not len(found):
+            return []
+        text, item, start, place = found.T
+        run = np.concatenate([[0], np.cumsum((text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.edits[item[1:]]))])
+        both = np.unique(np.stack([run, place], axis=1), axis=0)
+        first, last = np.flatnonzero(np.diff(run, prepend=-1)), np.flatnonzero(np.diff(run, append=run[-1] + 1))
+        k = item[first]
+        need = np.maximum(1, self.size[k] - self.run[k] + 1 - self.run[k] * self.edits[k])
+        kept = np.bincount(both[:, 0], minlength=len(first)) >= need
+        return list(zip(*(x[kept].tolist() for x in (text[first], k, start[first], start[last])), strict=True))
 
     def matches(self, text: pa.Array) -> list[tuple[int, int, int]]:
         """(text, item, fewest edits) of every item that a text holds."""
         if not self.words:
             return []
         offsets, ids = word_ids(text)
-        owner, item, start = self.windows(offsets, ids)
+        found = self.windows(offsets, ids)
         best: dict[tuple[int, int], int] = {}
-        for i in range(0, len(owner), 1 << 14):
-            o, m = owner[i : i + (1 << 14)], self.size[item[i : i + (1 << 14)]]
-            s = np.maximum(start[i : i + (1 << 14)], offsets[o])
-            keys = walk_keys(ids, s, offsets[o + 1], m, self.repeats)
-            low, high = (np.searchsorted(self.keys, keys.reshape(-1), side=side) for side in ("left", "right"))
-            many = high - low
-            some = np.flatnonzero(many)
-            where = np.repeat(low[some], many[some]) + np.concatenate([np.arange(c) for c in many[some]] or [np.zeros(0, np.int64)]).astype(np.int64)
-            window = np.repeat(some % len(o), many[some])
-            pairs = {(int(o[w]), int(k), int(s[w])) for w, k in zip(window, self.key_items[where], strict=True)}
-            for t, k, at in sorted(pairs):
-                if best.get((t, k)) == 0:
-                    continue
-                e = int(self.edits[k])
-                stretch = ids[max(offsets[t], at - e) : min(offsets[t + 1], at + self.size[k] + e)].tolist()
-                d = infix_edits(self.lists[k], stretch)
-                if d <= e:
-                    best[t, k] = min(d, best.get((t, k), d))
+
+        def verify(t: int, k: int, first: int, last: int) -> None:
+            if best.get((t, k)) == 0:
+                return
+            e = int(self.edits[k])
+            d = infix_edits(self.lists[k], ids[max(offsets[t], first - e) : max(offsets[t], min(offsets[t + 1], last + self.size[k] + e))].tolist())
+            if d <= e:
+                best[t, k] = min(d, best.get((t, k), d))
+
+        repeats = self.repeats[found[:, 1]]
+        for stretch in self.stretches(found[repeats == 0]):
+            verify(*stretch)
+        for r, (table, key_items) in self.tables.items():
+            own = found[repeats == r][:, :3]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]).any(axis=1)
+            owner, item, start = own[new].T
+            for i in range(0, len(owner), 1 << 14):
+                o, m = owner[i : i + (1 << 14)], self.size[item[i : i + (1 << 14)]]
+                s = np.maximum(start[i : i + (1 << 14)], offsets[o])
+                keys = walk_keys(ids, s, offsets[o + 1], m, r)
+                low, high = (np.searchsorted(table, keys.reshape(-1), side=side) for side in ("left", "right"))
+                many = high - low
+                some = np.flatnonzero(many)
+                where = np.repeat(low[some], many[some]) + np.concatenate([np.arange(c) for c in many[some]] or [np.zeros(0, np.int64)]).astype(np.int64)
+                window = np.repeat(some % len(o), many[some])
+                pairs = {(int(o[w]), int(k), int(s[w])) for w, k in zip(window, key_items[where], strict=True)}
+                for t, k, at in sorted(pairs):
+                    verify(t, k, at, at)
         return [(t, k, d) for (t, k), d in sorted(best.items())]
 
 

@@ -100,6 +100,24 @@ def test_decontamination(spark):
     assert decontamination.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_long_edited_items():
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    sizes = [20, 60, 150] + [300, 400, 700] * 8
+    items = [rng.choice(vocabulary, n).tolist() for n in sizes]
+    texts, want = [], {}
+    for i, words in enumerate(items):
+        edited = list(words)
+        for k in range(len(words) // 5):
+            p = int(rng.integers(len(edited)))
+            edited[p : p + (k % 3 != 1)] = [f"z{k}"] if k % 3 < 2 else []
+        texts.append(" ".join([*rng.choice(vocabulary, 50), *edited, *rng.choice(vocabulary, 50)]))
+        want[i, i] = decontamination.infix_edits(words, texts[-1].split())
+    index = decontamination.Index(list(range(len(items))), [" ".join(w) for w in items])
+    found = {(t, index.item_ids[k]): d for t, k, d in index.matches(pa.array(texts))}
+    assert found == want
+
+
 def test_infix_edits():
     rng = np.random.default_rng(5)
     for _ in range(100):
