@@ -240,9 +240,19 @@ r AS (SELECT name, 'l' AS side, l AS node FROM s UNION SELECT name, 'u', u FROM
 w AS (SELECT name, node, bool_or(side = 'l') AS l, bool_or(side = 'u') AS u FROM r GROUP BY name, node)
 SELECT CAST(name AS VARCHAR) AS name, CAST(count(*) FILTER (l AND NOT u) AS BIGINT) AS ahead, CAST(count(*) FILTER (u AND NOT l) AS BIGINT) AS behind FROM w GROUP BY name""")
 def ahead_behind(spark, d):
+    return branch_counts(spark, d, "o_custkey % 10 = 0")
+
+
+@query()
+def ahead_behind_all(spark, d):
+    """ahead_behind over all orders; the SQL is bound to a tenth of the customers."""
+    return branch_counts(spark, d, "true")
+
+
+def branch_counts(spark: SparkSession, d: str, where: str) -> DataFrame:
     read(spark, d, "orders").createOrReplaceTempView("_orders")
-    e = spark.sql("""SELECT o_custkey, o_orderkey, o_orderkey % 2 AS b, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS p,
-        first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS f FROM _orders WHERE o_custkey % 10 = 0""")
+    e = spark.sql(f"""SELECT o_custkey, o_orderkey, o_orderkey % 2 AS b, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS p,
+        first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS f FROM _orders WHERE {where}""")
     edges = e.select(F.col("o_orderkey").alias("child"), F.coalesce("p", F.expr("case when b = 1 and f <> o_orderkey then f end")).alias("parent"))
     tips = e.groupBy(F.col("o_custkey").cast("string").alias("name")).agg(F.max(F.expr("if(b = 0, o_orderkey, null)")).alias("local"), F.max(F.expr("if(b = 1, o_orderkey, null)")).alias("upstream")).filter("local is not null and upstream is not null")
     return history.ahead_behind(edges, tips)

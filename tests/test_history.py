@@ -35,6 +35,27 @@ def test_closure_through_merges(spark):
     assert history.closure(e, start).count() == 70
 
 
+def test_ahead_behind_of_all_branches(spark, tmp_path):
+    from quillon.plans import catalogue
+
+    orders = [(c, c * 100 + k) for c in range(1, 13) for k in range(1, 9) if (c * k) % 5 != 1] + [(13, 1302), (14, 1401), (14, 1403)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    want = {}
+    for c in {c for c, _ in orders}:
+        even, odd = (sorted(k for x, k in orders if x == c and k % 2 == b) for b in (0, 1))
+        parent = dict(zip(even[1:], even)) | dict(zip(odd[1:], odd)) | ({odd[0]: even[0]} if even and odd else {})
+        sides = []
+        for node in (even[-1:], odd[-1:]):
+            seen = set(node)
+            while node := [parent[x] for x in node if x in parent]:
+                seen |= set(node)
+            sides.append(seen)
+        if all(sides):
+            want[str(c)] = len(sides[0] - sides[1]), len(sides[1] - sides[0])
+    assert len(want) == 12
+    assert {r["name"]: (r["ahead"], r["behind"]) for r in catalogue.queries()["ahead_behind_all"](spark, str(tmp_path)).collect()} == want
+
+
 def test_log_rules(spark):
     commits = spark.createDataFrame([("m", 3, ["a", "b"]), ("r", 1, []), ("c", 2, ["r"])], "oid string, ts int, parents array<string>")
     changed = spark.createDataFrame([("c", "Makefile", "modified")], "oid string, path string, status string")
