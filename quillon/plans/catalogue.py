@@ -353,8 +353,18 @@ b AS (SELECT s_suppkey, 'S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS child
 j AS (SELECT p.id, b.child, row_number() OVER (PARTITION BY p.id ORDER BY (b.x2 - b.x1) * (b.y2 - b.y1), b.child) AS k FROM p JOIN b ON cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2)
 SELECT p.id AS id, j.child AS child FROM p LEFT JOIN j ON p.id = j.id AND j.k = 1""")
 def origin_attribution(spark, d):
+    return attributed(spark, d, read(spark, d, "supplier").filter("s_suppkey <= 200"))
+
+
+@query()
+def origin_attribution_all(spark, d):
+    """origin_attribution against the boxes of all suppliers; the SQL is bound to the first 200."""
+    return attributed(spark, d, read(spark, d, "supplier"))
+
+
+def attributed(spark: SparkSession, d: str, supplier: DataFrame) -> DataFrame:
     pieces = rects(spark, d).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), F.lit(1).alias("g"))
-    box = read(spark, d, "supplier").filter("s_suppkey <= 200").select(F.expr("concat('S', lpad(s_suppkey, 9, '0'))").alias("child"), F.expr("s_suppkey * 37 % 480").alias("min_x"), F.expr("s_suppkey * 53 % 380").alias("min_y"), F.expr("s_suppkey * 37 % 480 + 5 + s_suppkey % 40").alias("max_x"), F.expr("s_suppkey * 53 % 380 + 5 + s_suppkey % 30").alias("max_y"), F.lit(1).alias("g"))
+    box = supplier.select(F.expr("concat('S', lpad(s_suppkey, 9, '0'))").alias("child"), F.expr("s_suppkey * 37 % 480").alias("min_x"), F.expr("s_suppkey * 53 % 380").alias("min_y"), F.expr("s_suppkey * 37 % 480 + 5 + s_suppkey % 40").alias("max_x"), F.expr("s_suppkey * 53 % 380 + 5 + s_suppkey % 30").alias("max_y"), F.lit(1).alias("g"))
     return layout.attribute(pieces, box, ["g"], "id", 32.0).select("id", "child")
 
 

@@ -110,6 +110,25 @@ def test_arrays_rotation_and_cycles(spark):
     assert sorted((r["points"][0]["x"], r["points"][0]["y"]) for r in found) == [(10.0, 1.0), (15.0, 1.0)]
 
 
+def test_attribution_to_boxes_of_all_suppliers(spark, tmp_path):
+    from quillon.plans import catalogue
+
+    rng = np.random.default_rng(8)
+    lines = [(int(o), n, int(rng.integers(1, 2000)), int(rng.integers(1, 600)), float(rng.integers(1, 51)), "A") for o in rng.integers(1, 3000, 60) for n in (1, 2)]
+    lines = list({x[:2]: x for x in lines}.values())
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k,) for k in range(1, 601)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    want, later = {}, 0
+    for order, number, part, supp, quantity, _ in lines:
+        cx, cy = part % 500 + (1 + supp % 20) / 2, order % 400 + (1 + int(quantity) % 15) / 2
+        boxes = [(k * 37 % 480, k * 53 % 380, 5 + k % 40, 5 + k % 30, k) for k in range(1, 601)]
+        hits = [(w * h, k) for x, y, w, h, k in boxes if x <= cx <= x + w and y <= cy <= y + h]
+        want[order * 8 + number] = f"S{min(hits)[1]:09d}" if hits else None
+        later += bool(hits) and min(hits)[1] > 200
+    assert later > 10
+    assert {r["id"]: r["child"] for r in catalogue.queries()["origin_attribution_all"](spark, str(tmp_path)).collect()} == want
+
+
 def test_view_functions(spark):
     one = spark.range(1).select(F.struct(F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(10.0).alias("max_x"), F.lit(0.0).alias("max_y")).alias("b"), F.struct(F.lit(1.0).alias("pan_x"), F.lit(2.0).alias("pan_y"), F.lit(2.0).alias("scale")).alias("v"))
     row = one.select(G.view_box(F.col("b"), 5, 5).alias("s"), G.to_world(F.col("v"), G.to_screen(F.col("v"), F.lit(3.0), F.lit(4.0))["x"], F.lit(10.0)).alias("w"), G.zoom(F.col("v"), F.lit(0.0), F.lit(0.0), F.lit(-1.0)).alias("z"), F.size(G.arc(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(90.0))).alias("n")).first()
