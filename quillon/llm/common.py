@@ -194,16 +194,20 @@ def bounded_sample(rows: DataFrame, label: str, per_class: int, seed: int = 17)
 def texts_of(docs: DataFrame, chosen: DataFrame, label: str, most_bytes: int) -> tuple[list[str], list]:
     """Texts and labels of a bounded choice of ids; ids beyond ``most_bytes`` of text are left out.
 
+    Each label has an equal share of the bytes.  A text counts, and is given,
+    with no more characters than a sixteenth of the bytes of a share, so that
+    a long one takes at most a quarter of it and no label is left without texts.
+
     ``chosen`` holds few rows (its maker bounds them), so it goes to every task.
     """
     ids = chosen.select("doc_id", label).distinct()
-    kept = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    share = most_bytes // max(1, ids.select(label).distinct().count())
+    kept = docs.select("doc_id", F.substring("text", 1, max(1, share // 16)).alias("text")).join(F.broadcast(ids), "doc_id")
     draw = F.xxhash64(F.col("doc_id"), F.lit(5))
     from pyspark.sql import Window
 
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy(label).orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    classes = max(1, ids.select(label).distinct().count())
-    table = kept.withColumn("_size", size).filter(F.col("_size") <= most_bytes // classes).orderBy(draw, "doc_id").select("text", label).toArrow()
+    table = kept.withColumn("_size", size).filter(F.col("_size") <= share).orderBy(draw, "doc_id").select("text", label).toArrow()
     return pc.fill_null(table["text"], "").to_pylist(), table[label].to_pylist()
 
 

@@ -70,6 +70,13 @@ def test_toxicity_learns_and_leaves_group_mentions(spark):
     assert ("Two women left", "Two woman left") in pair
 
 
+def test_long_text_leaves_its_class_in_the_sample(spark):
+    docs = corpus(spark, ["é" * 5000, "b" * 5000, *["c d"] * 6])
+    chosen = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, label int")
+    texts, labels = common.texts_of(docs, chosen, "label", 2000)
+    assert sorted(labels) == [0] * 4 + [1] * 4 and sorted(set(texts)) == ["b" * 62, "c d", "é" * 62]
+
+
 def test_quality_learns(spark):
     rng = np.random.default_rng(3)
     good = [prose(rng, 40) for _ in range(100)]
