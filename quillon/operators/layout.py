@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import ship_package
+from ..session import ship_package, stage
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -21,12 +21,12 @@ def top_cells(cells: DataFrame, references: DataFrame, keys: list[str] = ()) ->
     return roots.groupBy(*keys).agg(F.min("cell").alias("top"))
 
 
-def instances(references: DataFrame, keys: list[str], levels: int = 32) -> DataFrame:
+def instances(references: DataFrame, keys: list[str]) -> DataFrame:
     """Every chain of references below each cell: (root, cell, a, b, c, d, tx, ty, path).
 
     The affine map takes cell coordinates to root coordinates.  Arrays become
-    one row for each element.  One join a level; cycles end where a path would
-    repeat a cell.
+    one row for each element.  One join a level, to any depth; cycles end where
+    a path would repeat a cell.
     """
     col = F.explode(F.sequence(F.lit(0), F.greatest("cols", F.lit(1)) - 1))
     rep = references.withColumn("_i", col).withColumn("_j", F.explode(F.sequence(F.lit(0), F.greatest("rows", F.lit(1)) - 1)))
@@ -35,25 +35,25 @@ def instances(references: DataFrame, keys: list[str], levels: int = 32) -> DataF
     edge = rep.select(*keys, F.col("cell").alias("_parent"), F.col("child").alias("_child"), cos.alias("_a"), (-sin * flip).alias("_b"), sin.alias("_c"), (cos * flip).alias("_d"), (F.col("dx") + F.col("_i") * F.col("sx")).alias("_x"), (F.col("dy") + F.col("_j") * F.col("sy")).alias("_y"))
     level = edge.select(*keys, F.col("_parent").alias("root"), F.col("_child").alias("cell"), F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("_c").alias("c"), F.col("_d").alias("d"), F.col("_x").alias("tx"), F.col("_y").alias("ty"), F.array("_parent", "_child").alias("path")).filter("root <> cell")
     out = level
-    for _ in range(levels - 1):
+    while True:
         step = level.withColumnRenamed("cell", "_parent").join(edge, [*keys, "_parent"]).filter(~F.array_contains("path", F.col("_child")))
-        level = step.select(
+        level = stage(step.select(
             *keys, "root", F.col("_child").alias("cell"),
             (F.col("a") * F.col("_a") + F.col("b") * F.col("_c")).alias("a"), (F.col("a") * F.col("_b") + F.col("b") * F.col("_d")).alias("b"),
             (F.col("c") * F.col("_a") + F.col("d") * F.col("_c")).alias("c"), (F.col("c") * F.col("_b") + F.col("d") * F.col("_d")).alias("d"),
             (F.col("a") * F.col("_x") + F.col("b") * F.col("_y") + F.col("tx")).alias("tx"), (F.col("c") * F.col("_x") + F.col("d") * F.col("_y") + F.col("ty")).alias("ty"),
             F.concat("path", F.array("_child")).alias("path"),
-        )
+        ))
         if level.isEmpty():
             break
         out = out.unionByName(level)
     return out
 
 
-def flatten(polygons: DataFrame, references: DataFrame, keys: list[str], levels: int = 32) -> DataFrame:
+def flatten(polygons: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
     """Polygons of each cell in its own coordinates with all that it references; path names the chain."""
     own = polygons.select(*keys, "cell", "layer", "datatype", "points", F.array("cell").alias("path"))
-    inst = instances(references, keys, levels)
+    inst = instances(references, keys)
     move = lambda p: F.struct((F.col("a") * p["x"] + F.col("b") * p["y"] + F.col("tx")).alias("x"), (F.col("c") * p["x"] + F.col("d") * p["y"] + F.col("ty")).alias("y"))
     below = polygons.join(inst, [*keys, "cell"]).select(*keys, F.col("root").alias("cell"), "layer", "datatype", F.transform("points", move).alias("points"), "path")
     return own.unionByName(below)

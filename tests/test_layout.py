@@ -110,6 +110,13 @@ def test_arrays_rotation_and_cycles(spark):
     assert sorted((r["points"][0]["x"], r["points"][0]["y"]) for r in found) == [(10.0, 1.0), (15.0, 1.0)]
 
 
+def test_flatten_to_any_depth(spark):
+    refs = spark.createDataFrame([(f"c{i}", f"c{i + 1}", 1.0, 0.0, 0.0, 1.0, False, 1, 1, 0.0, 0.0) for i in range(36)], "cell string, child string, dx double, dy double, rot double, mag double, mirror boolean, cols int, rows int, sx double, sy double")
+    shapes = spark.createDataFrame([("c36", 1, 0, [(0.0, 0.0)])], f"cell string, layer int, datatype int, points {L.POINTS}")
+    found = {r["cell"]: (r["points"][0]["x"], len(r["path"])) for r in L.flatten(shapes, refs, []).collect()}
+    assert found == {f"c{i}": (36.0 - i, 37 - i) for i in range(37)}
+
+
 def test_attribution_to_boxes_of_all_suppliers(spark, tmp_path):
     from quillon.plans import catalogue
 
