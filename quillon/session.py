@@ -15,6 +15,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
 
 
@@ -37,3 +39,16 @@ def stage(df: DataFrame) -> DataFrame:
     ship_package(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoint files of staged frames that nothing will read again."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        if not plan.getClass().getSimpleName().startswith("LogicalRDD"):
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
