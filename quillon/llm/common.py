@@ -7,53 +7,27 @@ once for each *distinct* word of a bounded slice and spread back by gather.
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir, release, ship_package, stage  # noqa: F401 (operators take them from here)
+
 #: Bytes of text that one kernel call works on; bounds a Python worker's memory.
 SLICE_BYTES = 8 << 20
 U64 = np.uint64
 
 
 # --- session helpers -------------------------------------------------------
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each context."""
-    context = spark.sparkContext
-    if getattr(context, "_quillon_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="quillon-package-")) / "quillon.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._quillon_shipped = True
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ship_package(df.sparkSession)
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Keys of more rows than this, and than one HOT_KEYS-th of all rows, are hot.
+HOT_ROWS = 64
+HOT_KEYS = 50_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -184,8 +158,6 @@ def bounded_sample(rows: DataFrame, label: str, per_class: int, seed: int = 17)
     if not counts:
         return rows.limit(0)
     cut = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(min(1.0, 1.5 * per_class / n + 64.0 / n))) for k, n in sorted(counts.items())])
-    from pyspark.sql import Window
-
     near = rows.withColumn("_draw", draw).filter(F.col("_draw") < cut * float(1 << 40))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw", "doc_id"))
     return near.withColumn("_rank", rank).filter(F.col("_rank") <= per_class).drop("_rank", "_draw")
@@ -204,13 +176,29 @@ def texts_of(docs: DataFrame, chosen: DataFrame, label: str, most_bytes: int) ->
     share = most_bytes // max(1, ids.select(label).distinct().count())
     kept = docs.select("doc_id", F.substring("text", 1, max(1, share // 16)).alias("text")).join(F.broadcast(ids), "doc_id")
     draw = F.xxhash64(F.col("doc_id"), F.lit(5))
-    from pyspark.sql import Window
-
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy(label).orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     table = kept.withColumn("_size", size).filter(F.col("_size") <= share).orderBy(draw, "doc_id").select("text", label).toArrow()
     return pc.fill_null(table["text"], "").to_pylist(), table[label].to_pylist()
 
 
+# --- joins on hot keys ---------------------------------------------------------
+def attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined from the left with ``table``, which has one row a key; ``rows`` should be staged.
+
+    Rows of a hot key never meet in one task.  A key is hot with more than
+    HOT_ROWS rows and more than one HOT_KEYS-th of all rows, so there are at
+    most HOT_KEYS such keys, and what ``table`` has on them goes to every task.
+    Rows without a key are not moved at all.
+    """
+    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = stage(rows.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > most)).select(key))
+    extra = [c for c in table.columns if c != key]
+    few = F.broadcast(hot.join(table, key, "left").withColumn("_hot", F.lit(True)))
+    still = rows.join(few, key, "left").filter(F.col(key).isNull() | F.col("_hot")).select(*rows.columns, *extra)
+    moved = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(table, key, "left")
+    return still.unionByName(moved.select(*rows.columns, *extra))
+
+
 # --- components --------------------------------------------------------------
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node with a link.
@@ -225,7 +213,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         two = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = two.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = attach(two.filter("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()

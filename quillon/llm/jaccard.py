@@ -12,16 +12,21 @@ again by another order, and after eight cuts shows its empty fragments too, so n
 pair is lost.  Within a bucket of sets that share a fragment the smallest is the
 centre, and only (centre, member) pairs are candidates.
 
-Counts.  For each candidate pair the overlaps of eight fragments of the order
-are counted separately and summed; the test is exact in integers.
+Pruning.  Sizes and 256 parity bits of each set bound the overlap from above; only
+pairs that they let through get their n-gram lists.
 
-Rest.  Where a centre fails the test, its bucket can still hold linked pairs in
-different components.  The sets of these components are joined once more, by
-prefixes in the order of frequency among them, and pairs in different
-components are counted alike.
+Counts.  The lists are cut into eight fragments of the order, one row a (fragment, set).
+For each candidate pair the overlaps are counted fragment by fragment and the partial
+counts summed; the test is exact in integers.
 
-Exact copies are one set from the start, and each partition passes on one
-row for each fragment, so a group of copies is never gathered in one task.
+Rest.  Where a centre fails the test and its bucket has further members, linked pairs can
+still lie in different components.  The sets of these components are joined once
+more, by prefixes in the order of frequency among them, and pairs in
+different components are counted alike.
+
+Exact copies are one set from the start, each partition passes on one
+row for each fragment, and documents get the component of a set with many copies
+without being moved, so a group of copies is never gathered in one task.
 Nodes are 64-bit hashes of the sets.
 
 Defined cases: null, empty and blank texts have the empty set and no links; a
@@ -36,7 +41,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -138,11 +144,11 @@ def signatures(sets: Sets, rows: np.ndarray, num: int, den: int) -> tuple[np.nda
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
-# --- a bounded filter on nodes ---------------------------------------------
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each hashed node, FILTER_BITS in all whatever the number of nodes; false positives only."""
-    spot = F.pmod(F.col("node"), F.lit(FILTER_BITS)).cast("long")
-    bits = nodes.select(F.bitmap_bucket_number(spot + 1).alias("b"), F.bitmap_bit_position(spot + 1).alias("p"))
+# --- a bounded filter on ids -----------------------------------------------
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each id of the one column, FILTER_BITS in all whatever their number; false positives only."""
+    spot = F.pmod(F.col(ids.columns[0]), F.lit(FILTER_BITS)).cast("long")
+    bits = ids.select(F.bitmap_bucket_number(spot + 1).alias("b"), F.bitmap_bit_position(spot + 1).alias("p"))
     found = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in bits.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():
         at = (r["b"] - 1) * 4096
@@ -150,28 +156,40 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     return found
 
 
-def passes(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
-    spot = np.mod(node, FILTER_BITS)
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    spot = np.mod(ids, FILTER_BITS)
     return (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
 
 # --- passes over the texts ---------------------------------------------------
 def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_grams and node of every document; the node of an empty set is null."""
+    """doc_id, n_grams, node and parities of every document; the node of an empty set is null."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = Sets(common.text_of(batch), n)
         node = pa.array(sets.node, mask=sets.size == 0)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.size), node], names=["doc_id", "n_grams", "node"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.size), node, *parity(sets)], names=["doc_id", "n_grams", "node", *PARITY])
+
+    return common.map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_grams long, node long, " + ", ".join(f"{p} long" for p in PARITY))
 
-    return common.map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_grams long, node long")
 
+def parity(sets: Sets) -> list[pa.Array]:
+    """256 bits a set, each the parity of the grams that hash to it, as four longs.
+
+    Sets differ in at least as many grams as bits.
+    """
+    slot = sets.owner * 256 + (common.mix(sets.gram) >> U64(56)).astype(np.int64)
+    words = np.zeros((len(sets.size), len(PARITY)), np.int64)
+    for i in range(0, len(words), 4096):  # bounds the counts held at a time
+        many = len(words[i : i + 4096])
+        own = slot[sets.at[i] : sets.at[i + many]] - i * 256
+        words[i : i + many] = np.packbits((np.bincount(own, minlength=many * 256) & 1).astype(np.uint8)).view("<i8").reshape(many, -1)
+    return [pa.array(words[:, k]) for k in range(len(PARITY))]
 
-def distinct_rows(sets: Sets, seen: set[int], bits: np.ndarray | None) -> np.ndarray:
-    """Rows of non-empty sets that this task has not met and the filter lets through."""
+
+def distinct_rows(sets: Sets, seen: set[int]) -> np.ndarray:
+    """Rows of non-empty sets that this task has not met."""
     rows = np.flatnonzero(sets.size > 0)
-    if bits is not None:
-        rows = rows[passes(bits, sets.node[rows])]
     _, first = np.unique(sets.node[rows], return_index=True)
     fresh = [r for r in rows[np.sort(first)] if int(sets.node[r]) not in seen]
     if len(seen) < 2_000_000:  # beyond it repeats are passed on, and fall together later
@@ -179,25 +197,39 @@ def distinct_rows(sets: Sets, seen: set[int], bits: np.ndarray | None) -> np.nda
     return np.array(fresh, np.int64)
 
 
-def center_pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct signatures with their smallest node, and all (smallest, other) pairs."""
+def center_pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures, their smallest nodes and numbers of nodes; the place of its signature and the node of every other."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    center = node[first][np.cumsum(first) - 1] if len(sig) else node
-    other = node != center
-    a, b = center[other], node[other]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-    return sig[first], node[first], a[new], b[new]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[new], node[new]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    at = np.flatnonzero(first)
+    place = np.cumsum(first) - 1
+    return sig[at], node[at], np.diff(np.append(at, len(sig))), place[~first], node[~first]
+
+
+def pair_rows(a: np.ndarray, b: np.ndarray, sole: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs; a pair is sole if each of its rows is."""
+    order = np.lexsort((sole, b, a))
+    a, b, sole = a[order], b[order], sole[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(sole[new])], names=["a", "b", "sole"])
 
 
 def star_candidates(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Distinct (a, b) pairs of nodes: in each bucket the smallest node with every other.
+    """Distinct (a, b) pairs of nodes: for each signature the smallest node with every other.
+
+    ``sole`` pairs met only under signatures that no third set has, so that
+    nothing is hidden behind them.
 
     Rows in flight are packed: a row has the signatures of one bucket of one
-    slice, and the node of each.
+    slice and the node of each.  Within a bucket 31 bits of a signature tell it
+    from the others; the last bit marks those that several sets of a slice
+    share.  Two signatures that fall together only give more pairs to test.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,61 +237,57 @@ def star_candidates(docs: DataFrame, n: int, num: int, den: int, buckets: int) -
         for batch in batches:
             for part in common.slices(batch):
                 sets = Sets(common.text_of(part), n)
-                sig, row = signatures(sets, distinct_rows(sets, seen, None), num, den)
-                sig, node, a, b = center_pairs(sig, sets.node[row])
+                sig, row = signatures(sets, distinct_rows(sets, seen), num, den)
+                sig, center, many, place, other = center_pairs(sig, sets.node[row])
                 bucket = (sig % U64(buckets)).astype(np.int64)
+                tag = ((sig >> U64(33)).astype(np.uint32) << np.uint32(1)) | (many > 1).astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 keys, left, right = [], [], []
                 for k in np.flatnonzero(np.diff(cut)):
                     own = order[cut[k] : cut[k + 1]]
                     keys.append(int(k))
-                    left.append(sig[own].tobytes())
-                    right.append(node[own].tobytes())
-                spread = np.mod(b, buckets)
+                    left.append(tag[own].tobytes())
+                    right.append(center[own].tobytes())
+                spread = np.mod(other, buckets)
                 for k in np.unique(spread):  # pairs found here; dealt over keys of their own
                     keys.append(-1 - int(k))
-                    left.append(a[spread == k].tobytes())
-                    right.append(b[spread == k].tobytes())
+                    left.append(center[place[spread == k]].tobytes())
+                    right.append(other[spread == k].tobytes())
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["bucket", "left", "right"])
 
     def join(key, table):
-        left = np.frombuffer(b"".join(table["left"].to_pylist()), np.int64)
-        right = np.frombuffer(b"".join(table["right"].to_pylist()), np.int64)
-        if key[0].as_py() >= 0:
-            _, _, left, right = center_pairs(left.view(U64), right)
-        return pa.table({"a": left, "b": right})
+        left, right = b"".join(table["left"].to_pylist()), np.frombuffer(b"".join(table["right"].to_pylist()), np.int64)
+        if key[0].as_py() < 0:
+            return pa.Table.from_batches([pair_rows(np.frombuffer(left, np.int64), right, np.zeros(len(right), bool))])
+        tag = np.frombuffer(left, np.uint32)
+        crowded = np.unique(tag[tag & 1 == 1] >> 1)
+        found, center, many, place, other = center_pairs(tag >> 1, right)
+        sole = (many == 2) & ~np.isin(found, crowded)
+        return pa.Table.from_batches([pair_rows(center[place], other, sole[place])])
 
     packed = docs.select("text").mapInArrow(emit, "bucket long, left binary, right binary")
-    pairs = packed.groupBy("bucket").applyInArrow(join, "a long, b long")
-    return pairs.distinct()
+    pairs = packed.groupBy("bucket").applyInArrow(join, "a long, b long, sole boolean")
+    return pairs.groupBy("a", "b").agg(F.bool_and("sole").alias("sole"))
 
 
-def parity(grams: list[np.ndarray]) -> list[pa.Array]:
-    """256 bits a set, each the parity of the grams that hash to it, as four longs.
+def gram_table(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """node and grams (one sorted list for each fragment of the order) of the nodes ``wanted`` (node, doc).
 
-    Sets differ in at least as many grams as bits.
+    Only rows whose doc_id the filter lets through are cut into n-grams.
     """
-    size = np.array([len(g) for g in grams])
-    slot = np.repeat(np.arange(len(grams)) * 256, size) + (common.mix(np.concatenate(grams)) >> U64(56)).astype(np.int64)
-    odd = (np.bincount(slot, minlength=len(grams) * 256) & 1).astype(np.uint8)
-    words = np.packbits(odd).view("<i8").reshape(-1, len(PARITY))
-    return [pa.array(words[:, k]) for k in range(len(PARITY))]
-
-
-def gram_table(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
-    """node, n and grams (one sorted list for each fragment of the order) of the nodes of ``pairs``."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bits = node_filter(nodes)
+    bits = bit_filter(wanted.filter("doc is not null").select("doc"))
     steps = np.arange(1, FRAGMENTS).astype(U64) << U64(61)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in common.slices(batch):
+            doc = batch.column(0)
+            asked = passes(bits, pc.fill_null(doc, 0).to_numpy(zero_copy_only=False)) | pc.is_null(doc).to_numpy(zero_copy_only=False)
+            for part in common.slices(batch.filter(pa.array(asked))):
                 sets = Sets(common.text_of(part), n)
-                rows = distinct_rows(sets, seen, bits)
+                rows = distinct_rows(sets, seen)
                 if not len(rows):
                     continue
                 grams = [sets.gram[sets.at[r] : sets.at[r + 1]] for r in rows]
@@ -267,24 +295,44 @@ def gram_table(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(np.diff(inner, axis=1).reshape(-1))])
                 values = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(grams).view(np.int64)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * FRAGMENTS, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.node[rows]), pa.array(sets.size[rows]), lists, *parity(grams)], names=["node", "n", "grams", *PARITY])
+                yield pa.RecordBatch.from_arrays([pa.array(sets.node[rows]), lists], names=["node", "grams"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "node long, grams array<array<long>>")
+    return common.stage(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
 
-    found = docs.select("text").mapInArrow(emit, "node long, n long, grams array<array<long>>, " + ", ".join(f"{p} long" for p in PARITY))
-    return common.stage(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+def bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` with both sizes and whether sizes and parities let them be similar."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n_grams").alias("n_a"), *[F.col(p).alias(f"{p}_a") for p in PARITY])
+    right = nodes.select(F.col("node").alias("b"), F.col("n_grams").alias("n_b"), *[F.col(p).alias(f"{p}_b") for p in PARITY])
+    both = pairs.join(left, "a").join(right, "b")
+    fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & parity_fits(F.col("n_a"), F.col("n_b"), num, den)
+    return both.select("a", "b", "sole", "n_a", "n_b", fits.alias("fits"))
 
 
-def linked(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b and whether they are similar: overlaps by fragment of the order, summed for each pair."""
-    left = grams.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = grams.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    partial = F.zip_with("ga", "gb", lambda x, y: F.size(F.array_intersect(x, y)))
-    shared = F.aggregate(partial, F.lit(0).cast("long"), lambda total, x: total + x)
-    fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.when(fits, shared).otherwise(F.lit(0)))
-    return both.select("a", "b", (F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).alias("similar"))
+def parity_fits(n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY[1:]), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
+    return apart * (num + den) <= (n_a + n_b) * (den - num)
 
 
-def rest_pairs(grams: DataFrame, again: DataFrame, num: int, den: int) -> DataFrame:
+def linked(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` (a, b, n_a, n_b) and whether they are similar.
+
+    Vertical partitioning: each fragment of the order is a row of its own, the
+    overlap of two sets is counted in each fragment apart, and the
+    partial counts are summed for each pair.
+    """
+    parts = lists.select("node", F.posexplode("grams").alias("fragment", "part")).filter(F.size("part") > 0)
+    met = pairs.select("a", "b").join(parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b")), "b")
+    met = met.join(parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a")), ["a", "fragment"])
+    partial = met.select("a", "b", F.size(F.array_intersect("part_a", "part_b")).alias("shared"))
+    total = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    both = pairs.join(total, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    similar = F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num
+    return both.select(*pairs.columns, similar.alias("similar"))
+
+
+def rest_pairs(lists: DataFrame, nodes: DataFrame, again: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nodes of ``again`` (node, root) that may be similar and lie in different components.
 
     Here the order is by frequency among these nodes, then by gram.  Similar sets
@@ -292,58 +340,70 @@ def rest_pairs(grams: DataFrame, again: DataFrame, num: int, den: int) -> DataFr
     and a gram of one node alone takes a place without giving a partner.  So a
     variant with enough grams of its own has no candidates at all, however large its group.
     """
-    own = grams.join(again, "node").select("node", "n", "root", *PARITY, F.explode(F.flatten("grams")).alias("gram"))
-    often = own.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("c > 1")
-    shared = own.join(often, "gram")
+    own = lists.join(again, "node").select("node", "root", F.explode(F.flatten("grams")).alias("gram"))
+    often = own.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    often = common.stage(often.filter("c > 1").select("gram", "c", (F.col("low") != F.col("high")).alias("apart")))
+    shared = own.select("node", "gram").join(often, "gram")
+    sized = shared.join(nodes.select("node", "n_grams"), "node")
     of_node = Window.partitionBy("node")
-    place = F.row_number().over(of_node.orderBy("c", "gram")) + F.col("n") - F.count("*").over(of_node)
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1
-    early = shared.withColumn("place", place).filter((F.col("place") <= prefix) & (F.col("low") != F.col("high"))).select("gram", "node", "n", "root", "place", *PARITY)
-    early = common.stage(early)
-    other = early.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("place").alias("place_b"), *[F.col(p).alias(f"{p}_b") for p in PARITY])
+    place = F.row_number().over(of_node.orderBy("c", "gram")) + F.col("n_grams") - F.count("*").over(of_node)
+    prefix = F.col("n_grams") - F.ceil(F.col("n_grams") * num / den - 1e-9) + 1
+    early = sized.withColumn("place", place).filter((F.col("place") <= prefix) & F.col("apart")).select("gram", "node", "place")
+    early = common.stage(early.join(nodes.select("node", "n_grams", *PARITY).join(again, "node"), "node"))
+
+    def side(x: str) -> DataFrame:
+        return early.select("gram", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n_grams", "root", *PARITY)])
+
     # at the first common gram nothing before it is common, which bounds the overlap by what follows
-    fits = (F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1) * (num + den) >= (F.col("n") + F.col("n_b")) * num
-    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_b"))))
-    fits = fits & (apart * (num + den) <= (F.col("n") + F.col("n_b")) * (den - num))
-    both = early.withColumnRenamed("node", "a").join(other, "gram").filter((F.col("a") < F.col("b")) & fits & (F.col("root") != F.col("root_b")))
-    return both.select("a", "b").distinct()
+    n_a, n_b = F.col("n_grams_a"), F.col("n_grams_b")
+    follows = (F.least(n_a - F.col("place_a"), n_b - F.col("place_b")) + 1) * (num + den) >= (n_a + n_b) * num
+    both = side("a").join(side("b"), "gram").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & follows & parity_fits(n_a, n_b, num, den))
+    return both.select("a", "b", n_a.alias("n_a"), n_b.alias("n_b")).distinct()
 
 
 # --- the operator --------------------------------------------------------------
-def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, links, roots): documents with their nodes, links between different sets found, components.
+def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets, nodes, links, roots): documents with their nodes, distinct nodes, links between them, components.
 
     Links have similarity num / den or more; they connect every component, though
     pairs inside one may stay untested.
     """
+    if 3 * num < 2 * den or num > den:
+        raise ValueError("the similarity must be from 2/3 to 1: below it a set could meet partners beyond the next class of sizes")
     common.ship_package(docs.sparkSession)
     sets = common.stage(set_table(docs, n))
-    grams = sets.agg(F.coalesce(F.sum("n_grams"), F.lit(0))).first()[0]
+    nodes = sets.filter("node is not null").groupBy("node", "n_grams", *PARITY)
+    nodes = common.stage(nodes.agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")))
+    grams = nodes.agg(F.coalesce(F.sum("n_grams"), F.lit(0))).first()[0]
     buckets = max(16, int(grams * 2 * (den - num) / (den + num) * 2.2) // BUCKET_ROWS)
-    first = common.stage(star_candidates(docs, n, num, den, buckets))
-    lists = gram_table(docs, n, first)
-    tried = common.stage(linked(first, lists, num, den))
-    links = tried.filter("similar").select("a", "b")
+    first = common.stage(bounded(star_candidates(docs, n, num, den, buckets), nodes, num, den))
+    ends = first.filter("fits or not sole").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    lists = gram_table(docs, n, common.stage(nodes.select("node", "doc").join(ends, "node", "left_semi")))
+    tried = common.stage(linked(first.filter("fits"), lists, num, den))
+    links = common.stage(tried.filter("similar").select("a", "b"))
     roots = common.components(links)
-    missed = tried.filter("not similar").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    failed = first.filter("not fits and not sole").select("a", "b").unionByName(tried.filter("not similar and not sole").select("a", "b"))
+    missed = failed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     touched = missed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
     again = common.stage(touched.join(roots, "root", "left").select(F.coalesce("node", "root").alias("node"), "root").distinct())
     if not again.isEmpty():
-        second = common.stage(rest_pairs(lists, again, num, den).join(tried, ["a", "b"], "left_anti"))
+        second = common.stage(rest_pairs(lists, nodes, again, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti"))
         if not second.isEmpty():
-            links = links.unionByName(linked(second, lists, num, den).filter("similar").select("a", "b"))
+            links = common.stage(links.unionByName(linked(second, lists, num, den).filter("similar").select("a", "b")))
             roots = common.components(links)
-    return sets, links, roots
+    common.release(first, lists, tried)
+    return sets, nodes, links, roots
 
 
 def classes_of(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_grams and component_id (the smallest doc_id reachable by links) of each row."""
-    sets, _, roots = join(docs, n, num, den)
-    named = sets.filter("node is not null").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
-    low = named.groupBy("root", "node").agg(F.min("doc_id").alias("d"))
-    name = low.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_node = low.join(name, "root").select("node", "component_id")
-    return sets.join(of_node, "node", "left").select("doc_id", "n_grams", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets, nodes, _, roots = join(docs, n, num, den)
+    rooted = common.stage(roots.join(nodes.select("node", "doc"), "node"))
+    name = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
+    of_node = common.attach(rooted.select("node", "root"), name, "root").select("node", "component_id")
+    alone = nodes.filter("copies > 1").join(rooted, "node", "left_anti").select("node", F.col("doc").alias("component_id"))
+    known = common.stage(of_node.unionByName(alone))
+    return common.attach(sets.select("doc_id", "n_grams", "node"), known, "node").select("doc_id", "n_grams", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
