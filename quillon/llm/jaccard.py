@@ -9,20 +9,23 @@ one is then equal in both sets.  Sizes fall into classes; a class fixes the
 number of fragments, k + 1 and a reserve for empty ones, for pairs within it or
 with the class below.  A set with more empty fragments than the reserve is cut
 again by another order, and after eight cuts shows its empty fragments too, so no
-pair is lost.  Within a bucket of sets that share a fragment the smallest is the
+pair is lost.  A few fragments more than needed make similar sets share several of
+them, so that a set that meets strangers in one or two buckets need not be tried again.
+Within a bucket of sets that share a fragment the smallest is the
 centre, and only (centre, member) pairs are candidates.
 
-Pruning.  Sizes and 256 parity bits of each set bound the overlap from above; only
+Pruning.  Sizes and parity bits, at least one for each n-gram, bound the overlap from above; only
 pairs that they let through get their n-gram lists.
 
 Counts.  The lists are cut into eight fragments of the order, one row a (fragment, set).
 For each candidate pair the overlaps are counted fragment by fragment and the partial
 counts summed; the test is exact in integers.
 
-Rest.  Where a centre fails the test and its bucket has further members, linked pairs can
-still lie in different components.  The sets of these components are joined once
-more, by prefixes in the order of frequency among them, and pairs in
-different components are counted alike.
+Rest.  Where a set fails the test in as many buckets of several members as it shares
+with a similar one at least, linked pairs can still lie in different components.  The
+sets of these components are joined once more, by prefixes in the order of frequency
+among them: first a few sets of each gram with the others, then all pairs that still
+lie in different components.
 
 Exact copies are one set from the start, each partition passes on one
 row for each fragment, and documents get the component of a set with many copies
@@ -53,7 +56,10 @@ CLASS_RATIO = 1.5
 BUCKET_ROWS = 200_000
 FILTER_BITS = 1 << 25
 CUTS = 8
-PARITY = ("p0", "p1", "p2", "p3")
+#: Sets of each early gram that are tried with all others before the pairs that are left.
+STARS = 8
+#: One fragment more than needed for so many.
+SPARE = 8
 
 
 # --- sets --------------------------------------------------------------------
@@ -97,16 +103,26 @@ def classes(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / np.log(CLASS_RATIO) + 1e-9).astype(np.int64)
 
 
-def class_shape(cls: int, num: int, den: int) -> tuple[int, int]:
-    """(fragments, reserve) for pairs whose larger set is of class ``cls``."""
+def class_shape(cls: int, num: int, den: int) -> tuple[int, int, int]:
+    """(fragments, reserve, fragments that two similar sets share) for pairs whose larger set is of class ``cls``."""
     top = int(np.ceil(CLASS_RATIO ** (cls + 1) + 1e-6))
     least = max(CLASS_RATIO**cls * num / den, 1.0)
     k = 2 * top * (den - num) // (den + num)
-    reserve = 0
+    reserve, shared = 0, 1 + (k + 1) // SPARE
     for _ in range(3 if k else 0):
-        expect = (k + 1 + reserve) * np.exp(-least / (k + 1 + reserve))
+        expect = (k + shared + reserve) * np.exp(-least / (k + shared + reserve))
         reserve = int(expect + np.sqrt(expect))
-    return k + 1 + reserve, reserve
+    return k + shared + reserve, reserve, shared
+
+
+def needs(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """In how many crowded buckets a set must fail before a similar one can have escaped it.
+
+    Two similar sets that no bucket tries have ``shared`` buckets in common, in
+    each of which one of them at least fails against the centre: one of them in half of these.
+    """
+    cls, back = np.unique(classes(size), return_inverse=True)
+    return np.array([-(-class_shape(int(c), num, den)[2] // 2) for c in cls], np.int64)[back]
 
 
 def signatures(sets: Sets, rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +131,7 @@ def signatures(sets: Sets, rows: np.ndarray, num: int, den: int) -> tuple[np.nda
     own = classes(sets.size[rows])
     up = classes(sets.size[rows] * den // num)  # the largest partner's class
     for cls in np.unique(np.concatenate([own, up])):
-        f, reserve = class_shape(int(cls), num, den)
+        f, reserve, _ = class_shape(int(cls), num, den)
         members = rows[(own == cls) | (up == cls)]
         for cut in range(CUTS):
             size = sets.size[members]
@@ -162,29 +178,28 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 # --- passes over the texts ---------------------------------------------------
-def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_grams, node and parities of every document; the node of an empty set is null."""
+def set_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_grams, node, need and parity of every document; the node of an empty set is null."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = Sets(common.text_of(batch), n)
         node = pa.array(sets.node, mask=sets.size == 0)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.size), node, *parity(sets)], names=["doc_id", "n_grams", "node", *PARITY])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.size), node, pa.array(needs(sets.size, num, den)), parity(sets)], names=["doc_id", "n_grams", "node", "need", "parity"])
 
-    return common.map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_grams long, node long, " + ", ".join(f"{p} long" for p in PARITY))
+    return common.map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_grams long, node long, need long, parity array<long>")
 
 
-def parity(sets: Sets) -> list[pa.Array]:
-    """256 bits a set, each the parity of the grams that hash to it, as four longs.
+def parity(sets: Sets) -> pa.Array:
+    """A bit for each hash of a gram, the parity of the grams that hash to it; at least as many bits as grams.
 
-    Sets differ in at least as many grams as bits.
+    Sets differ in at least as many grams as bits.  The number of bits is a power of two
+    from 256; one half of them xor the other half is the parity of half as many bits.
     """
-    slot = sets.owner * 256 + (common.mix(sets.gram) >> U64(56)).astype(np.int64)
-    words = np.zeros((len(sets.size), len(PARITY)), np.int64)
-    for i in range(0, len(words), 4096):  # bounds the counts held at a time
-        many = len(words[i : i + 4096])
-        own = slot[sets.at[i] : sets.at[i + many]] - i * 256
-        words[i : i + many] = np.packbits((np.bincount(own, minlength=many * 256) & 1).astype(np.uint8)).view("<i8").reshape(many, -1)
-    return [pa.array(words[:, k]) for k in range(len(PARITY))]
+    bits = np.left_shift(1, np.maximum(8, np.ceil(np.log2(np.maximum(sets.size, 1))).astype(np.int64)))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    slot = start[sets.owner] + (common.mix(sets.gram) & (bits - 1).astype(U64)[sets.owner]).astype(np.int64)
+    odd = (np.bincount(slot, minlength=start[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(start // 64, pa.int32()), pa.array(np.packbits(odd, bitorder="little").view("<i8")))
 
 
 def distinct_rows(sets: Sets, seen: set[int]) -> np.ndarray:
@@ -211,20 +226,21 @@ def center_pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sig[at], node[at], np.diff(np.append(at, len(sig))), place[~first], node[~first]
 
 
-def pair_rows(a: np.ndarray, b: np.ndarray, sole: np.ndarray) -> pa.RecordBatch:
-    """Distinct pairs; a pair is sole if each of its rows is."""
-    order = np.lexsort((sole, b, a))
-    a, b, sole = a[order], b[order], sole[order]
+def pair_rows(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs with the sum of ``times``."""
+    order = np.lexsort((b, a))
+    a, b, times = a[order], b[order], times[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(sole[new])], names=["a", "b", "sole"])
+    total = np.add.reduceat(times, np.flatnonzero(new)) if len(a) else times
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(total.astype(np.int64))], names=["a", "b", "times"])
 
 
 def star_candidates(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
     """Distinct (a, b) pairs of nodes: for each signature the smallest node with every other.
 
-    ``sole`` pairs met only under signatures that no third set has, so that
-    nothing is hidden behind them.
+    ``times`` counts the signatures under which a pair met that a third set has too,
+    so that a similar pair may be hidden behind this one.
 
     Rows in flight are packed: a row has the signatures of one bucket of one
     slice and the node of each.  Within a bucket 31 bits of a signature tell it
@@ -260,16 +276,16 @@ def star_candidates(docs: DataFrame, n: int, num: int, den: int, buckets: int) -
     def join(key, table):
         left, right = b"".join(table["left"].to_pylist()), np.frombuffer(b"".join(table["right"].to_pylist()), np.int64)
         if key[0].as_py() < 0:
-            return pa.Table.from_batches([pair_rows(np.frombuffer(left, np.int64), right, np.zeros(len(right), bool))])
+            return pa.Table.from_batches([pair_rows(np.frombuffer(left, np.int64), right, np.ones(len(right), np.int64))])
         tag = np.frombuffer(left, np.uint32)
         crowded = np.unique(tag[tag & 1 == 1] >> 1)
         found, center, many, place, other = center_pairs(tag >> 1, right)
         sole = (many == 2) & ~np.isin(found, crowded)
-        return pa.Table.from_batches([pair_rows(center[place], other, sole[place])])
+        return pa.Table.from_batches([pair_rows(center[place], other, ~sole[place])])
 
     packed = docs.select("text").mapInArrow(emit, "bucket long, left binary, right binary")
-    pairs = packed.groupBy("bucket").applyInArrow(join, "a long, b long, sole boolean")
-    return pairs.groupBy("a", "b").agg(F.bool_and("sole").alias("sole"))
+    pairs = packed.groupBy("bucket").applyInArrow(join, "a long, b long, times long")
+    return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"))
 
 
 def gram_table(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -302,17 +318,24 @@ def gram_table(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """``pairs`` with both sizes and whether sizes and parities let them be similar."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n_grams").alias("n_a"), *[F.col(p).alias(f"{p}_a") for p in PARITY])
-    right = nodes.select(F.col("node").alias("b"), F.col("n_grams").alias("n_b"), *[F.col(p).alias(f"{p}_b") for p in PARITY])
-    both = pairs.join(left, "a").join(right, "b")
-    fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & parity_fits(F.col("n_a"), F.col("n_b"), num, den)
-    return both.select("a", "b", "sole", "n_a", "n_b", fits.alias("fits"))
+    """``pairs`` with both sizes, the need of b, and whether sizes and parities let them be similar."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n_grams").alias("n_a"), F.col("parity").alias("parity_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n_grams").alias("n_b"), F.col("parity").alias("parity_b"), "need")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "times", "n_a", "n_b", "need", may_be_similar(F.col("n_a"), F.col("n_b"), num, den).alias("fits"))
+
+
+def may_be_similar(n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    """Whether sizes and parities let two sets be similar; neither has twice the size of the other, so at most one fold is due."""
 
+    def folded(x: str, y: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        fold = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(y), fold).otherwise(F.col(x))
 
-def parity_fits(n_a: Column, n_b: Column, num: int, den: int) -> Column:
-    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY[1:]), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
-    return apart * (num + den) <= (n_a + n_b) * (den - num)
+    differ = F.zip_with(folded("parity_a", "parity_b"), folded("parity_b", "parity_a"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+    sizes = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
+    return F.when(sizes, apart * (num + den) <= (n_a + n_b) * (den - num)).otherwise(F.lit(False))
 
 
 def linked(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -332,8 +355,8 @@ def linked(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
     return both.select(*pairs.columns, similar.alias("similar"))
 
 
-def rest_pairs(lists: DataFrame, nodes: DataFrame, again: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes of ``again`` (node, root) that may be similar and lie in different components.
+def early_grams(lists: DataFrame, nodes: DataFrame, again: DataFrame, num: int, den: int) -> DataFrame:
+    """gram, node and the place of the gram, of the first grams of each set of ``again`` (node, root).
 
     Here the order is by frequency among these nodes, then by gram.  Similar sets
     share one of their first size - ceil(t size) + 1 grams in any common order,
@@ -349,16 +372,31 @@ def rest_pairs(lists: DataFrame, nodes: DataFrame, again: DataFrame, num: int, d
     place = F.row_number().over(of_node.orderBy("c", "gram")) + F.col("n_grams") - F.count("*").over(of_node)
     prefix = F.col("n_grams") - F.ceil(F.col("n_grams") * num / den - 1e-9) + 1
     early = sized.withColumn("place", place).filter((F.col("place") <= prefix) & F.col("apart")).select("gram", "node", "place")
-    early = common.stage(early.join(nodes.select("node", "n_grams", *PARITY).join(again, "node"), "node"))
+    return common.stage(early.join(nodes.select("node", "n_grams", "parity"), "node"))
+
+
+def met_early(early: DataFrame, roots: DataFrame, num: int, den: int, star: bool) -> DataFrame:
+    """Pairs of nodes in different components that share an early gram and may be similar.
+
+    All of them, or those of ``STARS`` nodes of each gram with the others: the ones where the gram
+    comes first, which of a group of variants are the ones with the fewest grams of their own.
+    """
+    rooted = early.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def side(x: str) -> DataFrame:
-        return early.select("gram", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n_grams", "root", *PARITY)])
+        return rooted.select("gram", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n_grams", "root", "parity")])
 
-    # at the first common gram nothing before it is common, which bounds the overlap by what follows
     n_a, n_b = F.col("n_grams_a"), F.col("n_grams_b")
+    one = side("a")
+    if star:
+        turn = F.row_number().over(Window.partitionBy("gram").orderBy("place_a", "a"))
+        one = one.withColumn("turn", turn).filter(F.col("turn") <= STARS).drop("turn")
+    # at the first common gram nothing before it is common, which bounds the overlap by what follows
     follows = (F.least(n_a - F.col("place_a"), n_b - F.col("place_b")) + 1) * (num + den) >= (n_a + n_b) * num
-    both = side("a").join(side("b"), "gram").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & follows & parity_fits(n_a, n_b, num, den))
-    return both.select("a", "b", n_a.alias("n_a"), n_b.alias("n_b")).distinct()
+    both = one.join(side("b"), "gram").filter((F.lit(star) | (F.col("a") < F.col("b"))) & (F.col("root_a") != F.col("root_b")) & follows & may_be_similar(n_a, n_b, num, den))
+    first = F.col("a") < F.col("b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return both.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n_grams_a", "n_grams_b").alias("n_a"), pick("n_grams_b", "n_grams_a").alias("n_b")).distinct()
 
 
 # --- the operator --------------------------------------------------------------
@@ -371,26 +409,34 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataF
     if 3 * num < 2 * den or num > den:
         raise ValueError("the similarity must be from 2/3 to 1: below it a set could meet partners beyond the next class of sizes")
     common.ship_package(docs.sparkSession)
-    sets = common.stage(set_table(docs, n))
-    nodes = sets.filter("node is not null").groupBy("node", "n_grams", *PARITY)
-    nodes = common.stage(nodes.agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")))
+    sets = common.stage(set_table(docs, n, num, den))
+    nodes = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n_grams", "need", "parity")])
+    nodes = common.stage(nodes)
     grams = nodes.agg(F.coalesce(F.sum("n_grams"), F.lit(0))).first()[0]
     buckets = max(16, int(grams * 2 * (den - num) / (den + num) * 2.2) // BUCKET_ROWS)
     first = common.stage(bounded(star_candidates(docs, n, num, den, buckets), nodes, num, den))
-    ends = first.filter("fits or not sole").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    crowded = first.groupBy("b").agg(F.sum("times").alias("times"), F.any_value("need").alias("need")).filter("times >= need").select("b")
+    ends = first.filter("fits").select("a", "b").unionByName(first.filter("times > 0").join(crowded, "b", "left_semi").select("a", "b"))
+    ends = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     lists = gram_table(docs, n, common.stage(nodes.select("node", "doc").join(ends, "node", "left_semi")))
     tried = common.stage(linked(first.filter("fits"), lists, num, den))
     links = common.stage(tried.filter("similar").select("a", "b"))
     roots = common.components(links)
-    failed = first.filter("not fits and not sole").select("a", "b").unionByName(tried.filter("not similar and not sole").select("a", "b"))
-    missed = failed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    failed = first.filter("not fits and times > 0").unionByName(tried.filter("not similar and times > 0").drop("similar"))
+    beaten = failed.groupBy("b").agg(F.sum("times").alias("times"), F.any_value("need").alias("need")).filter("times >= need").select("b")
+    missed = failed.join(beaten, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     touched = missed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
     again = common.stage(touched.join(roots, "root", "left").select(F.coalesce("node", "root").alias("node"), "root").distinct())
     if not again.isEmpty():
-        second = common.stage(rest_pairs(lists, nodes, again, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti"))
-        if not second.isEmpty():
-            links = common.stage(links.unionByName(linked(second, lists, num, den).filter("similar").select("a", "b")))
+        early, done = early_grams(lists, nodes, again, num, den), first.select("a", "b")
+        for star in (True, False):  # what the stars link need not be tried pair by pair
+            pairs = common.stage(met_early(early, roots, num, den, star).join(done, ["a", "b"], "left_anti"))
+            if pairs.isEmpty():
+                continue
+            more = common.stage(linked(pairs, lists, num, den).filter("similar").select("a", "b"))
+            links, done = common.stage(links.unionByName(more)), common.stage(done.unionByName(pairs.select("a", "b")))
             roots = common.components(links)
+        common.release(early)
     common.release(first, lists, tried)
     return sets, nodes, links, roots
 
