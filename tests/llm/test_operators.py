@@ -193,24 +193,75 @@ def test_code_lengths_by_definition():
 
 
 # --- 6 --------------------------------------------------------------------------
-def test_line_join_against_levenshtein(spark):
-    rng = np.random.default_rng(7)
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def line_classes(texts, tau=2, share=8):
+    """(doc, line number, class's first (doc, line number)) of every line, by definition."""
+    rows = [(d, i, x) for d, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")]
+    distinct = list(dict.fromkeys(x for _, _, x in rows))
+    root = dict(zip(distinct, distinct))
+    for x, y in itertools.combinations(distinct, 2):
+        m = min(len(x), len(y))
+        if abs(len(x) - len(y)) <= tau <= m and edits(x, y) <= min(tau, m // share):
+            root = {k: root[x] if r == root[y] else r for k, r in root.items()}
+    first = {}
+    for d, i, x in rows:
+        first.setdefault(root[x], (d, i))
+    return [(d, i, first[root[x]]) for d, i, x in rows]
+
+
+def near_lines(rng):
     lines = []
-    for _ in range(60):
-        base = list(rng.choice(list("abcé "), rng.integers(16, 40)))
+    for _ in range(40):
+        base = list(rng.choice(list("abcé 😀"), rng.integers(3, 40)))
         lines.append("".join(base))
-        for _ in range(rng.integers(0, 4)):
+        for _ in range(rng.integers(0, 5)):
             p = rng.integers(len(base))
-            base[p : p + rng.integers(0, 2)] = list(rng.choice(list("abcé"), rng.integers(0, 2)))
-        lines.append("".join(base))
-    docs = corpus(spark, ["\n".join(lines[i : i + 10]) for i in range(0, len(lines), 10)] + [None, "", "short\nshort\n\n\n" + lines[0]])
-    links = linededup.similar_lines(docs).count()
-    own = linededup.lines_of(docs).filter("length(line) >= 16").select("line").distinct()
-    truth = own.alias("a").join(own.alias("b"), F.expr("a.line < b.line and levenshtein(a.line, b.line) <= 2")).count()
-    assert links == truth > 10
-    last = {r["doc_id"]: (r["n_lines"], r["dropped"]) for r in linededup.copies(docs).collect()}
-    assert last[12] == (0, []) and last[13] == (0, []) and last[14] == (3, [1, 4])
-    assert linededup.clean(docs).filter("doc_id = 14").first()["text"] == "short\n\n"
+            base[p : p + rng.integers(0, 2)] = list(rng.choice(list("abcé😁"), rng.integers(0, 2)))
+            lines.append("".join(base) or "x")
+    template = "the same long opening of a line that many share, then a number "
+    return lines + [template + str(k) for k in rng.integers(100_000, 10_000_000, 60)]  # one segment in common, mostly far apart
+
+
+def test_line_classes_against_all_pairs(spark):
+    lines = near_lines(np.random.default_rng(7))
+    texts = ["\n".join(lines[i : i + 10]) for i in range(0, len(lines), 10)] + [None, "", "short\nshort\n\n\n" + lines[0], " \n", "y" * 20_000 + "\n" + "z" * 5, "y" * 20_001]
+    docs = corpus(spark, texts)
+    want = {}
+    for d, i, first in line_classes(texts):
+        if (d, i) != first:
+            want.setdefault(d, []).append((i, first[0]))
+    got = {r["doc_id"]: r for r in linededup.copies(docs).collect()}
+    assert {d: list(zip(r["dropped"], r["copied_from"])) for d, r in got.items() if r["dropped"]} == want
+    assert [r["n_lines"] for _, r in sorted(got.items())] == [sum(x.strip(" ") != "" for x in (t or "").split("\n")) for t in texts]
+    assert sum(map(len, want.values())) > 30 and want[len(texts) - 1] == [(0, len(texts) - 2)]
+
+
+def test_line_dedup_keeps_what_has_no_copy(spark):
+    rows = [(7, "first line here\nsecond line is different", "x"), (7, "first line here\nanother one of its own", "x"), (7, "first line here\nanother one of its own", "x"), (None, "first line here", "x"), (8, None, "x"), (9, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped string")
+    got = linededup.clean(docs)
+    assert got.columns == docs.columns
+    left = sorted((r["text"] for r in got.collect()), key=str)
+    # the null id comes first; rows equal in id and text count as one
+    assert left == sorted([None, "", "first line here", "second line is different", "another one of its own", "another one of its own"], key=str)
+    assert linededup.clean(docs.limit(0)).count() == linededup.copies(docs.limit(0)).count() == 0
+
+
+def test_line_check_looks_characters_up(spark):
+    pairs = spark.createDataFrame([(1, 2, "kitten", "sitting", 6, 7), (3, 4, "abcdefgh", "abcdefgh", 8, 8)], "a long, b long, short string, long string, m int, n int")
+    found = linededup.band_distance(pairs, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan and "regexp" not in plan  # they were laid out before
+    assert {r["a"]: r["edits"] for r in found.collect()} == {1: 3, 3: 0}
 
 
 # --- 7 --------------------------------------------------------------------------
