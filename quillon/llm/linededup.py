@@ -51,19 +51,23 @@ SMALL_ROWS = 500_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """line, n (characters) and h (64-bit hash) of every line that is not blank.
+    """line, wide (four bytes a character), n (characters) and h (64-bit hash) of every line that is not blank.
 
-    They come out of one generator, so that no later expression works them out again.
+    They come out of one generator, so that no later expression works them out
+    again; a segment of ``wide`` is found without counting characters.
     """
-    cut = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.char_length(x).alias("n"), F.xxhash64(x).alias("h")))
-    return docs.select(F.explode(cut).alias("l")).select("l.line", "l.n", "l.h").filter(F.trim("line") != "")
+    cut = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.encode(x, "UTF-32").alias("wide"), F.xxhash64(x).alias("h")))
+    own = docs.select(F.explode(cut).alias("l")).select("l.line", "l.wide", F.shiftright(F.octet_length("l.wide"), 2).alias("n"), "l.h")
+    return own.filter(F.trim("line") != "")
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no and h of every line that is not blank."""
-    cut = F.transform(F.split("text", "\n"), lambda x: F.struct((F.trim(x) != "").alias("full"), F.xxhash64(x).alias("h")))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(cut).alias("line_no", "l"))
-    return own.filter("l.full").select("doc_id", "text_hash", "line_no", "l.h")
+    """doc_id, text_hash, n_lines, line_no and h of every line that is not blank, and a row of line number -1 for each document."""
+    blank = F.struct(F.lit(-1).alias("line_no"), F.lit(None).cast("long").alias("h"))
+    each = F.transform(F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")), lambda x, i: F.struct(i.alias("line_no"), F.when(F.trim(x) != "", F.xxhash64(x)).alias("h")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.explode(F.array(F.filter(each, lambda e: e["h"].isNotNull()))).alias("full"))
+    out = own.select("doc_id", "text_hash", F.size("full").alias("n_lines"), F.explode(F.concat(F.array(blank), "full")).alias("l"))
+    return out.select("doc_id", "text_hash", "n_lines", "l.line_no", "l.h")
 
 
 # --- keys ----------------------------------------------------------------------
@@ -102,14 +106,14 @@ def keyed(lines: DataFrame, tau: int, two: bool, share: int, *carried: str) -> D
     """
     names = ("less", "i", "j", "a", "b") if two else ("less", "i", "a")
     table = F.array(*[F.struct(*[F.lit(v).alias(x) for x, v in zip(names, p, strict=True)]) for p in (probes_of_two(tau) if two else probes(tau))])
-    own = lines.select(*carried, "line", "n", F.explode(table).alias("p"))
+    own = lines.select(*carried, "wide", "n", F.explode(table).alias("p"))
     length, parts = F.col("n") - F.col("p.less"), tau + 2 if two else tau + 1
     held, text, plain = length >= share, [], F.col("p.less") == 0
     for i, shift in (("i", "a"), ("j", "b"))[: 1 + two]:
         start, size = segment(length, F.col(f"p.{i}"), parts)
         at = start + F.col(f"p.{shift}")
         held = held & (at >= 1) & (at + size - 1 <= F.col("n"))
-        text += [F.col(f"p.{i}"), F.substring("line", at, size)]
+        text += [F.col(f"p.{i}"), F.substring("wide", at * 4 - 3, size * 4)]
         plain = plain & (F.col(f"p.{shift}") == 0)
     key = F.xxhash64(length, *text)
     return own.filter(held).select(*carried, key.bitwiseAND(F.lit(-2)).bitwiseOR(plain.cast("long")).alias("k"))
@@ -122,7 +126,7 @@ def sized(table: DataFrame) -> DataFrame:
 
 def members(lines: DataFrame, tau: int, share: int) -> DataFrame:
     """k, c and h: the lines under each key that an indexed line has, and the key's centre."""
-    own = keyed(lines.filter(F.col("n") >= share), tau, False, share, "h").select("h", (F.col("k").bitwiseAND(F.lit(-2))).alias("k"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
+    own = keyed(lines.filter(F.col("n") >= share), tau, False, share, "h").select("h", F.col("k").bitwiseAND(F.lit(-2)).alias("k"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
     met = own.groupBy("k").agg(F.min("h").alias("c"), F.max("h").alias("top"), F.max("own").alias("own"))
     centers = common.stage(met.filter("c <> top and own = 1").select("k", "c"))
     return common.stage(own.select("k", "h").join(sized(centers), "k").filter("h <> c").select("k", "c", "h").distinct())
@@ -244,14 +248,14 @@ def similar_lines(docs: DataFrame, tau: int = 2, share: int = SHARE) -> tuple[Da
     lines = lines_of(docs)
     met = members(lines, tau, share)
     wanted = common.stage(met.select(F.explode(F.array("c", "h")).alias("h")).distinct())
-    texts = with_parity(lines.join(sized(wanted), "h", "left_semi").dropDuplicates(["h"]))
+    texts = with_parity(lines.select("h", "line", "n").join(sized(wanted), "h", "left_semi").dropDuplicates(["h"]))
     pairs = met.select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
     links = checked(near_pairs(pairs, texts, tau, share), texts, tau, share)
     roots = common.components(links)
     tried = met.join(links.select(F.col("a").alias("c"), F.col("b").alias("h"), F.lit(True).alias("near")), ["c", "h"], "left")
     bad = tried.groupBy("k").agg(F.count("*").alias("others"), F.count("near").alias("found")).filter("others > 1 and found < others")
     again = common.stage(met.join(bad.select("k"), "k", "left_semi").select(F.explode(F.array("c", "h")).alias("h")).distinct())
-    left = texts.join(again, "h", "left_semi").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    left = texts.withColumn("wide", F.encode("line", "UTF-32")).join(again, "h", "left_semi").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     second = rest_pairs(left, tau, share)
     more = checked(second.join(pairs, ["a", "b"], "left_anti"), texts, tau, share)
     if not more.isEmpty():
@@ -261,17 +265,19 @@ def similar_lines(docs: DataFrame, tau: int = 2, share: int = SHARE) -> tuple[Da
     return links, roots
 
 
-def first_lines(docs: DataFrame, tau: int, share: int) -> DataFrame:
-    """doc_id, text_hash, line_no and the class's first line of every line that is not the first of its class."""
+def placed_lines(docs: DataFrame, tau: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``rows_of``; doc_id, text_hash and cut of each document that loses lines: its (line_no, doc_id copied from))."""
     rows = common.stage(rows_of(docs))
+    lines = rows.filter("line_no >= 0")
     _, roots = similar_lines(docs, tau, share)
-    of_line = common.stage(rows.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("size")))
+    of_line = common.stage(lines.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("size")))
     linked = common.stage(of_line.join(roots.withColumnRenamed("node", "h"), "h").select("h", "root", "first"))
     of_class = common.attach(linked.select("h", "root"), linked.groupBy("root").agg(F.min("first").alias("first")), "root").select("h", "first")
     alone = of_line.filter("size > 1").join(linked, "h", "left_anti").select("h", "first")
-    known = common.stage(of_class.unionByName(alone))
-    placed = common.attach(rows, known, "h")
-    return placed.filter(F.col("first").isNotNull() & ~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("first")))
+    placed = common.attach(lines, common.stage(of_class.unionByName(alone)), "h")
+    gone = placed.filter(F.col("first").isNotNull() & ~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("first")))
+    each = F.struct("line_no", F.col("first.doc_id").alias("doc_id"))
+    return rows, gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(each)).alias("cut"))
 
 
 def copies(docs: DataFrame, tau: int = 2, share: int = SHARE) -> DataFrame:
@@ -280,23 +286,18 @@ def copies(docs: DataFrame, tau: int = 2, share: int = SHARE) -> DataFrame:
     ``dropped`` are the numbers, from 0 and ascending, of the lines that go;
     ``copied_from`` has the doc_id of the first line of the class of each.
     """
-    gone = dropped_lines(docs, tau, share)
-    full = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")), F.lit(0))
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.col("text").isNull(), 0).otherwise(full).alias("n_lines"))
+    rows, gone = placed_lines(docs, tau, share)
+    gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "cut")
+    own = rows.filter("line_no < 0").select("doc_id", "text_hash", "n_lines")
     out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), "left")
     cut = F.coalesce("cut", F.array().cast("array<struct<line_no:int,doc_id:bigint>>"))
     return out.select("doc_id", "n_lines", F.transform(cut, lambda x: x["line_no"]).alias("dropped"), F.transform(cut, lambda x: x["doc_id"]).alias("copied_from"))
 
 
-def dropped_lines(docs: DataFrame, tau: int, share: int) -> DataFrame:
-    """of_doc, of_text and cut, the (line_no, doc_id copied from) of each document that loses lines."""
-    gone = first_lines(docs, tau, share).select("doc_id", "text_hash", F.struct("line_no", F.col("first.doc_id").alias("doc_id")).alias("x"))
-    return gone.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).agg(F.array_sort(F.collect_set("x")).alias("cut"))
-
-
 def clean(docs: DataFrame, tau: int = 2, share: int = SHARE) -> DataFrame:
     """``docs`` with the dropped lines cut from their texts; null text stays null."""
-    gone = dropped_lines(docs, tau, share).select("of_doc", "of_text", F.transform("cut", lambda x: x["line_no"]).alias("cut"))
+    _, gone = placed_lines(docs, tau, share)
+    gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), F.transform("cut", lambda x: x["line_no"]).alias("cut"))
     whole = docs.select(F.struct("*").alias("row"))
     joined = whole.join(gone, F.col("row.doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64("row.text") == F.col("of_text")), "left")
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("cut", i)), "\n")
