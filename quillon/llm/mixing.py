@@ -8,8 +8,9 @@ missing, then a bounded-knapsack dynamic programme over the last words.  The
 documents of each length are then chosen by a seeded hash.
 
 Only lengths and counts meet in one task, never documents: a group of one
-source and length is cut into hash ranges, whole ranges are taken, and only the
-range where the count ends is ranked.
+source and length that is taken in part is cut into hash ranges of about
+RANGE_ROWS rows, and rows are ranked within them; all other rows stay where they are
+or, in large groups, get their group's plan without being moved.
 
 Defined cases: null or blank text has size 0 and is taken 0 times; the null
 source is a source of its own, the last; ties of the hash go by doc_id, and rows
@@ -73,8 +74,12 @@ def plan_source(sizes: list[int], counts: list[int], target: float) -> tuple[int
         if more > 0:
             extra[i] += more
             left -= more * sizes[i]
+    for i in order:  # more is left only if no spare document leaves half the programme's span: one of them fits at most
+        if left > KNAPSACK_WORDS and extra[i] < counts[i] and sizes[i] <= left:
+            extra[i] += 1
+            left -= sizes[i]
     usable = [i for i in order if extra[i] < counts[i] and sizes[i] <= left]
-    if 0 < left <= 8 * KNAPSACK_WORDS and usable:
+    if 0 < left <= KNAPSACK_WORDS and usable:
         for i, n in zip(usable, fill(left, [sizes[i] for i in usable], [counts[i] - extra[i] for i in usable]), strict=True):
             extra[i] += n
     return copies, extra
@@ -105,29 +110,33 @@ def targets(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row; sources weigh by code-point order, repeating."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = common.stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")))
-    goal = common.stage(targets(rows, weights))
-    own = goal.withColumnRenamed("source", "_source")
-    coded = rows.join(own, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "sid", "source_size", "target")
-    lengths = coded.groupBy("sid", "size").agg(F.count("*").alias("n"), F.first("target").alias("target"))
+    source = F.col("source").cast("string")
+    name = F.when(source.isNull(), "null").otherwise(F.concat(F.lit("="), source))
+    rows = common.stage(docs.select("doc_id", source.alias("source"), name.alias("name"), size.alias("size")))
+    goal = common.stage(targets(rows, weights).withColumn("name", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))).drop("source"))
+    group = F.col("sid").cast("long") * F.lit(1 << 40) + F.col("size")
+    coded = common.attach(rows.select("doc_id", "name", "size"), goal, "name").select("doc_id", "size", "source_size", "target", "sid", group.alias("group"))
+    coded = common.stage(coded)
+    lengths = coded.groupBy("group", "sid", "size").agg(F.count("*").alias("n"), F.any_value("target").alias("target"))
 
     def work(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("size")
         copies, extra = plan_source(table["size"].tolist(), table["n"].tolist(), float(table["target"].iloc[0]))
-        return pd.DataFrame({"sid": table["sid"], "size": table["size"], "n": table["n"], "copies": copies, "extra": extra})
+        return pd.DataFrame({"group": table["group"], "n": table["n"], "copies": copies, "extra": extra})
 
-    plan = common.stage(lengths.groupBy("sid").applyInPandas(work, "sid int, size long, n long, copies long, extra long"))
+    plan = common.stage(lengths.groupBy("sid").applyInPandas(work, "group long, n long, copies long, extra long"))
+    placed = common.attach(coded, plan, "group")
+    out = lambda df, more: df.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more.cast("long"))).alias("taken"))
+    split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
+    # a split group is cut into ranges of the hash, of which one at most is split again
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
     ranges = F.ceil(F.col("n") / RANGE_ROWS)
-    drawn = coded.join(plan, ["sid", "size"]).withColumn("draw", draw)
-    drawn = drawn.withColumn("part", F.when((F.col("extra") > 0) & (F.col("extra") < F.col("n")), F.floor(F.col("draw") / float(1 << 40) * ranges)).otherwise(F.pmod("draw", F.lit(64))))
-    counted = drawn.groupBy("sid", "size", "part").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("sid", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = counted.select("sid", "size", "part", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy("draw", "doc_id"))
-    ranked = drawn.withColumn("rank", rank).join(counted, ["sid", "size", "part"])
-    more = (F.col("before") + F.col("rank") <= F.col("extra")).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more)).alias("taken"))
+    cut = placed.filter(split).withColumn("draw", draw).withColumn("part", F.floor(F.col("draw") / float(1 << 40) * ranges))
+    counted = cut.groupBy("group", "part").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = cut.join(counted.select("group", "part", before.alias("before")), ["group", "part"])
+    place = F.row_number().over(Window.partitionBy("group", "part").orderBy("draw", "doc_id"))
+    return out(placed.filter(~split), F.col("extra") >= F.col("n")).unionByName(out(ranked.withColumn("place", place), F.col("before") + F.col("place") <= F.col("extra")))
 
 
 def apply(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 11) -> DataFrame:
@@ -135,15 +144,15 @@ def apply(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 1
 
     Blank texts have no words to take and stay once.  Rows that share a doc_id
     have their copies added up and shared out evenly, the first rows by text one
-    more.
+    more.  Other columns of ``docs`` may have any names.
     """
     found = mix(docs, weights, seed)
     times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int")
-    plan = common.stage(found.select(F.col("doc_id").alias("_doc"), times.alias("_times")))
-    per = plan.groupBy("_doc").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows"))
-    joined = docs.join(per, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    if not per.filter("_rows > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        joined = joined.withColumn("_place", place).withColumn("_times", F.expr("_times div _rows + if(_place <= _times % _rows, 1, 0)"))
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
-    return repeated.select(*docs.columns)
+    per = common.stage(found.select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.sum("times").alias("times"), F.count("*").alias("rows")))
+    whole = docs.select(F.struct("*").alias("row"))
+    joined = whole.join(per, F.col("row.doc_id").eqNullSafe(F.col("doc_id"))).select("row", "times", "rows")
+    if not per.filter("rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+        joined = joined.withColumn("place", place).withColumn("times", F.expr("times div rows + if(place <= times % rows, 1, 0)"))
+    repeated = joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
+    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])
