@@ -30,6 +30,8 @@ from . import common
 
 BLOCK_IDS = 1 << 16
 CACHE_WORDS = 700_000
+#: Longer slices than elsewhere: more words are met once only.
+SLICE_BYTES = 8 << 20
 SENTINEL = "\x01"
 BLOCKS = T.StructType(
     [
@@ -173,7 +175,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
         bits = max(width_of(coder.tokenizer.get_vocab_size()), width_of(end_id + 1))
         block, before, shard = 0, 0, None
         for batch in batches:
-            for part in common.slices(batch, most=common.SLICE_BYTES):
+            for part in common.slices(batch, most=SLICE_BYTES):
                 ids, counts = coder.encode(common.text_of(part), end_id)
                 doc_ids = part.column("doc_id").to_pylist()
                 shard = part.column("shard")[0].as_py()
@@ -187,9 +189,9 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
                     )
                     block, before, first = block + 1, before + n, last
 
-    common.ship_package(docs.sparkSession)
+    common.ready(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(run, BLOCKS)
+    return ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(common.tidy(run), BLOCKS)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> str:
@@ -217,7 +219,7 @@ def read(spark, path: str) -> DataFrame:
                     names=["shard", "doc_id", "within", "n_tokens", "ids_crc32"],
                 )
 
-    common.ship_package(spark)
+    common.ready(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # a row a shard
     base, bases = 0, []
@@ -225,7 +227,7 @@ def read(spark, path: str) -> DataFrame:
         bases.append((r["shard"], base))
         base += r["n"]
     table = spark.createDataFrame(bases, "shard int, base long")
-    documents = blocks.mapInArrow(run, DOCUMENTS)
+    documents = blocks.mapInArrow(common.tidy(run), DOCUMENTS)
     return documents.join(table, "shard", "left").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -7,6 +7,7 @@ once for each *distinct* word of a bounded slice and spread back by gather.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,9 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir, release, ship_package, stage  # noqa: F401 (operators take them from here)
 
 #: Bytes of text that one kernel call works on; bounds a Python worker's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Rows that Spark hands to a worker at a time, where the session leaves it at its default.
+BATCH_ROWS = 4096
 U64 = np.uint64
 
 
@@ -30,6 +33,34 @@ HOT_ROWS = 64
 HOT_KEYS = 50_000
 
 
+def ready(spark: SparkSession) -> None:
+    """The package on the workers, and batches small enough that long texts do not pile up in one."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task stands beside other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over the batches of a task, memory given back when the task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -129,7 +160,7 @@ def flat_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType, column: str = "text") -> DataFrame:
     """Apply ``work`` to bounded slices of each partition, without a shuffle."""
-    ship_package(df.sparkSession)
+    ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,10 +169,16 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 # --- bounded samples of labelled rows ---------------------------------------
+#: Labels whose counts the driver holds; with more, counts are joined.
+FEW_LABELS = 1000
+#: Ids that are sent to every task; with more, they are joined by a shuffle.
+FEW_IDS = 200_000
+
+
 def remainder(column: str, by: int):
     """crc32 of the id's decimal text, modulo ``by``; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % by
@@ -154,13 +191,18 @@ def bounded_sample(rows: DataFrame, label: str, per_class: int, seed: int = 17)
     sorts a whole class.
     """
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(10_000).collect() if r[0] is not None}
+    known = rows.filter(F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy(label).count().limit(FEW_LABELS + 1).collect()}
     if not counts:
         return rows.limit(0)
-    cut = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(min(1.0, 1.5 * per_class / n + 64.0 / n))) for k, n in sorted(counts.items())])
-    near = rows.withColumn("_draw", draw).filter(F.col("_draw") < cut * float(1 << 40))
+    rate = lambda n: F.least(F.lit(1.0), (1.5 * per_class + 64.0) / n)
+    if len(counts) <= FEW_LABELS:
+        near = known.withColumn("_cut", F.coalesce(*[F.when(F.col(label) == F.lit(k), rate(F.lit(n))) for k, n in sorted(counts.items())]))
+    else:  # as many labels as there may be: counts are joined
+        near = attach(known, known.groupBy(label).agg(F.count("*").alias("_n")), label).withColumn("_cut", rate(F.col("_n"))).drop("_n")
+    near = near.withColumn("_draw", draw).filter(F.col("_draw") < F.col("_cut") * float(1 << 40))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw", "doc_id"))
-    return near.withColumn("_rank", rank).filter(F.col("_rank") <= per_class).drop("_rank", "_draw")
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= per_class).drop("_rank", "_draw", "_cut")
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, label: str, most_bytes: int) -> tuple[list[str], list]:
@@ -170,11 +212,12 @@ def texts_of(docs: DataFrame, chosen: DataFrame, label: str, most_bytes: int) ->
     with no more characters than a sixteenth of the bytes of a share, so that
     a long one takes at most a quarter of it and no label is left without texts.
 
-    ``chosen`` holds few rows (its maker bounds them), so it goes to every task.
+    The ids go to every task if they are as few as FEW_IDS.
     """
-    ids = chosen.select("doc_id", label).distinct()
+    ids = stage(chosen.select("doc_id", label).distinct())
+    few = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     share = most_bytes // max(1, ids.select(label).distinct().count())
-    kept = docs.select("doc_id", F.substring("text", 1, max(1, share // 16)).alias("text")).join(F.broadcast(ids), "doc_id")
+    kept = docs.select("doc_id", F.substring("text", 1, max(1, share // 16)).alias("text")).join(few, "doc_id")
     draw = F.xxhash64(F.col("doc_id"), F.lit(5))
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy(label).orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     table = kept.withColumn("_size", size).filter(F.col("_size") <= share).orderBy(draw, "doc_id").select("text", label).toArrow()

@@ -283,7 +283,7 @@ def star_candidates(docs: DataFrame, n: int, num: int, den: int, buckets: int) -
         sole = (many == 2) & ~np.isin(found, crowded)
         return pa.Table.from_batches([pair_rows(center[place], other, ~sole[place])])
 
-    packed = docs.select("text").mapInArrow(emit, "bucket long, left binary, right binary")
+    packed = docs.select("text").mapInArrow(common.tidy(emit), "bucket long, left binary, right binary")
     pairs = packed.groupBy("bucket").applyInArrow(join, "a long, b long, times long")
     return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"))
 
@@ -313,7 +313,7 @@ def gram_table(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * FRAGMENTS, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([pa.array(sets.node[rows]), lists], names=["node", "grams"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "node long, grams array<array<long>>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.tidy(emit), "node long, grams array<array<long>>")
     return common.stage(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
@@ -408,7 +408,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataF
     """
     if 3 * num < 2 * den or num > den:
         raise ValueError("the similarity must be from 2/3 to 1: below it a set could meet partners beyond the next class of sizes")
-    common.ship_package(docs.sparkSession)
+    common.ready(docs.sparkSession)
     sets = common.stage(set_table(docs, n, num, den))
     nodes = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n_grams", "need", "parity")])
     nodes = common.stage(nodes)
