@@ -225,15 +225,18 @@ def texts_of(docs: DataFrame, chosen: DataFrame, label: str, most_bytes: int) ->
 
 
 # --- joins on hot keys ---------------------------------------------------------
-def attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """``rows`` joined from the left with ``table``, which has one row a key; ``rows`` should be staged.
 
     Rows of a hot key never meet in one task.  A key is hot with more than
     HOT_ROWS rows and more than one HOT_KEYS-th of all rows, so there are at
     most HOT_KEYS such keys, and what ``table`` has on them goes to every task.
-    Rows without a key are not moved at all.
+    Rows without a key are not moved at all.  ``total`` is the number of rows, where known.
     """
-    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    total = rows.count() if total is None else total
+    if total <= HOT_ROWS:
+        return rows.join(table, key, "left").select(*rows.columns, *[c for c in table.columns if c != key])
+    most = max(HOT_ROWS, total // HOT_KEYS)
     hot = stage(rows.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > most)).select(key))
     extra = [c for c in table.columns if c != key]
     few = F.broadcast(hot.join(table, key, "left").withColumn("_hot", F.lit(True)))
@@ -252,18 +255,15 @@ def components(links: DataFrame) -> DataFrame:
     off in the checkpoint folder.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    last = None
-    while True:
+    size_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now, last = size_of(edges), None
+    while now != last and now[0]:
         two = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = attach(two.filter("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = attach(two.filter("v > u"), low, "u", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        small = hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stage(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
+        edges = stage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now, last = size_of(edges), now
     root = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return root.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -431,11 +431,11 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataF
         early, done = early_grams(lists, nodes, again, num, den), first.select("a", "b")
         for star in (True, False):  # what the stars link need not be tried pair by pair
             pairs = common.stage(met_early(early, roots, num, den, star).join(done, ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
-                continue
             more = common.stage(linked(pairs, lists, num, den).filter("similar").select("a", "b"))
-            links, done = common.stage(links.unionByName(more)), common.stage(done.unionByName(pairs.select("a", "b")))
-            roots = common.components(links)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                roots = common.components(links)
+            done = done.unionByName(pairs.select("a", "b"))
         common.release(early)
     common.release(first, lists, tried)
     return sets, nodes, links, roots

@@ -137,7 +137,9 @@ class Model:
 def fit(docs: DataFrame, labelled: DataFrame, per_language: int = 400, most_bytes: int = 12 << 20) -> Model:
     """Learn from at most ``per_language`` rows of each language and ``most_bytes`` of text in all."""
     chosen = common.bounded_sample(labelled.filter(F.col("lang").isNotNull()).select("doc_id", "lang"), "lang", per_language)
-    return Model(*common.texts_of(docs, chosen, "lang", most_bytes))
+    model = Model(*common.texts_of(docs, chosen, "lang", most_bytes))
+    common.give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

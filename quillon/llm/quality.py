@@ -74,7 +74,7 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     weight = np.append(often[owner], again)
     found, inverse = np.unique(bucket, return_inverse=True)
     mass = np.bincount(inverse, weight)
-    return found, (mass / mass.sum()).astype(np.float32)
+    return found.astype(np.int32), (mass / mass.sum()).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 8.0, seed: int = 3) -> Model:
@@ -111,7 +111,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 8
 def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", per_class: int = 1200, most_bytes: int = 16 << 20) -> Model:
     """Learn from at most ``per_class`` rows of each label and ``most_bytes`` of text in all."""
     rows = labelled.filter(F.col(label).isin(0, 1)).select("doc_id", label)
-    return train(*common.texts_of(docs, common.bounded_sample(rows, label, per_class), label, most_bytes))
+    model = train(*common.texts_of(docs, common.bounded_sample(rows, label, per_class), label, most_bytes))
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:

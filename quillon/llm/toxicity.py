@@ -6,7 +6,8 @@ regression over them carries one more term: identity terms in labelled
 sentences are swapped for others of their group, and the squared change of the
 score is penalised, so that a neutral mention of a group does not raise a score.
 As the score is linear in the features, the change of a swap is the weights
-times the difference of the two sentences' features.
+times the difference of the two sentences' features.  Every sentence of the sample with
+a term is swapped with every other term of its group, and so is the term alone.
 
 Defined cases: a null or empty text scores the model's base rate; one class or
 no labelled row gives that share to all texts; repeated rows score alike.
@@ -14,7 +15,9 @@ no labelled row gives that share to all texts; repeated rows score alike.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,33 +81,27 @@ def text_buckets(text: pa.Array, live: np.ndarray | None = None) -> tuple[np.nda
     return pair // BUCKETS, pair % BUCKETS
 
 
-def buckets_of(texts: list[str]) -> list[np.ndarray]:
+def buckets_of(texts: list[str]) -> Iterator[np.ndarray]:
     """The distinct feature buckets of each text, worked out in bounded slices."""
-    out: list[np.ndarray] = []
     if not texts:
-        return out
-    for part in common.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), most=2 << 20):
+        return
+    for part in common.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), most=1 << 20):
         owner, bucket = text_buckets(part.column(0))
-        out += np.split(bucket, np.searchsorted(owner, np.arange(1, part.num_rows)))
-    return out
+        yield from np.split(bucket, np.searchsorted(owner, np.arange(1, part.num_rows)))
 
 
 ANY_TERM = re.compile(r"(?i)\b(?:" + "|".join(sorted(PARTNERS, key=len, reverse=True)) + r")\b")
 
 
-def counterfactuals(texts: list[str], most: int = 4000) -> list[tuple[str, str]]:
-    """Sentences of the sample with an identity term, and the same with another of its group."""
-    out = []
+def counterfactuals(texts: list[str]) -> Iterator[tuple[str, str]]:
+    """Sentences of the sample with an identity term, and the same with every other term of its group."""
     for text in texts:
         if not ANY_TERM.search(text):
             continue
         for sentence in SENTENCE.findall(text):
             for word in WORD.findall(sentence.lower()):
-                for other in PARTNERS.get(word, [])[:3]:
-                    out.append((sentence, re.sub(rf"(?i)\b{re.escape(word)}\b", other, sentence)))
-                    if len(out) >= most:
-                        return out
-    return out
+                for other in PARTNERS.get(word, []):
+                    yield sentence, re.sub(rf"(?i)\b{re.escape(word)}\b", other, sentence)
 
 
 class Model:
@@ -124,9 +121,8 @@ def train(texts: list[str], labels: list[int], penalty: float = 1.0, sparse: flo
     if len(set(labels)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    found = buckets_of(texts)
     held = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for ids, label in zip(found, labels, strict=True):
+    for ids, label in zip(buckets_of(texts), labels, strict=True):
         held[label][ids] += 1
     rate = [(h + 0.5) / (n + 1) for h, n in zip(held, np.bincount(y.astype(int), minlength=2), strict=True)]
     # chosen: the strongest signed root of the likelihood ratio among features of label 1
@@ -138,23 +134,26 @@ def train(texts: list[str], labels: list[int], penalty: float = 1.0, sparse: flo
     column = np.full(BUCKETS, -1)
     column[keep] = np.arange(len(keep))
 
-    def rows(many: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(many), len(keep)), np.float32)
-        for i, ids in enumerate(many):
+    def rows(own: list[str]) -> np.ndarray:
+        x = np.zeros((len(own), len(keep)), np.float32)
+        for i, ids in enumerate(buckets_of(own)):
             x[i, column[ids][column[ids] >= 0]] = 1
         return x
 
-    x = rows(found)
-    swaps = counterfactuals(texts) + [(term, other) for term, partners in PARTNERS.items() for other in partners]
-    change = np.unique(rows(buckets_of([b for _, b in swaps])) - rows(buckets_of([a for a, _ in swaps])), axis=0)
+    x = rows(texts)
+    change = np.zeros((0, len(keep)), np.float32)
+    swaps = itertools.chain(counterfactuals(texts), ((term, other) for term, partners in PARTNERS.items() for other in partners))
+    for some in iter(lambda: list(itertools.islice(swaps, 1000)), []):  # equal changes count once
+        change = np.unique(np.concatenate([change, rows([b for _, b in some]) - rows([a for a, _ in some])]), axis=0)
     w, b = np.zeros(len(keep)), float(np.log(y.mean() / (1 - y.mean())))
     seen_w = np.full(len(keep), 1e-8)
     seen_b = 1e-8
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(rounds):  # proximal gradient with a step for each weight
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
+        small = w.astype(np.float32)
+        p = 1 / (1 + np.exp(-np.clip((x @ small).astype(np.float64) + b, -40, 40)))
         error = (p - y) * balance / len(y)
-        slope = x.T @ error + penalty * 2 * (change.T @ (change @ w)) / max(1, len(change))
+        slope = x.T @ error.astype(np.float32) + penalty * 2 * (change.T @ (change @ small)) / max(1, len(change))
         seen_w += slope**2
         seen_b += error.sum() ** 2
         step = 0.3 / np.sqrt(seen_w)
@@ -169,7 +168,9 @@ def train(texts: list[str], labels: list[int], penalty: float = 1.0, sparse: flo
 def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", per_class: int = 1500, most_bytes: int = 12 << 20) -> Model:
     """Learn from at most ``per_class`` rows of each label and ``most_bytes`` of text in all."""
     rows = labelled.filter(F.col(label).isin(0, 1)).select("doc_id", label)
-    return train(*common.texts_of(docs, common.bounded_sample(rows, label, per_class), label, most_bytes))
+    model = train(*common.texts_of(docs, common.bounded_sample(rows, label, per_class), label, most_bytes))
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
