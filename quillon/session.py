@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -41,14 +42,20 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(*frames: DataFrame) -> None:
-    """Delete the checkpoint files of staged frames that nothing will read again."""
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the checkpoint files of staged frames that nothing will read again.
+
+    Spark drops the shuffle files behind a staged frame once the driver's heap has
+    been collected, so a collection is asked for: disks fill up long before the heap.
+    """
+    jvm = spark.sparkContext._jvm
     for df in frames:
         plan = df._jdf.queryExecution().logical()
         if not plan.getClass().getSimpleName().startswith("LogicalRDD"):
             continue
         file = plan.rdd().getCheckpointFile()
         if file.isDefined():
-            context = df.sparkSession.sparkContext
-            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # plans held by unreachable Python objects
+    jvm.System.gc()
