@@ -28,6 +28,8 @@ U64 = np.uint64
 
 
 # --- session helpers -------------------------------------------------------
+#: Tables of at most so many rows of two or three longs go to every task.
+SMALL_ROWS = 500_000
 #: Keys of more rows than this, and than one HOT_KEYS-th of all rows, are hot.
 HOT_ROWS = 64
 HOT_KEYS = 50_000
@@ -225,6 +227,11 @@ def texts_of(docs: DataFrame, chosen: DataFrame, label: str, most_bytes: int) ->
 
 
 # --- joins on hot keys ---------------------------------------------------------
+def sized(table: DataFrame) -> DataFrame:
+    """A staged table of a few longs, to be sent to every task if it is small enough."""
+    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """``rows`` joined from the left with ``table``, which has one row a key; ``rows`` should be staged.
 

@@ -345,7 +345,9 @@ def linked(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
     overlap of two sets is counted in each fragment apart, and the
     partial counts are summed for each pair.
     """
-    parts = lists.select("node", F.posexplode("grams").alias("fragment", "part")).filter(F.size("part") > 0)
+    ends = common.stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    own = lists.join(common.sized(ends), "node", "left_semi")
+    parts = own.select("node", F.posexplode("grams").alias("fragment", "part")).filter(F.size("part") > 0)
     met = pairs.select("a", "b").join(parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b")), "b")
     met = met.join(parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a")), ["a", "fragment"])
     partial = met.select("a", "b", F.size(F.array_intersect("part_a", "part_b")).alias("shared"))
@@ -366,6 +368,7 @@ def early_grams(lists: DataFrame, nodes: DataFrame, again: DataFrame, num: int,
     own = lists.join(again, "node").select("node", "root", F.explode(F.flatten("grams")).alias("gram"))
     often = own.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
     often = common.stage(often.filter("c > 1").select("gram", "c", (F.col("low") != F.col("high")).alias("apart")))
+    common.release(lists.sparkSession)
     shared = own.select("node", "gram").join(often, "gram")
     sized = shared.join(nodes.select("node", "n_grams"), "node")
     of_node = Window.partitionBy("node")
@@ -418,8 +421,11 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataF
     crowded = first.groupBy("b").agg(F.sum("times").alias("times"), F.any_value("need").alias("need")).filter("times >= need").select("b")
     ends = first.filter("fits").select("a", "b").unionByName(first.filter("times > 0").join(crowded, "b", "left_semi").select("a", "b"))
     ends = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    spark = docs.sparkSession
+    common.release(spark)
     lists = gram_table(docs, n, common.stage(nodes.select("node", "doc").join(ends, "node", "left_semi")))
     tried = common.stage(linked(first.filter("fits"), lists, num, den))
+    common.release(spark)
     links = common.stage(tried.filter("similar").select("a", "b"))
     roots = common.components(links)
     failed = first.filter("not fits and times > 0").unionByName(tried.filter("not similar and times > 0").drop("similar"))
@@ -429,6 +435,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataF
     again = common.stage(touched.join(roots, "root", "left").select(F.coalesce("node", "root").alias("node"), "root").distinct())
     if not again.isEmpty():
         early, done = early_grams(lists, nodes, again, num, den), first.select("a", "b")
+        common.release(spark)
         for star in (True, False):  # what the stars link need not be tried pair by pair
             pairs = common.stage(met_early(early, roots, num, den, star).join(done, ["a", "b"], "left_anti"))
             more = common.stage(linked(pairs, lists, num, den).filter("similar").select("a", "b"))
@@ -436,8 +443,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataF
                 links = links.unionByName(more)
                 roots = common.components(links)
             done = done.unionByName(pairs.select("a", "b"))
-        common.release(early)
-    common.release(first, lists, tried)
+        links = common.stage(links)
+        common.release(spark, early)
+    common.release(spark, first, lists, tried)
     return sets, nodes, links, roots
 
 

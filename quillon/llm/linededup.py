@@ -46,8 +46,6 @@ from . import common
 
 #: Edits allowed are at most one for so many characters of the shorter line.
 SHARE = 8
-#: Tables of at most so many rows of two longs go to every task.
-SMALL_ROWS = 500_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -119,17 +117,13 @@ def keyed(lines: DataFrame, tau: int, two: bool, share: int, *carried: str) -> D
     return own.filter(held).select(*carried, key.bitwiseAND(F.lit(-2)).bitwiseOR(plain.cast("long")).alias("k"))
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """``table``, to be sent to every task if it is small enough."""
-    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
-
-
 def members(lines: DataFrame, tau: int, share: int) -> DataFrame:
     """k, c and h: the lines under each key that an indexed line has, and the key's centre."""
     own = keyed(lines.filter(F.col("n") >= share), tau, False, share, "h").select("h", F.col("k").bitwiseAND(F.lit(-2)).alias("k"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
     met = own.groupBy("k").agg(F.min("h").alias("c"), F.max("h").alias("top"), F.max("own").alias("own"))
     centers = common.stage(met.filter("c <> top and own = 1").select("k", "c"))
-    return common.stage(own.select("k", "h").join(sized(centers), "k").filter("h <> c").select("k", "c", "h").distinct())
+    common.release(lines.sparkSession)
+    return common.stage(own.select("k", "h").join(common.sized(centers), "k").filter("h <> c").select("k", "c", "h").distinct())
 
 
 def rest_pairs(lines: DataFrame, tau: int, share: int) -> DataFrame:
@@ -139,7 +133,7 @@ def rest_pairs(lines: DataFrame, tau: int, share: int) -> DataFrame:
     own = own.select(*carried, F.col("k").bitwiseAND(F.lit(-2)).alias("k"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
     met = own.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("indexed"))
     met = common.stage(met.filter("low <> high and indexed = 1").select("k"))
-    early = common.stage(own.join(sized(met), "k", "left_semi").distinct())
+    early = common.stage(own.join(common.sized(met), "k", "left_semi").distinct())
     index = early.filter("own = 1").select("k", *[F.col(c).alias(f"{c}_a") for c in carried])
     other = early.select("k", "own", *[F.col(c).alias(f"{c}_b") for c in carried])
     both = index.join(other, "k").filter((F.col("root_a") != F.col("root_b")) & ((F.col("own") == 0) | (F.col("h_a") < F.col("h_b"))) & may_be_near(tau, share))
@@ -162,7 +156,7 @@ def with_parity(lines: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     both = F.aggregate(of_two, F.struct(none.alias("p0"), none.alias("p1")), lambda s, h: F.struct(s["p0"].bitwiseXOR(bit(h, 0)).alias("p0"), s["p1"].bitwiseXOR(bit(h, 6)).alias("p1")))
     out = common.stage(laid.select(*lines.columns, both.alias("p")).select(*lines.columns, "p.p0", "p.p1"))
-    common.release(laid)
+    common.release(lines.sparkSession, laid)
     return out
 
 
@@ -248,7 +242,7 @@ def similar_lines(docs: DataFrame, tau: int = 2, share: int = SHARE) -> tuple[Da
     lines = lines_of(docs)
     met = members(lines, tau, share)
     wanted = common.stage(met.select(F.explode(F.array("c", "h")).alias("h")).distinct())
-    texts = with_parity(lines.select("h", "line", "n").join(sized(wanted), "h", "left_semi").dropDuplicates(["h"]))
+    texts = with_parity(lines.select("h", "line", "n").join(common.sized(wanted), "h", "left_semi").dropDuplicates(["h"]))
     pairs = met.select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
     links = checked(near_pairs(pairs, texts, tau, share), texts, tau, share)
     roots = common.components(links)
@@ -261,7 +255,7 @@ def similar_lines(docs: DataFrame, tau: int = 2, share: int = SHARE) -> tuple[Da
     if not more.isEmpty():
         links = common.stage(links.unionByName(more))
         roots = common.components(links)
-    common.release(met, wanted, texts, again)
+    common.release(docs.sparkSession, met, wanted, texts, again)
     return links, roots
 
 
