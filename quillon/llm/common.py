@@ -160,13 +160,13 @@ def flat_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """Apply ``work`` to bounded slices of each partition, without a shuffle."""
     ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out

@@ -23,6 +23,8 @@ from . import common, words as W
 BUCKETS = 1 << 17
 DIM = 8
 SIZES = (2, 3, 4)
+#: Features of a word take many times its bytes, so slices are shorter here.
+SLICE_BYTES = 2 << 20
 EDGE_BUCKET = BUCKETS  # the mark of a repeated word
 
 
@@ -125,4 +127,4 @@ def score(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:
         out = {f.name: c for f, c in zip(batch.schema, batch.columns, strict=True)} | {"score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))}
         return pa.RecordBatch.from_arrays([out[f.name] for f in schema.fields], names=schema.fieldNames())
 
-    return common.map_slices(docs, work, schema)
+    return common.map_slices(docs, work, schema, most=SLICE_BYTES)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common, words as W
 from .langid import normal_words
+from .quality import SLICE_BYTES
 from .quality import score as apply_model
 
 BUCKETS = 1 << 20
@@ -183,4 +184,4 @@ def remove(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(model.scores(common.text_of(batch)) < threshold))
 
-    return common.map_slices(docs, work, docs.schema)
+    return common.map_slices(docs, work, docs.schema, most=SLICE_BYTES)
