@@ -270,7 +270,9 @@ def components(links: DataFrame) -> DataFrame:
         large = attach(two.filter("v > u"), low, "u", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = stage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, stage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now, last = size_of(edges), now
+        del two, low, large, hung
+        release(links.sparkSession, before)  # a round leaves many small files
     root = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return root.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
