@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import counts_phrase
 from .operators import diff as D
-from .operators import render
+from .operators import history, render
 from .plans import workflows as W
 from .sources import repository
 
@@ -32,6 +32,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("paths", nargs="*")
         if name == "log":
             p.add_argument("-n", "--limit", type=int, default=20)
+            p.add_argument("--start", help="commit to start from; HEAD unless given")
+            p.add_argument("--author")
+            p.add_argument("--since", type=int, help="seconds since the epoch")
+            p.add_argument("--path-of", help="only commits that touch this file")
         if name == "status":
             p.add_argument("--include-unknown", action="store_true")
     return top
@@ -54,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
         options.threshold_um2 = args.threshold
         entries, warnings = W.diff(spark, args.repo, args.a, args.b, args.path, options)
         if args.format == "json":
-            show(render.envelope(entries, "diff/v0"), "json")
+            show(W.diff_payload(entries, warnings, args.path), "json")
         else:
             show(render.diff_text(entries.withColumn("params", D.param_diff(F.col("before"), F.col("after"))), ["path"]), "text")
         for row in warnings.toLocalIterator():
@@ -63,7 +67,13 @@ def main(argv: list[str] | None = None) -> int:
     options.patterns = args.paths
     if args.command == "log":
         options.limit = args.limit
-        commits, files, _ = W.log(spark, repository.snapshot(spark, args.repo, options.size_cap), options)
+        start = args.start or "HEAD"
+        limit = None if args.author or args.since or args.path_of else args.limit
+        tables = repository.snapshot(spark, args.repo, options.size_cap, start, limit)
+        if args.path_of:
+            tables["commits"] = history.touches(tables["changed_files"], tables["tree_entries"], tables["commits"], args.path_of).select(*tables["commits"].columns)
+        tables["commits"], _ = history.narrow(tables["commits"], tables["changed_files"], args.author, args.since)
+        commits, files, _ = W.log(spark, tables, options)
         if args.format == "json":
             per = files.groupBy("oid").agg(F.collect_list(F.struct(*[c for c in files.columns if c != "oid"])).alias("files"))
             show(render.envelope(commits.join(per, "oid", "left").orderBy(F.desc("ts"), "oid"), "log/v1"), "json")

@@ -12,6 +12,9 @@ HEADER_BYTES = 240
 DRIVERS = (("sch", "schematic"), ("gds", "layout"))
 MAGIC = "00060002"
 
+# Tools of further extensions, and marks of further contents.
+TOOLS = {"gds": "klayout", "gds2": "klayout", "oas": "klayout", "mag": "magic", "sch": "xschem", "sym": "xschem", "spice": "spice", "sp": "spice", "cir": "spice", "net": "spice", "cdl": "spice", "lib": "spice", "mod": "spice", "lef": "lef", "def": "def", "v": "verilog", "sv": "verilog"}
+
 # Marks of text formats within the header, in order of precedence.
 HEADER_MARKS = (("xschem version=", "xschem"), ("<Qucs Schematic", "qucs"), ("EESchema Schematic File Version", "kicad_legacy"))
 
@@ -37,6 +40,15 @@ def driver_of(path: Column) -> Column:
     return found
 
 
+def tool_of(path: Column, content: Column) -> Column:
+    """Tool of a file by its extension, else by its first bytes; null where neither tells."""
+    known = F.create_map(*[F.lit(v) for pair in TOOLS.items() for v in pair])
+    head = F.decode(F.substring(content, 1, 80), "ISO-8859-1")
+    by_content = F.when(F.lower(F.hex(F.substring(content, 1, 4))) == MAGIC, "klayout").when(head.startswith("magic"), "magic").when(head.contains("xschem version="), "xschem")
+    by_content = by_content.when(head.startswith("*") | F.lower(F.substring(head, 1, 7)).isin(".subckt", ".title "), "spice")
+    return F.coalesce(F.try_element_at(known, extension(path)), by_content)
+
+
 def accepts_layout(content: Column, hint: Column) -> Column:
     return (extension(hint) == "gds") | (detect_format(content) == "gds")
 

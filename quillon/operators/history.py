@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     ``edges`` are (child, parent), ``starts`` (start, node).  Round k follows
     jumps of exactly 2^k steps from all nodes within fewer than 2^k, so a chain
     of n commits takes log n rounds; distinct keeps merges from multiplying paths.
+    A round without a new node is the last: nodes farther off lie behind nearer
+    ones.  So cycles end too.
     """
     jumps = checkpointed(edges.select(F.col("child").alias("u"), F.col("parent").alias("v")).filter("u is not null and v is not null").distinct())
-    seen = starts.select("start", "node").distinct()
-    while not jumps.isEmpty():
+    seen, many = checkpointed(starts.select("start", "node").distinct()), -1
+    while many != (many := seen.count()) and not jumps.isEmpty():
         step = seen.join(jumps, seen["node"] == jumps["u"]).select("start", F.col("v").alias("node"))
         seen = checkpointed(seen.unionByName(step).distinct())
         twice = jumps.alias("a").join(jumps.alias("b"), F.col("a.v") == F.col("b.u"))
@@ -26,26 +30,21 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node) by frontier: each round follows one step from new nodes only.
+def edges_of(commits: DataFrame) -> DataFrame:
+    return commits.select(F.col("oid").alias("child"), F.explode("parents").alias("parent"))
 
-    For shallow graphs and few starts, where the closure of jumps would be larger.
-    """
-    own = edges.select(F.col("child").alias("u"), F.col("parent").alias("v")).filter("v is not null")
-    seen = frontier = checkpointed(starts.select("start", "node").distinct())
-    while True:
-        step = frontier.join(own, frontier["node"] == own["u"]).select("start", F.col("v").alias("node")).distinct()
-        frontier = checkpointed(step.join(seen, ["start", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(frontier))
+
+def from_start(commits: DataFrame, start: DataFrame) -> DataFrame:
+    """The commits reachable from the one row of ``start`` (oid), as a log from HEAD or another start lists them."""
+    nodes = closure(edges_of(commits), start.select(F.lit("s").alias("start"), F.col("oid").alias("node")))
+    return commits.join(nodes.select(F.col("node").alias("oid")), "oid", "left_semi")
 
 
 def ahead_behind(edges: DataFrame, tips: DataFrame) -> DataFrame:
     """name, ahead and behind of each row of ``tips`` (name, local, upstream)."""
     ends = tips.select("name", F.explode(F.array(F.struct(F.lit("local").alias("side"), F.col("local").alias("node")), F.struct(F.lit("upstream").alias("side"), F.col("upstream").alias("node")))).alias("e"))
     starts = ends.select(F.concat_ws("|", "name", "e.side").alias("start"), F.col("e.node").alias("node"))
-    nodes = reachable(edges, starts).select(F.substring_index("start", "|", 1).alias("name"), F.substring_index("start", "|", -1).alias("side"), "node")
+    nodes = closure(edges, starts).select(F.substring_index("start", "|", 1).alias("name"), F.substring_index("start", "|", -1).alias("side"), "node")
     per = nodes.groupBy("name", "node").agg(F.max((F.col("side") == "local").cast("long")).alias("l"), F.max((F.col("side") == "upstream").cast("long")).alias("u"))
     return per.groupBy("name").agg(F.sum(F.when((F.col("l") == 1) & (F.col("u") == 0), 1).otherwise(0)).cast("long").alias("ahead"), F.sum(F.when((F.col("u") == 1) & (F.col("l") == 0), 1).otherwise(0)).cast("long").alias("behind"))
 
@@ -67,13 +66,52 @@ def newest(commits: DataFrame, limit: int | None) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
+STEP = re.compile(r"(~|\^)(\d*)")
+
+
 def resolve(commits: DataFrame, refs: DataFrame, name: str) -> DataFrame:
-    """The commit that a reference name, or a unique prefix of an id, stands for; at most one row."""
-    by_ref = refs.filter(F.col("ref") == name).select("oid").distinct()
-    by_id = commits.filter(F.col("oid").startswith(name)).select("oid").distinct() if len(name) >= 4 else commits.select("oid").limit(0)
+    """The commit that a name stands for; at most one row.
+
+    A name is a reference or a unique prefix of an id, with steps after it:
+    ``~n`` goes n first parents back, ``^n`` to parent n, ``^`` and ``~`` alone one back,
+    ``^0`` nowhere.  References are peeled to commits where they are read.
+    """
+    base = re.match(r"(.*?)((?:[~^]\d*)*)(?:\^\{(?:commit)?\})?$", name)
+    by_ref = refs.filter(F.col("ref") == base[1]).select("oid").distinct()
+    by_id = commits.filter(F.col("oid").startswith(base[1])).select("oid").distinct() if len(base[1]) >= 4 else commits.select("oid").limit(0)
     named = by_ref.withColumn("rank", F.lit(0)).unionByName(by_id.withColumn("rank", F.lit(1)))
     best = named.filter(F.col("rank") == named.agg(F.min("rank")).first()[0]) if not named.isEmpty() else named
-    return best.select("oid") if best.limit(2).count() <= 1 else best.select("oid").limit(0)
+    if best.limit(2).count() > 1:
+        return best.select("oid").limit(0)
+    at = best.select("oid")
+    for kind, digits in STEP.findall(base[2]):
+        n = int(digits) if digits else 1
+        for _ in range(n if kind == "~" else min(n, 1)):
+            parent = F.get("parents", F.lit(0 if kind == "~" else n - 1))
+            at = commits.join(at, "oid", "left_semi").select(parent.alias("oid")).filter("oid is not null")
+    return at
+
+
+def narrow(commits: DataFrame, files: DataFrame, author: str | None = None, since: int | None = None, kinds: tuple[str, ...] = (), entries: DataFrame | None = None, element: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(commits, files) by author (part of the name), time, driver names of the files, or an element among the diff entries (oid, path, element)."""
+    if author is not None:
+        commits = commits.filter(F.lower("author").contains(author.lower()))
+    if since is not None:
+        commits = commits.filter(F.col("ts") >= since)
+    if kinds:
+        files = files.filter(driver_of(F.col("path")).isin(*kinds))
+    if element is not None:
+        name = F.regexp_replace("element", "^(cell|net):", "")
+        files = files.join(entries.filter((name == element) | name.startswith(element + ":")).select("oid", "path").distinct(), ["oid", "path"], "left_semi")
+    if kinds or element is not None:
+        commits = commits.join(files.select("oid").distinct(), "oid", "left_semi")
+    return commits, files.join(commits.select("oid"), "oid", "left_semi")
+
+
+def stat(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries added, removed and modified of each group and driver."""
+    n = lambda k: F.sum((F.col("kind") == k).cast("long")).alias(k)
+    return entries.filter(~F.col("cosmetic")).groupBy(*keys, driver_of(F.col("path")).alias("format")).agg(n("added"), n("removed"), n("modified"))
 
 
 def log(commits: DataFrame, changed: DataFrame, refs: DataFrame, patterns: list[str] = (), limit: int | None = 20, limit_after_filter: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -105,13 +105,14 @@ def move_all(spark, d):
     return diff.move_all(a, b, ["p_brand"], ["p_partkey"], ["p_retailprice"], ["p_size"], share=0.1)
 
 
-@query("""WITH o AS (SELECT p_brand, p_type, p_size, p_retailprice, p_name AS old, count(*) OVER (PARTITION BY p_brand, p_type, p_size, p_retailprice) AS n FROM part WHERE p_partkey % 19 = 0),
-w AS (SELECT p_brand, p_type, p_size, p_retailprice, p_name || '_v2' AS new, count(*) OVER (PARTITION BY p_brand, p_type, p_size, p_retailprice) AS n FROM part WHERE p_partkey % 38 = 0 OR p_partkey % 57 = 1)
+@query("""WITH o AS (SELECT p_brand, p_type, p_size, p_retailprice, p_name AS old, count(*) OVER (PARTITION BY p_brand, p_type, p_size, p_retailprice) AS n FROM part),
+v AS (SELECT p_brand, p_type, p_size, p_retailprice + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS p_retailprice, p_name || '_v2' AS new FROM part),
+w AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_type, p_size, p_retailprice) AS n FROM v)
 SELECT o.p_brand AS p_brand, old, new, old || ' → ' || new AS element FROM o JOIN w USING (p_brand, p_type, p_size, p_retailprice) WHERE o.n = 1 AND w.n = 1""")
 def rename_detect(spark, d):
     part = read(spark, d, "part")
-    removed, added = part.filter("p_partkey % 19 = 0"), part.filter("p_partkey % 38 = 0 or p_partkey % 57 = 1").withColumn("p_name", F.concat("p_name", F.lit("_v2")))
-    return diff.rename_pairs(removed, added, ["p_brand"], "p_name", ["p_type", "p_size", "p_retailprice"])
+    added = part.withColumn("p_name", F.concat("p_name", F.lit("_v2"))).withColumn("p_retailprice", F.expr("p_retailprice + if(p_partkey % 7 = 0, 1, 0)"))
+    return diff.rename_pairs(part, added, ["p_brand"], "p_name", ["p_type", "p_size", "p_retailprice"])
 
 
 # --- changes, files and status -------------------------------------------------
@@ -231,7 +232,7 @@ def refs_annotated(spark, d):
 
 
 BRANCHES = """e AS (SELECT o_custkey, o_orderkey, o_orderkey % 2 AS b, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS p,
-    first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS f FROM orders WHERE o_custkey % 10 = 0)"""
+    first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS f FROM orders)"""
 
 
 @query(f"""WITH RECURSIVE {BRANCHES}, g AS (SELECT o_orderkey AS child, coalesce(p, CASE WHEN b = 1 AND f <> o_orderkey THEN f END) AS parent FROM e),
@@ -240,19 +241,9 @@ r AS (SELECT name, 'l' AS side, l AS node FROM s UNION SELECT name, 'u', u FROM
 w AS (SELECT name, node, bool_or(side = 'l') AS l, bool_or(side = 'u') AS u FROM r GROUP BY name, node)
 SELECT CAST(name AS VARCHAR) AS name, CAST(count(*) FILTER (l AND NOT u) AS BIGINT) AS ahead, CAST(count(*) FILTER (u AND NOT l) AS BIGINT) AS behind FROM w GROUP BY name""")
 def ahead_behind(spark, d):
-    return branch_counts(spark, d, "o_custkey % 10 = 0")
-
-
-@query()
-def ahead_behind_all(spark, d):
-    """ahead_behind over all orders; the SQL is bound to a tenth of the customers."""
-    return branch_counts(spark, d, "true")
-
-
-def branch_counts(spark: SparkSession, d: str, where: str) -> DataFrame:
     read(spark, d, "orders").createOrReplaceTempView("_orders")
-    e = spark.sql(f"""SELECT o_custkey, o_orderkey, o_orderkey % 2 AS b, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS p,
-        first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS f FROM _orders WHERE {where}""")
+    e = spark.sql("""SELECT o_custkey, o_orderkey, o_orderkey % 2 AS b, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS p,
+        first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS f FROM _orders""")
     edges = e.select(F.col("o_orderkey").alias("child"), F.coalesce("p", F.expr("case when b = 1 and f <> o_orderkey then f end")).alias("parent"))
     tips = e.groupBy(F.col("o_custkey").cast("string").alias("name")).agg(F.max(F.expr("if(b = 0, o_orderkey, null)")).alias("local"), F.max(F.expr("if(b = 1, o_orderkey, null)")).alias("upstream")).filter("local is not null and upstream is not null")
     return history.ahead_behind(edges, tips)
@@ -349,20 +340,11 @@ def layer_xor(spark, d):
 
 
 @query(f"""WITH {RECTS}, p AS (SELECT l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber AS id, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy FROM q),
-b AS (SELECT s_suppkey, 'S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS child, s_suppkey * 37 % 480 AS x1, s_suppkey * 53 % 380 AS y1, s_suppkey * 37 % 480 + 5 + s_suppkey % 40 AS x2, s_suppkey * 53 % 380 + 5 + s_suppkey % 30 AS y2 FROM supplier WHERE s_suppkey <= 200),
+b AS (SELECT s_suppkey, 'S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS child, s_suppkey * 37 % 480 AS x1, s_suppkey * 53 % 380 AS y1, s_suppkey * 37 % 480 + 5 + s_suppkey % 40 AS x2, s_suppkey * 53 % 380 + 5 + s_suppkey % 30 AS y2 FROM supplier),
 j AS (SELECT p.id, b.child, row_number() OVER (PARTITION BY p.id ORDER BY (b.x2 - b.x1) * (b.y2 - b.y1), b.child) AS k FROM p JOIN b ON cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2)
 SELECT p.id AS id, j.child AS child FROM p LEFT JOIN j ON p.id = j.id AND j.k = 1""")
 def origin_attribution(spark, d):
-    return attributed(spark, d, read(spark, d, "supplier").filter("s_suppkey <= 200"))
-
-
-@query()
-def origin_attribution_all(spark, d):
-    """origin_attribution against the boxes of all suppliers; the SQL is bound to the first 200."""
-    return attributed(spark, d, read(spark, d, "supplier"))
-
-
-def attributed(spark: SparkSession, d: str, supplier: DataFrame) -> DataFrame:
+    supplier = read(spark, d, "supplier")
     pieces = rects(spark, d).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), F.lit(1).alias("g"))
     box = supplier.select(F.expr("concat('S', lpad(s_suppkey, 9, '0'))").alias("child"), F.expr("s_suppkey * 37 % 480").alias("min_x"), F.expr("s_suppkey * 53 % 380").alias("min_y"), F.expr("s_suppkey * 37 % 480 + 5 + s_suppkey % 40").alias("max_x"), F.expr("s_suppkey * 53 % 380 + 5 + s_suppkey % 30").alias("max_y"), F.lit(1).alias("g"))
     return layout.attribute(pieces, box, ["g"], "id", 32.0).select("id", "child")
@@ -444,10 +426,14 @@ def svg_points(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import notes
 
-    return QUERIES | notes.QUERIES
+    from . import presentation
+
+    return QUERIES | notes.QUERIES | presentation.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from . import notes
 
-    return SQL | notes.SQL
+    from . import presentation
+
+    return SQL | notes.SQL | presentation.SQL

@@ -69,16 +69,17 @@ def compare_waves(a: DataFrame, b: DataFrame, keys: list[str], atol: float = 1e-
     return own.groupBy(*keys).agg(F.count("*").alias("points"), F.max("error").alias("max_error"), F.coalesce(F.bool_and(F.col("error") <= atol + rtol * F.abs("va")), F.lit(False)).alias("close"))
 
 
-def merge_classes(ours: DataFrame, theirs: DataFrame, keys: list[str], fine: list[str]) -> DataFrame:
+def merge_classes(ours: DataFrame, theirs: DataFrame, keys: list[str], fine: list[str], units: tuple[float, float] | None = None) -> DataFrame:
     """Class of each changed item of a three-way merge.
 
     ``keys`` name the item (a cell), ``fine`` its parts (layers): an item changed on one side merges; one changed on
-    both sides in different parts merges; the same part on both sides conflicts.
+    both sides in different parts merges; the same part on both sides conflicts.  Sides of different ``units`` are rejected whole.
     """
     own = lambda df, side: df.select(*keys, *fine).distinct().withColumn(side, F.lit(1))
     both = own(ours, "o").join(own(theirs, "t"), [*keys, *fine], "full")
     per = both.groupBy(*keys).agg(F.max("o").alias("o"), F.max("t").alias("t"), F.max(F.col("o") * F.col("t")).alias("same"))
-    return per.select(*keys, F.when(F.col("same") == 1, "conflict").when((F.col("o") == 1) & (F.col("t") == 1), "auto_layers").when(F.col("o") == 1, "ours").otherwise("theirs").alias("merge_class"))
+    refused = F.lit(units is not None and units[0] != units[1])
+    return per.select(*keys, F.when(refused, "rejected").when(F.col("same") == 1, "conflict").when((F.col("o") == 1) & (F.col("t") == 1), "auto_layers").when(F.col("o") == 1, "ours").otherwise("theirs").alias("merge_class"))
 
 
 def text_change_class(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,12 +147,12 @@ def metric_tolerance(spark, d):
     return within_tolerance(own(0), own(1), None, ["l_partkey"], 0.5, 0.1).select("l_partkey", "ok")
 
 
-@query("""WITH o AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 7 = 0), t AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 7 = 1),
+@query("""WITH o AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0), t AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 1),
 j AS (SELECT coalesce(o.l_partkey, t.l_partkey) AS l_partkey, o.l_partkey IS NOT NULL AS o, t.l_partkey IS NOT NULL AS t FROM o FULL JOIN t ON o.l_partkey = t.l_partkey AND o.l_linenumber = t.l_linenumber)
 SELECT l_partkey, CASE WHEN bool_or(o AND t) THEN 'conflict' WHEN bool_or(o) AND bool_or(t) THEN 'auto_layers' WHEN bool_or(o) THEN 'ours' ELSE 'theirs' END AS merge_class FROM j GROUP BY l_partkey""")
 def merge_class(spark, d):
     line = read(spark, d, "lineitem")
-    return merge_classes(line.filter("l_orderkey % 7 = 0"), line.filter("l_orderkey % 7 = 1"), ["l_partkey"], ["l_linenumber"])
+    return merge_classes(line.filter("l_orderkey % 2 = 0"), line.filter("l_orderkey % 2 = 1"), ["l_partkey"], ["l_linenumber"])
 
 
 @query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, sum(1 + event_id % 9) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE s > 40""")

@@ -6,21 +6,23 @@ every changed file, decode each distinct blob once, diff by key, summarise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import predicates as P
+from ..functions import text as X
 from ..operators import blobs as B
 from ..operators import diff as D
 from ..operators import history, layout, summary
-from ..session import stage
+from ..session import ship_package, stage
 from ..sources import layout as stream
 from ..sources import repository, schematic
 
-ENTRY = ("element", "kind", "cosmetic", "position_changed", "before", "after")
+ENTRY = ("element", "kind", "cosmetic", "position_changed", "before", "after", "section")
 
 
 @dataclass
@@ -60,7 +62,8 @@ def schematic_entries(sides: DataFrame, keys: list[str]) -> DataFrame:
     text = lambda df: df.withColumn("_t", F.concat_ws("|", "symbol", F.to_json(F.array_sort(F.map_entries("params")))))
     all_moved = D.move_all(text(a), text(b), keys, ["name"], ["_t"], ["x", "y", "rotation", "mirror"]).filter("is_move_all")
     marker = all_moved.select(*keys, F.lit("layout").alias("element"), F.lit("modified").alias("kind"), F.lit(True).alias("cosmetic"), F.lit(True).alias("position_changed"), none.alias("before"), none.alias("after"))
-    return rows.unionByName(moved).unionByName(net).unionByName(marker)
+    out = rows.unionByName(moved).unionByName(net).unionByName(marker)
+    return out.withColumn("section", F.when(F.col("element") == "layout", 2).when(F.col("element").startswith("net:"), 1).otherwise(0))
 
 
 def _component_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,13 +161,12 @@ def diff(spark: SparkSession, repo: str, a: str, b: str, path: str, options: Opt
     """(entries, warnings) of one file between two commits."""
     options = options or Options()
     root = repository.discover(repo)
-    commits = repository.commits(spark, root)
-    refs = repository.refs(spark, root)
-    ends = [history.resolve(commits, refs, c).first() for c in (a, b)]
+    ends = [repository.resolve(root, c) for c in (a, b)]
     if None in ends:
         raise ValueError(f"commit not found: {a if ends[0] is None else b}")
-    pair = spark.createDataFrame([(ends[0][0], ends[1][0], path)], "parent string, oid string, path string")
-    tree = repository.tree_entries(commits.filter(F.col("oid").isin([e[0] for e in ends])), root).filter(F.col("path") == path)
+    ship_package(spark)
+    pair = spark.createDataFrame([(*ends, path)], "parent string, oid string, path string")
+    tree = repository.tree_entries(spark.createDataFrame([(e,) for e in sorted(set(ends))], "oid string"), root).filter(F.col("path") == path)
     body = repository.blobs(tree, root, options.size_cap)
     found = B.pair(pair.withColumn("status", F.lit("modified")).withColumn("old_path", F.lit(None).cast("string")), tree, body, options.size_cap)
     entries, warnings = diff_files(found, ["path"], options)
@@ -189,7 +191,7 @@ def status(spark: SparkSession, repo: str, options: Options | None = None) -> tu
     root = repository.discover(repo)
     branch = repository.branch(spark, root)
     changes = repository.working_changes(spark, root).filter(P.path_filter(F.col("path"), options.patterns))
-    tree = repository.tree_entries(repository.commits(spark, root, "HEAD").orderBy(F.desc("ts")).limit(1), root) if not branch.isEmpty() else spark.createDataFrame([], "oid string, path string, blob_sha string, size long")
+    tree = repository.tree_entries(branch.select(F.col("head_oid").alias("oid")), root) if not branch.isEmpty() else spark.createDataFrame([], "oid string, path string, blob_sha string, size long")
     head = tree.join(changes.select(F.coalesce("old_path", "path").alias("path")), "path", "left_semi")
     body = head.join(repository.blobs(head, root, options.size_cap), "blob_sha").select(F.col("path").alias("_from"), F.col("content").alias("before"))
     disk = repository.working_files(spark, root).filter(P.within_cap(F.col("size"), options.size_cap)).select("path", F.col("content").alias("after"))
@@ -199,6 +201,90 @@ def status(spark: SparkSession, repo: str, options: Options | None = None) -> tu
     return branch, summary.file_summaries(files, stage(entries), ["path"], options.level).orderBy("path"), warnings
 
 
+def split_report(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each file: components, nets_added, nets_removed and is_move_all.
+
+    A cosmetic layout marker stands for the move of all; other entries of the marker and changed nets are left out.
+    """
+    net, marker = P.is_net(F.col("element")), P.is_layout_marker(F.col("element"))
+    plain = F.struct(F.col("element").alias("name"), "kind", "cosmetic", "position_changed", "before", "after")
+    # maps are not ordered, so the order goes by the name and the rest follows as it comes
+    row = F.when(~net & ~marker, F.struct(F.col("element").alias("o"), F.to_json(plain).alias("j")))
+    names = lambda k: F.array_sort(F.collect_list(F.when(net & (F.col("kind") == k), P.net_name(F.col("element")))))
+    found = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"), names("added").alias("nets_added"), names("removed").alias("nets_removed"), F.bool_or(marker & F.col("cosmetic")).alias("is_move_all"))
+    parts = "name string, kind string, cosmetic boolean, position_changed boolean, before map<string,string>, after map<string,string>"
+    return found.select(*keys, F.transform("_rows", lambda r: F.from_json(r["j"], parts)).alias("components"), "nets_added", "nets_removed", "is_move_all")
+
+
+def diff_payload(entries: DataFrame, warnings: DataFrame, path: str) -> DataFrame:
+    """The one JSON document of a file diff: file, warnings, components, nets_added, nets_removed, is_move_all."""
+    spark = entries.sparkSession
+    one = spark.createDataFrame([(path,)], "file string")
+    report = split_report(entries.withColumn("file", F.lit(path)), ["file"])
+    notes = warnings.agg(F.array_sort(F.collect_list("message")).alias("warnings")).withColumn("file", F.lit(path))
+    none = F.array().cast("array<string>")
+    own = one.join(report, "file", "left").join(notes, "file", "left")
+    return own.select(F.to_json(F.struct("file", "warnings", F.coalesce("components", F.from_json(F.lit("[]"), report.schema["components"].dataType)).alias("components"), F.coalesce("nets_added", none).alias("nets_added"), F.coalesce("nets_removed", none).alias("nets_removed"), F.coalesce("is_move_all", F.lit(False)).alias("is_move_all")), {"pretty": "true"}).alias("json"))
+
+
+@dataclass
+class Driver:
+    """A format driver: what decides that it takes a file, how two sides become entries, and a hook before the diff.
+
+    ``entries`` takes (sides, keys, options) and gives (entries, warnings); ``normalize`` changes a
+    content column before it is decoded and is the identity unless given.
+    """
+
+    name: str
+    accepts: Callable[[Column], Column]
+    entries: Callable[[DataFrame, list[str], Options], tuple[DataFrame, DataFrame]]
+    normalize: Callable[[Column], Column] = lambda content: content
+
+
+def run_drivers(paired: DataFrame, keys: list[str], drivers: list[Driver], options: Options | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, warnings) of paired files by given drivers; the first that accepts a path takes it."""
+    options = options or Options()
+    found, notes, taken = None, None, F.lit(False)
+    for driver in drivers:
+        own = paired.filter(driver.accepts(F.col("path")) & ~taken)
+        taken = taken | driver.accepts(F.col("path"))
+        both = own.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), driver.normalize(F.col(c)).alias("content")) for s, c in (("a", "before"), ("b", "after"))])).alias("s")).select(*keys, "s.*").filter("content is not null")
+        rows, warnings = driver.entries(both, keys, options)
+        found = rows if found is None else found.unionByName(rows)
+        notes = warnings if notes is None else notes.unionByName(warnings)
+    return found, notes
+
+
+def diff_views(report: DataFrame, scene_a: DataFrame, scene_b: DataFrame, keys: list[str], tab: str) -> DataFrame:
+    """Drawing elements of a view: before shows side A, after side B, diff side B with ghosts of side A below it.
+
+    Ghosts are the components of A that moved or are gone, renamed ones by their old names;
+    scenes have keys, component and their elements.
+    """
+    if tab == "before":
+        return scene_a.withColumn("ghost", F.lit(False))
+    own = scene_b.withColumn("ghost", F.lit(False))
+    return own if tab == "after" else own.unionByName(ghosts(report, scene_a, keys).withColumn("ghost", F.lit(True)))
+
+
+def ghosts(report: DataFrame, scene_a: DataFrame, keys: list[str]) -> DataFrame:
+    """Elements of side A of the components that moved or are gone."""
+    gone = report.filter(F.col("position_changed") | (F.col("kind") == "removed")).select(*keys, X.old_name(F.col("element")).alias("component")).distinct()
+    return scene_a.join(gone, [*keys, "component"], "left_semi")
+
+
+def component_boxes(report: DataFrame, scene_b: DataFrame, keys: list[str]) -> DataFrame:
+    """Box of each changed component among the elements of side B, renamed ones by their new names; no row without elements."""
+    box = scene_b.groupBy(*keys, "component").agg(*[f(c).alias(c) for c, f in zip(G.BOX, (F.min, F.min, F.max, F.max), strict=True)])
+    own = report.withColumn("component", X.new_name(F.col("element")))
+    return own.join(box, [*keys, "component"]).select(*keys, "element", "kind", *G.BOX)
+
+
+def scene_length(scenes: DataFrame, keys: list[str]) -> DataFrame:
+    """Number of elements of each scene and whether it is empty; scenes without elements have a null kind."""
+    return scenes.groupBy(*keys).agg(F.count("kind").alias("length")).withColumn("is_empty", F.col("length") == 0)
+
+
 def exit_code(summaries: DataFrame) -> int:
     """0 without semantic changes, 1 with, 2 where a file could not be analysed."""
     found = summaries.agg(summary.has_semantic(summaries), F.coalesce(F.bool_or(F.col("category") == "error"), F.lit(False)).alias("e")).first()

@@ -41,11 +41,11 @@ def discover(path: str) -> str:
     raise RepositoryNotFound(path)
 
 
-def commits(spark: SparkSession, repo: str, start: str = "--all") -> DataFrame:
-    """All commits from a start, newest first by time."""
+def commits(spark: SparkSession, repo: str, start: str = "HEAD", limit: int | None = None) -> DataFrame:
+    """The commits reachable from a start (``--all`` for all references), newest first by time; the newest ``limit`` of them."""
     fields = SEPARATOR.join(("%H", "%P", "%an", "%at", "%B"))
     try:
-        raw = git(repo, "log", "-z", f"--format={fields}", "--date-order", start)
+        raw = git(repo, "log", "-z", f"--format={fields}", "--date-order", *([f"-n{limit}"] if limit is not None else []), start, "--")
     except subprocess.CalledProcessError:
         raw = ""
     rows = []
@@ -57,6 +57,14 @@ def commits(spark: SparkSession, repo: str, start: str = "--all") -> DataFrame:
     return spark.createDataFrame(rows, COMMITS)
 
 
+def resolve(repo: str, name: str) -> str | None:
+    """The commit id that any name git knows stands for (``HEAD~1``, ``x^2``, annotated tags)."""
+    try:
+        return git(repo, "rev-parse", "--verify", "-q", "--end-of-options", f"{name}^{{commit}}").strip()
+    except subprocess.CalledProcessError:
+        return None
+
+
 def refs(spark: SparkSession, repo: str) -> DataFrame:
     """(oid, ref): HEAD and the short name of every reference, peeled to commits."""
     rows = []
@@ -106,43 +114,58 @@ def tree_entries(commit_rows: DataFrame, repo: str) -> DataFrame:
 
 
 def blobs(entries: DataFrame, repo: str, cap: int) -> DataFrame:
-    """(blob_sha, content) of the distinct blobs within the cap."""
+    """(blob_sha, content) of the distinct blobs within the cap; one git process a task reads them."""
+    schema = pa.schema([("blob_sha", pa.string()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sha in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pylist([{"blob_sha": sha, "content": git(repo, "cat-file", "blob", sha, text=False)}], schema=pa.schema([("blob_sha", pa.string()), ("content", pa.binary())]))
+        with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as server:
+            for batch in batches:
+                for sha in batch.column(0).to_pylist():
+                    server.stdin.write(sha.encode() + b"\n")
+                    server.stdin.flush()
+                    head = server.stdout.readline().split()
+                    if len(head) == 3:
+                        body = server.stdout.read(int(head[2]))
+                        server.stdout.read(1)
+                        yield pa.RecordBatch.from_pylist([{"blob_sha": sha, "content": body}], schema=schema)
+            server.stdin.close()
 
     return entries.filter(F.col("size") <= cap).select("blob_sha").distinct().mapInArrow(run, "blob_sha string, content binary")
 
 
 def changed_files(commit_rows: DataFrame, repo: str) -> DataFrame:
-    """(parent, oid, path, status, old_path) against each commit's first parent, similar files as renames."""
+    """(parent, oid, path, status, old_path) against each commit's only parent, similar files as renames; one git process a batch."""
     names = {"A": "added", "D": "removed", "R": "renamed"}
+    schema = pa.schema([(c, pa.string()) for c in ("parent", "oid", "path", "status", "old_path")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for oid, parent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = git(repo, "diff-tree", "-r", "-M", "-z", "--name-status", "--no-commit-id", parent, oid).split("\0")
-                rows, i = [], 0
-                while i + 1 < len(parts):
-                    code = parts[i][:1]
-                    two = code in ("R", "C")
-                    path, old = (parts[i + 2], parts[i + 1]) if two else (parts[i + 1], None)
-                    rows.append({"parent": parent, "oid": oid, "path": path, "status": names.get(code, "modified"), "old_path": old if code == "R" else None})
-                    i += 3 if two else 2
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.string()) for c in ("parent", "oid", "path", "status", "old_path")]))
+            parents = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            asked = "".join(f"{oid}\n" for oid in parents).encode()
+            parts = git(repo, "diff-tree", "--stdin", "-r", "-M", "-z", "--name-status", stdin=asked).split("\0")
+            rows, oid, i = [], None, 0
+            while i < len(parts) and parts[i]:
+                if parts[i] in parents:  # the commit that the following entries belong to
+                    oid, i = parts[i], i + 1
+                    continue
+                code = parts[i][:1]
+                two = code in ("R", "C")
+                path, old = (parts[i + 2], parts[i + 1]) if two else (parts[i + 1], None)
+                rows.append({"parent": parents[oid], "oid": oid, "path": path, "status": names.get(code, "modified"), "old_path": old if code == "R" else None})
+                i += 3 if two else 2
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     own = commit_rows.filter(F.size("parents") == 1).select("oid", F.col("parents")[0].alias("parent"))
     return own.mapInArrow(run, "parent string, oid string, path string, status string, old_path string")
 
 
-def snapshot(spark: SparkSession, repo: str, cap: int) -> dict[str, DataFrame]:
-    """All tables of a repository."""
+def snapshot(spark: SparkSession, repo: str, cap: int, start: str = "HEAD", limit: int | None = None) -> dict[str, DataFrame]:
+    """All tables of a repository: the newest ``limit`` commits from a start, and trees of these and their parents alone."""
     root = discover(repo)
     ship_package(spark)
-    own = commits(spark, root)
-    entries = tree_entries(own, root)
+    own = commits(spark, root, start, limit)
+    ends = own.select("oid").unionByName(own.filter(F.size("parents") == 1).select(F.col("parents")[0].alias("oid"))).distinct()
+    entries = tree_entries(ends, root)
     return {"commits": own, "refs": refs(spark, root), "branch": branch(spark, root), "tree_entries": entries, "blobs": blobs(entries, root, cap), "changed_files": changed_files(own, root)}
 
 
@@ -198,8 +221,25 @@ def symbol_paths(environment: dict[str, str] | None = None) -> tuple[str, list[s
     return ("found", [str(folder)]) if folder.is_dir() else ("misconfigured", [str(folder)])
 
 
+def start_file(folder: str = ".", home: str | None = None) -> str | None:
+    """The schematic editor's start file: of the folder, else of the home folder."""
+    for at in (Path(folder), Path(home) if home else Path.home()):
+        if (at / ".xschemrc").exists():
+            return str(at / ".xschemrc")
+    return None
+
+
+def device_library(environment: dict[str, str] | None = None) -> tuple[str, list[str]]:
+    """State and folder of the device library below TOOLS: not_configured, misconfigured or found."""
+    tools = (os.environ if environment is None else environment).get("TOOLS")
+    if not tools:
+        return "not_configured", []
+    folder = Path(tools) / "xschem/share/xschem/xschem_library/devices"
+    return ("found" if folder.exists() else "misconfigured"), [str(folder)]
+
+
 def environment_report(spark: SparkSession, repo: str) -> DataFrame:
-    """(item, ok, detail) of what the engine needs around it."""
+    """(item, ok, detail) of what the engine needs around it; symbols are there if any of three places has them."""
     from shutil import which
 
     from ..functions.predicates import DRIVERS
@@ -208,7 +248,9 @@ def environment_report(spark: SparkSession, repo: str) -> DataFrame:
         found = (True, discover(repo))
     except RepositoryNotFound:
         found = (False, repo)
-    state, folders = symbol_paths()
-    rows = [("repository", *found), ("symbol_library", state == "found", ", ".join([state, *folders])), ("git", which("git") is not None, which("git") or "")]
+    start = start_file()
+    (kit, kit_at), (tools, tools_at) = symbol_paths(), device_library()
+    rows = [("repository", *found), ("start_file", start is not None, start or ""), ("symbol_library", kit == "found", ", ".join([kit, *kit_at])), ("device_library", tools == "found", ", ".join([tools, *tools_at]))]
+    rows += [("symbols", start is not None or "found" in (kit, tools), ""), ("git", which("git") is not None, which("git") or "")]
     rows += [(f"driver:{name}", True, f".{ext}") for ext, name in DRIVERS]
     return spark.createDataFrame(rows, "item string, ok boolean, detail string")

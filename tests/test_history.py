@@ -53,7 +53,7 @@ def test_ahead_behind_of_all_branches(spark, tmp_path):
         if all(sides):
             want[str(c)] = len(sides[0] - sides[1]), len(sides[1] - sides[0])
     assert len(want) == 12
-    assert {r["name"]: (r["ahead"], r["behind"]) for r in catalogue.queries()["ahead_behind_all"](spark, str(tmp_path)).collect()} == want
+    assert {r["name"]: (r["ahead"], r["behind"]) for r in catalogue.queries()["ahead_behind"](spark, str(tmp_path)).collect()} == want
 
 
 def test_log_rules(spark):
@@ -127,3 +127,66 @@ def test_repository(spark, repo):
     assert W.exit_code(summaries) == 1
     with pytest.raises(repository.RepositoryNotFound):
         repository.discover("/proc")
+
+
+def test_names_starts_and_filters(spark, repo):
+    run = lambda *a: subprocess.run(["git", "-C", repo, *a], check=True, capture_output=True, text=True).stdout.strip()
+    run("checkout", "-q", "--", "amp.sch")
+    run("checkout", "-q", "-b", "side", "HEAD~1")
+    run("commit", "-q", "--allow-empty", "--author", "Other <o@example.org>", "-m", "aside")
+    run("checkout", "-q", "main")
+    run("tag", "-a", "v1", "-m", "tag", "HEAD~1")
+    run("merge", "-q", "--no-ff", "-m", "both", "side")
+    own, refs = repository.commits(spark, repo), repository.refs(spark, repo)
+    for name in ("HEAD", "main", "side", "v1", "HEAD~1", "HEAD^", "HEAD^2", "HEAD~2^", "HEAD^2~1", "v1^0", run("rev-parse", "HEAD")[:8], "HEAD~9", "none"):
+        found = history.resolve(own, refs, name).first()
+        assert (found and found["oid"]) == repository.resolve(repo, name), name
+    assert own.count() == 5 and repository.commits(spark, repo, "side").count() == 3 and repository.commits(spark, repo, limit=2).count() == 2
+    start = history.resolve(own, refs, "side")
+    assert {r["oid"] for r in history.from_start(own, start).collect()} == set(run("rev-list", "side").split())
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string")
+    assert history.closure(ring, spark.createDataFrame([("s", "a")], "start string, node string")).count() == 3
+    files = spark.createDataFrame([(r["oid"], "amp.sch") for r in own.collect()], "oid string, path string")
+    assert history.narrow(own, files, author="other")[0].first()["message"] == "aside"
+    entries = spark.createDataFrame([(run("rev-parse", "v1^{commit}"), "amp.sch", "R1", "added", False)], "oid string, path string, element string, kind string, cosmetic boolean")
+    kept, _ = history.narrow(own, files, kinds=("schematic",), entries=entries, element="R1")
+    assert [r["message"] for r in kept.collect()] == ["rev 1\n\nbody"]
+    assert history.stat(entries, ["oid"]).first()["added"] == 1
+
+
+def test_payload_views_and_drivers(spark):
+    import json
+
+    none = F.lit(None).cast("map<string,string>")
+    rows = [("R1", "added", False, False), ("net:Vdd", "added", False, False), ("net:Old", "removed", False, False), ("net:M", "modified", False, False), ("layout", "modified", True, True), ("A → B", "modified", False, True)]
+    entries = spark.createDataFrame(rows, "element string, kind string, cosmetic boolean, position_changed boolean").withColumn("before", none).withColumn("after", F.create_map(F.lit("value"), F.lit("10k")))
+    notes = spark.createDataFrame([("careful",)], "message string")
+    payload = json.loads(W.diff_payload(entries, notes, "f.sch").first()["json"])
+    assert [c["name"] for c in payload["components"]] == ["A → B", "R1"] and payload["components"][1]["after"] == {"value": "10k"}
+    assert (payload["file"], payload["warnings"], payload["nets_added"], payload["nets_removed"], payload["is_move_all"]) == ("f.sch", ["careful"], ["Vdd"], ["Old"], True)
+    empty = json.loads(W.diff_payload(entries.limit(0), notes.limit(0), "f.sch").first()["json"])
+    assert empty == {"file": "f.sch", "warnings": [], "components": [], "nets_added": [], "nets_removed": [], "is_move_all": False}
+    scene = spark.createDataFrame([("f", "A", 0.0, 0.0, 1.0, 1.0), ("f", "A", 2.0, 0.0, 3.0, 5.0)], "file string, component string, min_x double, min_y double, max_x double, max_y double")
+    report = entries.withColumn("file", F.lit("f"))
+    assert W.diff_views(report, scene, scene, ["file"], "diff").filter("ghost").count() == 2
+    assert W.diff_views(report, scene, scene, ["file"], "after").filter("ghost").count() == 0
+    box = W.component_boxes(report, scene.withColumn("component", F.lit("B")), ["file"]).collect()
+    assert [(r["element"], r["max_x"], r["max_y"]) for r in box] == [("A → B", 3.0, 5.0)]
+    lengths = W.scene_length(spark.createDataFrame([("s", "polygon"), ("s", "text"), ("t", None)], "scene string, kind string"), ["scene"])
+    assert {r["scene"]: (r["length"], r["is_empty"]) for r in lengths.collect()} == {"s": (2, False), "t": (0, True)}
+    seen = lambda sides, keys, options: (sides.select(*keys, "side", "content"), sides.select(*keys, F.lit("w").alias("message")).limit(0))
+    drivers = [W.Driver("up", lambda p: p.endswith(".a"), seen, lambda c: F.upper(c.cast("string")).cast("binary")), W.Driver("all", lambda p: F.lit(True), seen)]
+    paired = spark.createDataFrame([("x.a", bytearray(b"q"), None), ("x.b", bytearray(b"q"), bytearray(b"r"))], "path string, before binary, after binary")
+    found, _ = W.run_drivers(paired, ["path"], drivers)
+    assert sorted((r["path"], r["side"], bytes(r["content"])) for r in found.collect()) == [("x.a", "a", b"Q"), ("x.b", "a", b"q"), ("x.b", "b", b"r")]
+
+
+def test_command_line(spark, repo, capsys):
+    import json
+
+    from quillon.__main__ import main
+
+    assert main(["diff", "HEAD~1", "HEAD", "amp.sch", "--repo", repo, "--format", "json"]) == 0
+    assert [c["kind"] for c in json.loads(capsys.readouterr().out)["components"]] == ["modified"]
+    assert main(["log", "-n", "2", "--repo", repo]) == 0 and capsys.readouterr().out.count("* ") == 2
+    assert main(["doctor", "--repo", repo]) == 0 and "device_library" in capsys.readouterr().out

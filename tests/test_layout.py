@@ -133,7 +133,7 @@ def test_attribution_to_boxes_of_all_suppliers(spark, tmp_path):
         want[order * 8 + number] = f"S{min(hits)[1]:09d}" if hits else None
         later += bool(hits) and min(hits)[1] > 200
     assert later > 10
-    assert {r["id"]: r["child"] for r in catalogue.queries()["origin_attribution_all"](spark, str(tmp_path)).collect()} == want
+    assert {r["id"]: r["child"] for r in catalogue.queries()["origin_attribution"](spark, str(tmp_path)).collect()} == want
 
 
 def test_view_functions(spark):
