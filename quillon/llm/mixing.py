@@ -20,7 +20,7 @@ are 0 all targets are 0; an empty table gives no rows.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,12 +119,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 11)
     coded = common.stage(coded)
     lengths = coded.groupBy("group", "sid", "size").agg(F.count("*").alias("n"), F.any_value("target").alias("target"))
 
-    def work(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("size")
-        copies, extra = plan_source(table["size"].tolist(), table["n"].tolist(), float(table["target"].iloc[0]))
-        return pd.DataFrame({"group": table["group"], "n": table["n"], "copies": copies, "extra": extra})
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("size")
+        copies, extra = plan_source(table["size"].to_pylist(), table["n"].to_pylist(), table["target"][0].as_py())
+        whole = pa.array([copies] * table.num_rows, pa.int64())
+        return pa.table({"group": table["group"], "n": table["n"], "copies": whole, "extra": pa.array(extra, pa.int64())})
 
-    plan = common.stage(lengths.groupBy("sid").applyInPandas(work, "group long, n long, copies long, extra long"))
+    plan = common.stage(lengths.groupBy("sid").applyInArrow(work, "group long, n long, copies long, extra long"))
     placed = common.attach(coded, plan, "group")
     out = lambda df, more: df.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more.cast("long"))).alias("taken"))
     split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))

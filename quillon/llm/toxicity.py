@@ -86,7 +86,7 @@ def buckets_of(texts: list[str]) -> Iterator[np.ndarray]:
     """The distinct feature buckets of each text, worked out in bounded slices."""
     if not texts:
         return
-    for part in common.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), most=1 << 20):
+    for part in common.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), most=1 << 18):
         owner, bucket = text_buckets(part.column(0))
         yield from np.split(bucket, np.searchsorted(owner, np.arange(1, part.num_rows)))
 
