@@ -167,6 +167,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+common.CACHES.append(encoder)
+
+
 def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Block rows in ascending doc_id order within and across shards."""
 
@@ -191,7 +194,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
 
     common.ready(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(common.tidy(run), BLOCKS)
+    return ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(common.tidy(run, encoder), BLOCKS)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> str:

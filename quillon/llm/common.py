@@ -51,10 +51,17 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` over the batches of a task, memory given back when the task ends."""
+#: Cached makers of what a worker keeps between tasks of one stage.
+CACHES: list = []
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over the batches of a task; what other stages left is dropped first, and memory given back when the task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cached in CACHES:
+            if cached is not keep:
+                cached.cache_clear()
         try:
             yield from work(batches)
         finally:
@@ -160,7 +167,7 @@ def flat_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType, column: str = "text", most: int = SLICE_BYTES, keep=None) -> DataFrame:
     """Apply ``work`` to bounded slices of each partition, without a shuffle."""
     ready(df.sparkSession)
 
@@ -171,7 +178,7 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, keep), schema)
 
 
 # --- bounded samples of labelled rows ---------------------------------------

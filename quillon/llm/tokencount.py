@@ -155,6 +155,9 @@ def counter(path: str) -> Counter:
     return Counter(read_vocabulary(path))
 
 
+common.CACHES.append(counter)
+
+
 def count(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_words and n_tokens of every document."""
 
@@ -164,4 +167,4 @@ def count(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(common.segment_sum(own[codes], offsets))], names=["doc_id", "n_words", "n_tokens"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return common.map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema)
+    return common.map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema, keep=counter)
