@@ -77,6 +77,26 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes_of(docs, 3, 90, 100).withColumnRenamed("n_grams", "n_shingles")
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS gram FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS s FROM g AS x JOIN g AS y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM met JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * s >= 90 * (p.n + q.n - s)
+), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other
+)
+SELECT reach.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(remainder("doc_id", 4) != 2))
@@ -95,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL}
+    return {"op4_topk": OP4_SQL, "op8_ngram_jaccard": OP8_SQL}
