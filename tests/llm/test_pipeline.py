@@ -172,3 +172,26 @@ def test_held_out_accuracy(spark, name, label, right):
     assert len(hits) > 80 and sum(hits) / len(hits) >= right
     if label == "toxic":  # clean rows are left alone
         assert not any(r["predicted"] for r in out if not r["toxic"])
+
+
+CLASHES = ("score", "predicted", "node", "times", "rows", "row", "drop", "edits")
+
+
+@pytest.mark.parametrize("filled", [False, True])
+def test_pipeline_edges(spark, tmp_path, filled):
+    plain = [(1, None, None), (2, "", "a"), (3, " \n ", "a"), (None, "a b c d e f", "a"), (5, "a b c d e f", "a"), (5, "a b c d e f", "a"), (6, "q r s t", None)]
+    labels = [(None, None, None), (5, 1, None), (6, 1, 0)]
+    items = [(None, None), (1, ""), (2, " "), (3, "zz yy xx ww vv uu")]
+    docs = spark.createDataFrame([(*r, *range(len(CLASHES))) for r in plain if filled], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in CLASHES))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels if filled else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items if filled else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = in_order(r["doc_id"] for r in out.collect())
+        once = name != "toxicity"  # of repeated rows one stays
+        assert rows == in_order(r[0] for i, r in enumerate(plain) if filled and not (once and i == 5))
+        docs = out
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {1, 2, 3} <= {r["doc_id"] for r in got} if filled else not got
