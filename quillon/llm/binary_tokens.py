@@ -111,8 +111,8 @@ class WordEncoder:
 
     def learn_groups(self, words: list[str], between: str, ends, skip: int) -> None:
         """Encode words in groups; ``ends`` finds where each word's ids end, ``skip`` ids lie between words."""
-        for i in range(0, len(words), 64):
-            group = words[i : i + 64]
+        for i in range(0, len(words), 256):
+            group = words[i : i + 256]
             ids = np.array(self.ids([between.join(group)])[0], np.uint32)
             end = ends(ids)
             if len(end) != len(group):
@@ -133,10 +133,8 @@ class WordEncoder:
         wanted = coded.dictionary.to_pylist()
         known = self.known
         new = [w for w in wanted if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-            new = [w for w in wanted if w]
+        if len(known) + len(new) > CACHE_WORDS:  # words met again stay
+            self.known = known = {"": b""} | {w: known[w] for w in wanted if w in known}
         self.learn(new)
         ids = [known[w] for w in wanted]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
