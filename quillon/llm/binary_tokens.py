@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from . import common
 
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Longer slices than elsewhere: more words are met once only.
 SLICE_BYTES = 8 << 20
 SENTINEL = "\x01"
@@ -103,11 +103,12 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        letters = [w for w in words if w.isascii() and w.isalpha()]
+        letters, others, marked = [], [], []
+        for w in words:
+            (letters if w.isascii() and w.isalpha() else marked if SENTINEL in w else others).append(w)
         self.learn_groups(letters, " ", lambda ids: np.flatnonzero(self.closes[ids]) + 1, 0)
-        others = [w for w in words if not (w.isascii() and w.isalpha()) and SENTINEL not in w]
         self.learn_groups(others, f" {SENTINEL} ", lambda ids: np.append(np.flatnonzero(ids == self.sentinel), len(ids)), 1)
-        self.known.update((w, np.array(self.ids([w])[0], np.uint32).tobytes()) for w in words if SENTINEL in w)
+        self.known.update((w, np.array(self.ids([w])[0], np.uint32).tobytes()) for w in marked)
 
     def learn_groups(self, words: list[str], between: str, ends, skip: int) -> None:
         """Encode words in groups; ``ends`` finds where each word's ids end, ``skip`` ids lie between words."""
@@ -130,7 +131,7 @@ class WordEncoder:
         stem = pc.if_else(whole, words, pc.ascii_lower(pc.fill_null(pc.struct_field(parts, "stem"), "")))
         tail = pc.if_else(whole, "", pc.fill_null(pc.struct_field(parts, "tail"), ""))
         coded = pa.concat_arrays([stem, tail]).dictionary_encode()
-        wanted = coded.dictionary.to_pylist()
+        wanted = common.strings(coded.dictionary)
         known = self.known
         new = [w for w in wanted if w not in known]
         if len(known) + len(new) > CACHE_WORDS:  # words met again stay

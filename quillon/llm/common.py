@@ -122,6 +122,11 @@ def split_words(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     return offsets, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def strings(words: pa.Array) -> list[str]:
+    """The array as a list, by way of numpy: a tenth of the time of to_pylist."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def hash_words(words: list[str], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), U64, len(words))
 

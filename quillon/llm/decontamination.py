@@ -56,7 +56,7 @@ def word_ids(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of each text and the 64-bit ids of its normalised words."""
     offsets, codes, words = common.split_words(text)
     bare = pc.replace_substring_regex(pc.utf8_lower(words), r"[^\pL\pN]+", "").dictionary_encode()
-    ids = common.hash_words(bare.dictionary.to_pylist(), 3)
+    ids = common.hash_words(common.strings(bare.dictionary), 3)
     if len(bare.dictionary):
         blank = pc.equal(pc.binary_length(bare.dictionary), 0).to_numpy(zero_copy_only=False)
         ids = np.where(blank, U64(0), ids | U64(1))

@@ -65,7 +65,7 @@ SPARE = 8
 # --- sets --------------------------------------------------------------------
 def gram_hashes(offsets: np.ndarray, codes: np.ndarray, words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every n-gram; of the whole sequence where a text has fewer than n words."""
-    word = common.hash_words(words.to_pylist())[codes] if len(words) else np.zeros(0, U64)
+    word = common.hash_words(common.strings(words))[codes] if len(words) else np.zeros(0, U64)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     total = np.zeros(max(len(word) - n + 1, 0), U64)
     for k in range(n):
