@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_tokens, decontamination, jaccard, langid, linededup, mixing, quality, tokencount, topk, toxicity
+from . import alignment, binary_tokens, collocations, decontamination, jaccard, langid, linededup, mixing, neighbours, quality, tokencount, topk, toxicity
 from .common import read_table, remainder
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 PIECES_FILE = "piece_bpe_32k.model"
+BYTES_FILE = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
@@ -107,7 +108,47 @@ def op10_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tokens.encode_and_read(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = (op1_mixing, op2_toxicity, op3_decontamination, op4_topk, op5_language_id, op6_line_dedup, op7_token_counts, op8_ngram_jaccard, op9_quality, op10_binary_tokens)
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTES_FILE), tokenizer_path(PIECES_FILE))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents
+), p AS (SELECT lang, unnest(regexp_extract_all(s, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+  FROM w, range(1, 6) AS r(m) WHERE len(w) >= m
+), f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+cut AS (
+  SELECT c.lang, c.m, c.phrase, a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 :], ' ') AS rest FROM c, range(1, 5) AS r(k) WHERE k < m
+), part AS (
+  SELECT cut.*, x.f AS l, y.f AS r FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = first JOIN f AS y ON y.lang = cut.lang AND y.phrase = rest
+), scored AS (
+  SELECT part.lang, phrase, a, l, r, n, k, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM part JOIN n USING (lang)
+), low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, first AS phrase FROM part WHERE m > 2 AND k = m - 1 AND 100 * a >= 100 * l
+  UNION SELECT lang, rest FROM part WHERE m > 2 AND k = 1 AND 100 * a >= 100 * r
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low ANTI JOIN inside USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = (op1_mixing, op2_toxicity, op3_decontamination, op4_topk, op5_language_id, op6_line_dedup, op7_token_counts, op8_ngram_jaccard, op9_quality, op10_binary_tokens, op11_alignment, op12_collocations, op13_neighbours)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -115,4 +156,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op8_ngram_jaccard": OP8_SQL}
+    return {"op4_topk": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op12_collocations": OP12_SQL}
