@@ -171,12 +171,14 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST) -> tup
     cut = common.map_slices(docs.select("lang", "text"), pieces_of, PARTS)
     cut.groupBy("lang", "phrase").agg(F.sum("times").alias("times")).write.option("compression", "zstd").parquet(path)
     pieces = spark.read.parquet(path)
+    common.release(spark)  # the shuffle behind a written table goes before the next one is made
 
     def words(lang: str, own: Words):
         yield own.names, np.bincount(own.codes, own.times, minlength=len(own.names)).astype(np.int64)
 
     told = common.stage(in_buckets(counts_of(pieces, words), least, totals=True))
     single = told.filter(F.col("phrase").isNotNull())
+    common.release(spark)
     usual = spark.sparkContext.broadcast(filter_of(single))
 
     def pairs(lang: str, own: Words):
@@ -187,6 +189,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST) -> tup
     levels = [single.withColumn("m", F.lit(1))]
     if longest >= 2:
         two = common.stage(in_buckets(counts_of(pieces, pairs), least))
+        common.release(spark)
         levels.append(two.withColumn("m", F.lit(2)))
     if longest >= 3:
         known = spark.sparkContext.broadcast(filter_of(two))
@@ -205,6 +208,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST) -> tup
                 yield own.counted(ids, at, m)
 
         more = common.stage(in_buckets(counts_of(pieces, longer), least))
+        common.release(spark)
         levels.append(more.withColumn("m", F.size(F.split("phrase", " "))))
     found = levels[0]
     for level in levels[1:]:
