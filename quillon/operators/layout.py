@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import ship_package, stage
+from ..session import stage
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -67,10 +65,11 @@ def changed_cells(a: DataFrame, b: DataFrame, references: DataFrame, keys: list[
     digest = lambda df, name: df.groupBy(*keys, "cell", "layer", "datatype").agg(F.sum(F.xxhash64("points").cast("decimal(38,0)")).alias(name), F.count("*").alias(f"{name}_n"))
     both = digest(a, "ha").join(digest(b, "hb"), [*keys, "cell", "layer", "datatype"], "full")
     first = both.filter(~F.col("ha").eqNullSafe(F.col("hb")) | ~F.col("ha_n").eqNullSafe(F.col("hb_n"))).select(*keys, "cell")
-    frontier = seen = (first if more is None else first.unionByName(more.select(*keys, "cell"))).distinct()
+    frontier = seen = stage((first if more is None else first.unionByName(more.select(*keys, "cell"))).distinct())
     up = references.select(*keys, F.col("cell").alias("_parent"), F.col("child").alias("cell")).distinct()
     while True:
         frontier = frontier.join(up, [*keys, "cell"]).select(*keys, F.col("_parent").alias("cell")).distinct().join(seen, [*keys, "cell"], "left_anti")
+        frontier = stage(frontier)
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -121,100 +120,111 @@ def strip_metrics(strips: DataFrame, keys: list[str], threshold: float) -> DataF
     return found.withColumn("cosmetic", F.col("added_area") + F.col("removed_area") < threshold)
 
 
-# --- general polygons ---------------------------------------------------------
-def trapezoid_xor(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[str, list[tuple[float, float]]]]:
-    """Pieces of B - A (added) and A - B (removed) of two polygon sets, by a slab sweep.
+# --- attribution and metrics -----------------------------------------------
+def cell_boxes(polygons: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
+    """Box of each cell with all below it, in its own coordinates; cells without geometry have none.
 
-    Slabs lie between all corner and crossing abscissae, so that edges do not
-    cross inside one.  In a slab, edges sorted by height bound the covered
-    spans (non-zero rule a side); spans in one side only are trapezoids.
+    Boxes go upwards: a cell follows when those of all its children are known, one
+    round for each level of the hierarchy.  Cells of a cycle get what is known below them.
+    References turn by quarters here; other angles would need the corners themselves.
     """
-    edges = []
-    for side, rings in ((0, a), (1, b)):
-        for ring in rings:
-            for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-                if p[0] != q[0]:
-                    edges.append((*p, *q, side, 1) if p[0] < q[0] else (*q, *p, side, -1))
-    if not edges:
-        return []
-    e = np.array(edges, float)
-    xs = [e[:, 0], e[:, 2]]
-    slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
-    for i in range(len(e) - 1):
-        rest = e[i + 1 :]
-        differ = slope[i + 1 :] - slope[i]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x = ((e[i, 1] - slope[i] * e[i, 0]) - (rest[:, 1] - slope[i + 1 :] * rest[:, 0])) / differ
-        inside = (differ != 0) & (x > np.maximum(rest[:, 0], e[i, 0])) & (x < np.minimum(rest[:, 2], e[i, 2]))
-        xs.append(x[inside])
-    cuts = np.unique(np.round(np.concatenate(xs), 9))
-    out: list[tuple[str, list[tuple[float, float]]]] = []
-    for x1, x2 in zip(cuts[:-1], cuts[1:], strict=True):
-        mid = (x1 + x2) / 2
-        own = np.flatnonzero((e[:, 0] < mid) & (e[:, 2] > mid))
-        y = e[own, 1] + slope[own] * (mid - e[own, 0])
-        order = own[np.argsort(y, kind="stable")]
-        wind = [0, 0]
-        for low, high in zip(order[:-1], order[1:], strict=True):
-            wind[int(e[low, 4])] += int(e[low, 5])
-            covered = (wind[0] != 0, wind[1] != 0)
-            if covered[0] == covered[1]:
-                continue
-            at = lambda k, x: float(e[k, 1] + slope[k] * (x - e[k, 0]))
-            ring = [(float(x1), at(low, x1)), (float(x2), at(low, x2)), (float(x2), at(high, x2)), (float(x1), at(high, x1))]
-            if abs(at(high, mid) - at(low, mid)) > 1e-9:
-                out.append(("added" if covered[1] else "removed", ring))
-    return out
-
+    group, corners = [*keys, "cell"], {c: f for c, f in zip(G.BOX, (F.min, F.min, F.max, F.max), strict=True)}
+    own = polygons.withColumn("_b", G.bbox(F.col("points"))).groupBy(*group).agg(*[f(f"_b.{c}").alias(c) for c, f in corners.items()])
+    cells = references.select(*keys, F.col("child").alias("cell")).unionByName(references.select(*group)).unionByName(own.select(*group)).distinct()
+    own = stage(cells.join(own, group, "left"))
+    refs = stage(references)
+    edges = refs.select(*keys, F.col("cell").alias("_parent"), F.col("child").alias("cell")).distinct()
+    known = own.join(edges.select(*keys, F.col("_parent").alias("cell")).distinct(), group, "left_anti")
+    while True:
+        waits = edges.join(known.select(*group, F.lit(True).alias("_done")), group, "left").groupBy(*keys, "_parent").agg(F.bool_and(F.coalesce("_done", F.lit(False))).alias("_all")).withColumnRenamed("_parent", "cell")
+        ready = waits.filter("_all").join(known, group, "left_anti").select(*group)
+        boxes = own.join(ready, group, "left_semi").unionByName(placed_boxes(refs.join(ready, group, "left_semi"), known, keys).select(*group, *G.BOX))
+        fresh = stage(boxes.groupBy(*group).agg(*[f(c).alias(c) for c, f in corners.items()]))
+        if fresh.isEmpty():
+            break
+        known = known.unionByName(fresh)
+    rest = own.join(known, group, "left_anti")
+    below = placed_boxes(refs.join(rest.select(*group), group, "left_semi"), known, keys).select(*group, *G.BOX)
+    rest = rest.unionByName(below).groupBy(*group).agg(*[f(c).alias(c) for c, f in corners.items()])
+    return known.unionByName(rest).filter("min_x is not null")
 
-def polygon_xor(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Trapezoids of the split XOR of two polygon tables, by group of ``keys`` in Arrow batches.
 
-    A group is a cell, layer and, for large layers, a tile; only groups whose
-    geometry differs reach Python.
-    """
-    from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+def placed_boxes(references: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each reference with the box of its child as it is placed, all elements of an array together."""
+    angle, mag, flip = F.radians("rot"), F.coalesce("mag", F.lit(1.0)), F.when(F.col("mirror"), -1.0).otherwise(1.0)
+    cos, sin = F.round(F.cos(angle), 12) * mag, F.round(F.sin(angle), 12) * mag
+    child = boxes.select(*keys, F.col("cell").alias("child"), *[F.col(c).alias(f"_{c}") for c in G.BOX])
+    x = [cos * F.col(f"_{a}") - sin * flip * F.col(f"_{b}") for a in ("min_x", "max_x") for b in ("min_y", "max_y")]
+    y = [sin * F.col(f"_{a}") + cos * flip * F.col(f"_{b}") for a in ("min_x", "max_x") for b in ("min_y", "max_y")]
+    far = lambda n, step: (F.greatest(n, F.lit(1)) - 1) * F.col(step)
+    found = references.join(child, [*keys, "child"])
+    none = F.lit(0.0)
+    return found.select(
+        *keys, "cell", "child",
+        (F.least(*x) + F.col("dx") + F.least(none, far("cols", "sx"))).alias("min_x"), (F.least(*y) + F.col("dy") + F.least(none, far("rows", "sy"))).alias("min_y"),
+        (F.greatest(*x) + F.col("dx") + F.greatest(none, far("cols", "sx"))).alias("max_x"), (F.greatest(*y) + F.col("dy") + F.greatest(none, far("rows", "sy"))).alias("max_y"),
+    )
 
-    point = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
-    both = a.select(*keys, "points", F.lit("a").alias("side")).unionByName(b.select(*keys, "points", F.lit("b").alias("side")))
-    sum_of = lambda s: F.sum(F.when(F.col("side") == s, F.xxhash64("points").cast("decimal(38,0)")).otherwise(0))
-    differ = both.groupBy(*keys).agg(sum_of("a").alias("_a"), sum_of("b").alias("_b")).filter("_a <> _b").select(*keys)
-    schema = StructType([*(f for f in both.select(*keys).schema.fields), StructField("side", StringType()), StructField("points", ArrayType(point))])
 
-    def work(key, table):
-        rings = {s: [np.array([(p["x"], p["y"]) for p in ring]) for ring in table.loc[table["side"] == s, "points"] if len(ring) > 2] for s in "ab"}
-        pieces = trapezoid_xor(rings["a"], rings["b"])
-        rows = [(*key, side, [{"x": x, "y": y} for x, y in ring]) for side, ring in pieces]
-        return pd.DataFrame(rows, columns=[*keys, "side", "points"])
+def reference_boxes(polygons: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cell, child, box) with one row for each reference: its child with all below it, as placed.
 
-    ship_package(a.sparkSession)
-    return both.join(differ, keys, "left_semi").groupBy(*keys).applyInPandas(work, schema)
+    Groups in which a reference turns by other than quarters are flattened, as the
+    box of a turned box would be too large.
+    """
+    turned = references.filter(F.pmod(F.coalesce("rot", F.lit(0.0)), F.lit(90.0)) != 0).select(*keys).distinct()
+    if not keys or turned.isEmpty():
+        straight, rest = references, None
+        if not keys and not turned.isEmpty():
+            straight, rest = references.limit(0), references
+    else:
+        straight, rest = references.join(turned, keys, "left_anti"), references.join(turned, keys, "left_semi")
+    found = placed_boxes(straight, cell_boxes(polygons if rest is None else polygons.join(turned, keys, "left_anti") if keys else polygons.limit(0), straight, keys), keys)
+    if rest is None:
+        return found
+    rows = stage(rest.withColumn("_ref", F.monotonically_increasing_id()))
+    deep = flatten(polygons.join(turned, keys, "left_semi") if keys else polygons, rest, keys).select(*keys, F.col("cell").alias("_root"), "points")
+    one = rows.select(*keys, F.concat(F.lit("ref "), F.col("_ref").cast("string")).alias("cell"), F.col("child"), *[c for c in rows.columns if c not in (*keys, "cell", "child")])
+    spots = instances(one, keys).filter(F.size("path") == 2).select(*keys, "root", "cell", "a", "b", "c", "d", "tx", "ty")
+    move = lambda p: F.struct((F.col("a") * p["x"] + F.col("b") * p["y"] + F.col("tx")).alias("x"), (F.col("c") * p["x"] + F.col("d") * p["y"] + F.col("ty")).alias("y"))
+    box = spots.join(deep.withColumnRenamed("_root", "cell"), [*keys, "cell"]).withColumn("_b", G.bbox(F.transform("points", move)))
+    box = box.groupBy(*keys, "root").agg(*[f(f"_b.{c}").alias(c) for c, f in zip(G.BOX, (F.min, F.min, F.max, F.max), strict=True)])
+    own = rows.withColumn("root", F.concat(F.lit("ref "), F.col("_ref").cast("string"))).select(*keys, "root", "cell", "child").join(box, [*keys, "root"])
+    return found.unionByName(own.select(*keys, "cell", "child", *G.BOX))
 
 
-# --- attribution and metrics -----------------------------------------------
-def attribute(pieces: DataFrame, boxes: DataFrame, keys: list[str], piece_id: str, tile: float) -> DataFrame:
+def attribute(pieces: DataFrame, boxes: DataFrame, keys: list[str], piece_id: str) -> DataFrame:
     """Child of the smallest box that holds a piece's centre (ties by name), else null.
 
-    Both sides meet on a grid tile, so no nested loop is planned.
+    Boxes lie in grids of their own size: a box is in the grid whose step is the power of
+    two above its longer side, so in four cells at most, and one large box leaves the others'
+    cells as they are.  A piece looks into one cell of each grid that has a box;
+    there are no more grids than powers of two.
     """
-    spread = boxes.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("min_x") / tile), F.floor(F.col("max_x") / tile)))).withColumn("_ty", F.explode(F.sequence(F.floor(F.col("min_y") / tile), F.floor(F.col("max_y") / tile))))
-    size = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
-    own = pieces.withColumn("_tx", F.floor(F.col("cx") / tile)).withColumn("_ty", F.floor(F.col("cy") / tile))
-    hit = own.join(spread.select(*keys, "_tx", "_ty", "child", "min_x", "min_y", "max_x", "max_y"), [*keys, "_tx", "_ty"])
+    width, height = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    sized = boxes.withColumn("_level", F.ceil(F.log2(F.greatest(width, height, F.lit(2.0**-40)))).cast("int")).withColumn("_step", F.pow(F.lit(2.0), F.col("_level")))
+    levels = sorted(r[0] for r in sized.select("_level").distinct().collect() if r[0] is not None)
+    if not levels:
+        return pieces.withColumn("child", F.lit(None).cast("string"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("_step")), F.floor(F.col(hi) / F.col("_step"))))
+    spread = sized.withColumn("_tx", cells("min_x", "max_x")).withColumn("_ty", cells("min_y", "max_y"))
+    own = pieces.select(*keys, piece_id, "cx", "cy").withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumn("_step", F.pow(F.lit(2.0), F.col("_level")))
+    own = own.withColumn("_tx", F.floor(F.col("cx") / F.col("_step"))).withColumn("_ty", F.floor(F.col("cy") / F.col("_step"))).drop("_step")
+    hit = own.join(spread.select(*keys, "_level", "_tx", "_ty", "child", *G.BOX), [*keys, "_level", "_tx", "_ty"])
     inside = hit.filter(F.col("cx").between(F.col("min_x"), F.col("max_x")) & F.col("cy").between(F.col("min_y"), F.col("max_y")))
-    best = inside.groupBy(*keys, piece_id).agg(F.min_by("child", F.struct(size.alias("s"), F.col("child").alias("c"))).alias("child"))
+    best = inside.groupBy(*keys, piece_id).agg(F.min_by("child", F.struct((width * height).alias("s"), F.col("child").alias("c"))).alias("child"))
     return pieces.join(best, [*keys, piece_id], "left")
 
 
 def piece_metrics(pieces: DataFrame, keys: list[str], unit_um: Column | float = 1.0, threshold: float = 0.01) -> DataFrame:
-    """Counts, areas, box, cosmetic and flattened flags of XOR pieces (points, side, origin)."""
+    """Counts, areas, box, cosmetic and flattened flags of regions (side, area, box, origin)."""
     unit = unit_um if isinstance(unit_um, Column) else F.lit(float(unit_um))
-    own = pieces.withColumn("_area", G.area(F.col("points")) * unit * unit).withColumn("_box", G.bbox(F.col("points")))
+    own = pieces.withColumn("_area", F.col("area") * unit * unit)
     by = lambda s, v: F.sum(F.when(F.col("side") == s, v).otherwise(0))
     found = own.groupBy(*keys, "origin").agg(
         by("added", F.lit(1)).alias("added_polygons"), by("removed", F.lit(1)).alias("removed_polygons"),
         by("added", F.col("_area")).alias("added_area_um2"), by("removed", F.col("_area")).alias("removed_area_um2"),
-        *[(f(F.col(f"_box.{c}")) * F.first(unit)).alias(c) for c, f in zip(G.BOX, (F.min, F.min, F.max, F.max), strict=True)],
+        *[(f(c) * F.first(unit)).alias(c) for c, f in zip(G.BOX, (F.min, F.min, F.max, F.max), strict=True)],
     )
     return found.withColumn("cosmetic", F.col("added_area_um2") + F.col("removed_area_um2") < threshold).withColumn("flattened", F.size("origin") > 1)
 

@@ -347,7 +347,7 @@ def origin_attribution(spark, d):
     supplier = read(spark, d, "supplier")
     pieces = rects(spark, d).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), F.lit(1).alias("g"))
     box = supplier.select(F.expr("concat('S', lpad(s_suppkey, 9, '0'))").alias("child"), F.expr("s_suppkey * 37 % 480").alias("min_x"), F.expr("s_suppkey * 53 % 380").alias("min_y"), F.expr("s_suppkey * 37 % 480 + 5 + s_suppkey % 40").alias("max_x"), F.expr("s_suppkey * 53 % 380 + 5 + s_suppkey % 30").alias("max_y"), F.lit(1).alias("g"))
-    return layout.attribute(pieces, box, ["g"], "id", 32.0).select("id", "child")
+    return layout.attribute(pieces, box, ["g"], "id").select("id", "child")
 
 
 @query(f"WITH {RECTS} SELECT l_orderkey, l_linenumber FROM q WHERE x1 <= 180 AND x2 >= 120 AND y1 <= 140 AND y2 >= 100")

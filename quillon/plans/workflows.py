@@ -17,7 +17,7 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..operators import blobs as B
 from ..operators import diff as D
-from ..operators import history, layout, summary
+from ..operators import history, layout, regions, summary
 from ..session import ship_package, stage
 from ..sources import layout as stream
 from ..sources import repository, schematic
@@ -100,12 +100,12 @@ def layout_entries(sides: DataFrame, keys: list[str], threshold: float = 0.01) -
         below = of("references", side).withColumnRenamed("path", "file")
         return layout.flatten(own, below, ["file"]).join(wanted.withColumnRenamed("path", "file"), ["file", "cell"], "left_semi").drop("path")
 
-    pieces = stage(layout.polygon_xor(flattened("a"), flattened("b"), ["file", "cell", "layer", "datatype"]))
-    pieces = pieces.withColumn("piece", F.xxhash64("file", "cell", "layer", "datatype", "side", "points")).withColumn("_b", G.bbox(F.col("points")))
-    pieces = pieces.withColumn("cx", (F.col("_b.min_x") + F.col("_b.max_x")) / 2).withColumn("cy", (F.col("_b.min_y") + F.col("_b.max_y")) / 2)
-    boxes = reference_boxes(of("polygons", "b").unionByName(of("polygons", "a")), of("references", "b").unionByName(of("references", "a")).distinct())
-    span = boxes.agg(F.max(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))).first()[0] or 1.0
-    placed = layout.attribute(pieces, boxes, ["file", "cell"], "piece", max(span, 1e-6))
+    pieces = stage(regions.xor(flattened("a"), flattened("b"), ["file", "cell", "layer", "datatype"]))
+    pieces = pieces.withColumn("id", F.struct("layer", "datatype", "piece")).withColumn("cx", (F.col("min_x") + F.col("max_x")) / 2).withColumn("cy", (F.col("min_y") + F.col("max_y")) / 2)
+    # added regions belong to references of side B, removed ones to those of side A
+    sided = lambda name: t[name].withColumnRenamed("path", "file").withColumn("side", F.when(F.col("rev") == "b", "added").otherwise("removed")).drop("rev")
+    boxes = stage(layout.reference_boxes(sided("polygons"), sided("references").filter(F.col("child").isNotNull()), ["file", "side"]))
+    placed = layout.attribute(pieces, boxes.join(wanted.withColumnRenamed("path", "file"), ["file", "cell"], "left_semi"), ["file", "cell", "side"], "id")
     origin = F.when(F.col("child").isNull(), F.array("cell")).otherwise(F.array("cell", "child"))
     unit = of("libraries", "b").select(F.col("path").alias("file"), (F.col("unit_m") / 1e-6).alias("unit_um"))
     scaled = placed.withColumn("origin", origin).join(unit, "file", "left").withColumn("unit_um", F.coalesce("unit_um", F.lit(1.0)))
@@ -116,14 +116,6 @@ def layout_entries(sides: DataFrame, keys: list[str], threshold: float = 0.01) -
     return rows.join(names, "path").select(*keys, *ENTRY), warnings.join(names, "path").select(*keys, "message")
 
 
-def reference_boxes(polygons: DataFrame, references: DataFrame) -> DataFrame:
-    """(file, cell, child, box) of each direct reference: the box of the child with all below it."""
-    own, below = polygons.withColumnRenamed("path", "file"), references.withColumnRenamed("path", "file")
-    deep = layout.flatten(own, below, ["file"]).filter(F.size("path") > 1)
-    box = deep.withColumn("_b", G.bbox(F.col("points"))).withColumn("child", F.col("path")[1])
-    return box.groupBy("file", "cell", "child").agg(*[f(f"_b.{c}").alias(c) for c, f in zip(G.BOX, (F.min, F.min, F.max, F.max), strict=True)])
-
-
 def two_sides(paired: DataFrame, keys: list[str], driver: str, missing_side: str) -> tuple[DataFrame, DataFrame]:
     """(sides, warnings) of paired blobs of one driver; invalid sides leave the comparison with a warning."""
     own = paired.filter(P.driver_of(F.col("path")) == driver)

@@ -70,31 +70,6 @@ def test_top_cell(spark, cells, refs, top):
     assert L.top_cells(c, r).first()["top"] == top
 
 
-def test_xor_against_raster():
-    rng = np.random.default_rng(4)
-    for _ in range(20):
-        sides, masks = [], []
-        for _side in range(2):
-            rects = [(x, y, x + w, y + h) for x, y, w, h in rng.integers(1, 9, (5, 4))]
-            mask = np.zeros((20, 20), bool)
-            for x1, y1, x2, y2 in rects:
-                mask[x1:x2, y1:y2] = True
-            sides.append([np.array([(x1, y1), (x2, y1), (x2, y2), (x1, y2)], float) for x1, y1, x2, y2 in rects])
-            masks.append(mask)
-        area = {"added": 0.0, "removed": 0.0}
-        for side, ring in L.trapezoid_xor(*sides):
-            x, y = np.array(ring).T
-            area[side] += abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
-        assert area["added"] == pytest.approx((masks[1] & ~masks[0]).sum()) and area["removed"] == pytest.approx((masks[0] & ~masks[1]).sum())
-    tri = np.array([(0, 0), (4, 0), (0, 4)], float)
-    assert sum(ring_area(r) for _, r in L.trapezoid_xor([], [tri])) == pytest.approx(8)
-
-
-def ring_area(ring):
-    x, y = np.array(ring).T
-    return abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
-
-
 def test_tiles_keep_area(spark):
     rows = spark.createDataFrame([(0.0, 0.0, 25.0, 7.0, "a"), (3.0, 3.0, 12.0, 30.0, "b")], "x1 double, y1 double, x2 double, y2 double, side string")
     whole = L.strip_metrics(L.rect_xor(rows.withColumn("g", F.lit(1)), ["g"]), ["g"], 0.0).first()
@@ -136,6 +111,66 @@ def test_attribution_to_boxes_of_all_suppliers(spark, tmp_path):
     assert {r["id"]: r["child"] for r in catalogue.queries()["origin_attribution"](spark, str(tmp_path)).collect()} == want
 
 
+def test_instances_apart_and_sides(spark):
+    inv = [box(0, 0, 2, 1)]
+    two = [{"child": "INV", "at": (0, 0)}, {"child": "INV", "at": (100, 0)}]
+    # between two instances of one child: the cell's own
+    found, _ = run(spark, S.encode({"TOP": two, "INV": inv}), S.encode({"TOP": [*two, box(50, 0, 51, 1)], "INV": inv}))
+    assert set(found) == {"TOP:L1/0"}
+    # a removed piece meets the references of side A, an added one those of side B
+    a = S.encode({"TOP": [{"child": "INV", "at": (0, 0)}, box(100, 0, 101, 1)], "INV": inv})
+    b = S.encode({"TOP": [{"child": "INV", "at": (100, 0)}], "INV": inv})
+    found, _ = run(spark, a, b)
+    assert {k: (v["after"]["added_polygons"], v["after"]["removed_polygons"]) for k, v in found.items()} == {"TOP:L1/0:INV": ("1", "1")}
+    found, _ = run(spark, b, a)
+    assert {k: (v["after"]["added_polygons"], v["after"]["removed_polygons"]) for k, v in found.items()} == {"TOP:L1/0:INV": ("1", "1")}
+
+
+def test_whole_polygons_are_counted(spark):
+    ell = {"points": [(0, 0), (30, 0), (30, 10), (10, 10), (10, 30), (0, 30)], "layer": 1, "datatype": 0}
+    frame = [box(50, 0, 90, 10), box(50, 30, 90, 40), box(50, 0, 60, 40), box(80, 0, 90, 40)]
+    found, _ = run(spark, S.encode({"TOP": [box(200, 0, 201, 1)]}), S.encode({"TOP": [box(200, 0, 201, 1), ell, *frame]}))
+    assert found["TOP:L1/0"]["after"]["added_polygons"] == "2" and found["TOP:L1/0"]["after"]["added_area_um2"] == "1700.000"
+
+
+REFERENCE = "f int, cell string, child string, dx double, dy double, rot double, mag double, mirror boolean, cols int, rows int, sx double, sy double"
+
+
+@pytest.mark.parametrize("angle", [90.0, 30.0])
+def test_reference_boxes_against_flattening(spark, angle):
+    refs = spark.createDataFrame([
+        (1, "T", "M", 5.0, 7.0, angle, 2.0, True, 3, 2, 50.0, -40.0), (1, "T", "M", -300.0, 0.0, 0.0, 1.0, False, 1, 1, 0.0, 0.0), (1, "M", "L", 1.0, 2.0, 180.0, 1.0, False, 2, 1, 10.0, 0.0),
+        (2, "X", "Y", 0.0, 0.0, 270.0, None, False, None, None, None, None), (2, "Y", "X", 9.0, 0.0, 0.0, 1.0, False, 1, 1, 0.0, 0.0), (1, "T", "EMPTY", 0.0, 0.0, 0.0, 1.0, False, 1, 1, 0.0, 0.0),
+    ], REFERENCE)
+    refs = refs.fillna({"cols": 1, "rows": 1, "sx": 0.0, "sy": 0.0})
+    shape = spark.createDataFrame([(1, "L", 1, 0, [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0)]), (1, "M", 1, 0, [(0.0, 0.0), (1.0, 5.0), (2.0, 0.0)]), (2, "Y", 1, 0, [(1.0, 1.0), (2.0, 1.0), (2.0, 3.0)])], f"f int, cell string, layer int, datatype int, points {L.POINTS}")
+    got = sorted((r["f"], r["cell"], r["child"], *(round(r[c], 6) for c in G.BOX)) for r in L.reference_boxes(shape, refs, ["f"]).collect())
+    want = []
+    deep = {}
+    for r in L.flatten(shape, refs, ["f"]).collect():
+        deep.setdefault((r["f"], r["cell"]), []).extend((p["x"], p["y"]) for p in r["points"])
+    for r in refs.collect():
+        if r["f"] == 2 and r["cell"] == "Y":
+            continue  # in a cycle the box holds what is known below
+        pts = deep.get((r["f"], r["child"]), [])
+        t, m, s = np.radians(r["rot"]), r["mag"] or 1.0, -1.0 if r["mirror"] else 1.0
+        spots = [(np.cos(t) * m * x - np.sin(t) * m * s * y + r["dx"] + i * r["sx"], np.sin(t) * m * x + np.cos(t) * m * s * y + r["dy"] + j * r["sy"]) for x, y in pts for i in range(r["cols"]) for j in range(r["rows"])]
+        if spots:
+            x, y = np.array(spots).T
+            want.append((r["f"], r["cell"], r["child"], *(round(float(v), 6) for v in (x.min(), y.min(), x.max(), y.max()))))
+    assert [g for g in got if g[:2] != (2, "Y")] == sorted(want)
+
+
+def test_one_large_box_leaves_the_grid_of_the_others(spark):
+    rng = np.random.default_rng(3)
+    boxes = [(0.0, 0.0, 1e6, 1e6, "CHIP"), *((float(x), float(y), float(x + w), float(y + h), f"B{k}") for k, (x, y, w, h) in enumerate(rng.integers(1, 60, (300, 4)) * [900, 900, 1, 1])), (5.0, 5.0, 5.0, 5.0, "DOT")]
+    pieces = [(k, float(x), float(y)) for k, (x, y) in enumerate([(5, 5), (-1, 5), *((b[0] + 1, b[1] + 1) for b in boxes[1:200]), *rng.integers(0, 60_000, (200, 2))])]
+    got = {r["id"]: r["child"] for r in L.attribute(spark.createDataFrame([(1, *p) for p in pieces], "g int, id long, cx double, cy double"), spark.createDataFrame([(1, *b) for b in boxes], "g int, min_x double, min_y double, max_x double, max_y double, child string"), ["g"], "id").collect()}
+    for k, cx, cy in pieces:
+        hits = [((b[2] - b[0]) * (b[3] - b[1]), b[4]) for b in boxes if b[0] <= cx <= b[2] and b[1] <= cy <= b[3]]
+        assert got[k] == (min(hits)[1] if hits else None)
+
+
 def test_view_functions(spark):
     one = spark.range(1).select(F.struct(F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(10.0).alias("max_x"), F.lit(0.0).alias("max_y")).alias("b"), F.struct(F.lit(1.0).alias("pan_x"), F.lit(2.0).alias("pan_y"), F.lit(2.0).alias("scale")).alias("v"))
     row = one.select(G.view_box(F.col("b"), 5, 5).alias("s"), G.to_world(F.col("v"), G.to_screen(F.col("v"), F.lit(3.0), F.lit(4.0))["x"], F.lit(10.0)).alias("w"), G.zoom(F.col("v"), F.lit(0.0), F.lit(0.0), F.lit(-1.0)).alias("z"), F.size(G.arc(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(90.0))).alias("n")).first()
