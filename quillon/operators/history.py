@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import driver_of, path_filter
+from ..session import release
 from ..session import stage as checkpointed
 
 
-def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node) for every node reachable from each start, itself included.
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node) for every node reachable from each start, itself included, by squared jumps.
 
     ``edges`` are (child, parent), ``starts`` (start, node).  Round k follows
     jumps of exactly 2^k steps from all nodes within fewer than 2^k, so a chain
@@ -24,12 +25,62 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     seen, many = checkpointed(starts.select("start", "node").distinct()), -1
     while many != (many := seen.count()) and not jumps.isEmpty():
         step = seen.join(jumps, seen["node"] == jumps["u"]).select("start", F.col("v").alias("node"))
-        seen = checkpointed(seen.unionByName(step).distinct())
+        before, seen = seen, checkpointed(seen.unionByName(step).distinct())
         twice = jumps.alias("a").join(jumps.alias("b"), F.col("a.v") == F.col("b.u"))
-        jumps = checkpointed(twice.select(F.col("a.u").alias("u"), F.col("b.v").alias("v")).distinct())
+        old, jumps = jumps, checkpointed(twice.select(F.col("a.u").alias("u"), F.col("b.v").alias("v")).distinct())
+        release(edges.sparkSession, before, old)
     return seen
 
 
+def segments(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index of a graph: (node, segment, place) and (segment, parent segment) edges.
+
+    A segment is a run of commits without a merge or a fork within; it is named by its oldest
+    commit, and places count from there.  So a graph has as many segments as
+    merges and forks, and to reach a node of a segment at a place is to reach all places below.
+    Runs are followed by doubling: a run of n commits takes log n rounds of n rows.
+    """
+    known = checkpointed(edges.select("child", "parent").filter("child is not null and parent is not null and child <> parent").distinct())
+    nodes = known.select(F.col("child").alias("node")).unionByName(known.select(F.col("parent").alias("node"))).distinct()
+    alone = lambda c: known.groupBy(c).agg(F.count("*").alias("n")).filter("n = 1").select(c)
+    inner = known.join(alone("child"), "child", "left_semi").join(alone("parent"), "parent", "left_semi")
+    at = nodes.join(inner.select(F.col("child").alias("node"), F.col("parent").alias("low")), "node", "left")
+    at = checkpointed(at.select("node", F.coalesce("low", "node").alias("low"), F.col("low").isNotNull().cast("long").alias("place")))
+    total = at.count()
+    for _ in range(max(1, total).bit_length() + 1):  # a cycle would go on for ever
+        step = at.alias("x").join(at.select(F.col("node").alias("_n"), F.col("low").alias("_low"), F.col("place").alias("_place")), F.col("x.low") == F.col("_n"))
+        before, at = at, checkpointed(step.select("node", F.col("_low").alias("low"), (F.col("place") + F.col("_place")).alias("place")))
+        moved = at.join(before.withColumnRenamed("low", "_old"), "node").filter("low <> _old").isEmpty()
+        release(edges.sparkSession, before)
+        if moved:
+            break
+    oldest = nodes.join(inner.select(F.col("child").alias("node")), "node", "left_anti").select(F.col("node").alias("low"), F.lit(True).alias("_end"))
+    ends = F.coalesce("_end", F.lit(False))  # the nodes of a cycle are segments of their own
+    index = checkpointed(at.join(oldest, "low", "left").select("node", F.when(ends, F.col("low")).otherwise(F.col("node")).alias("segment"), F.when(ends, F.col("place")).otherwise(0).alias("place")))
+    # only a segment's oldest commit has parents outside, and these are the newest of theirs
+    between = known.join(index.filter("place = 0").select(F.col("node").alias("child")), "child", "left_semi")
+    between = between.join(index.select(F.col("node").alias("parent"), F.col("segment").alias("_up")), "parent").select("child", F.col("_up").alias("parent"))
+    return index, checkpointed(between.distinct())
+
+
+def entered(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, entries): of each start the segments that it reaches and the highest place in each, null for all of it."""
+    index, between = segments(edges)
+    at = checkpointed(starts.select("start", "node").distinct().join(index, "node", "left").select("start", F.coalesce("segment", "node").alias("segment"), F.coalesce("place", F.lit(0)).alias("place")))
+    first = between.join(at.select(F.col("segment").alias("child")).distinct(), "child", "left_semi")
+    above = at.join(first.select(F.col("child").alias("segment"), F.col("parent").alias("node")), "segment").select("start", "node").distinct()
+    whole = reachable(between, above).select("start", F.col("node").alias("segment"), F.lit(None).cast("long").alias("place"))
+    both = at.unionByName(whole).groupBy("start", "segment").agg(F.when(F.count("*") == F.count("place"), F.max("place")).alias("place"))
+    return index, both
+
+
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node) for every node reachable from each start, itself included."""
+    index, entries = entered(edges, starts)
+    below = entries.withColumnRenamed("place", "_top").join(index, "segment").filter("_top is null or place <= _top").select("start", "node")
+    return below.unionByName(starts.select("start", "node")).distinct()
+
+
 def edges_of(commits: DataFrame) -> DataFrame:
     return commits.select(F.col("oid").alias("child"), F.explode("parents").alias("parent"))
 
@@ -41,12 +92,18 @@ def from_start(commits: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def ahead_behind(edges: DataFrame, tips: DataFrame) -> DataFrame:
-    """name, ahead and behind of each row of ``tips`` (name, local, upstream)."""
+    """name, ahead and behind of each row of ``tips`` (name, local, upstream).
+
+    Commits are counted by segment, from the places at which either side enters it.
+    """
     ends = tips.select("name", F.explode(F.array(F.struct(F.lit("local").alias("side"), F.col("local").alias("node")), F.struct(F.lit("upstream").alias("side"), F.col("upstream").alias("node")))).alias("e"))
     starts = ends.select(F.concat_ws("|", "name", "e.side").alias("start"), F.col("e.node").alias("node"))
-    nodes = closure(edges, starts).select(F.substring_index("start", "|", 1).alias("name"), F.substring_index("start", "|", -1).alias("side"), "node")
-    per = nodes.groupBy("name", "node").agg(F.max((F.col("side") == "local").cast("long")).alias("l"), F.max((F.col("side") == "upstream").cast("long")).alias("u"))
-    return per.groupBy("name").agg(F.sum(F.when((F.col("l") == 1) & (F.col("u") == 0), 1).otherwise(0)).cast("long").alias("ahead"), F.sum(F.when((F.col("u") == 1) & (F.col("l") == 0), 1).otherwise(0)).cast("long").alias("behind"))
+    index, entries = entered(edges, starts)
+    length = index.groupBy("segment").agg((F.max("place") + 1).alias("_n"))
+    held = entries.join(length, "segment", "left").select(F.substring_index("start", "|", -1).alias("side"), F.expr("left(start, length(start) - length(substring_index(start, '|', -1)) - 1)").alias("name"), "segment", F.coalesce(F.col("place") + 1, F.col("_n"), F.lit(1)).alias("n"))
+    per = held.groupBy("name", "segment").agg(F.coalesce(F.max(F.when(F.col("side") == "local", F.col("n"))), F.lit(0)).alias("l"), F.coalesce(F.max(F.when(F.col("side") == "upstream", F.col("n"))), F.lit(0)).alias("u"))
+    more = lambda a, b: F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0))).cast("long")
+    return per.groupBy("name").agg(more("l", "u").alias("ahead"), more("u", "l").alias("behind"))
 
 
 def refs_by_oid(refs: DataFrame, key: str = "oid", ref: str = "ref") -> DataFrame:

@@ -25,7 +25,7 @@ from ..functions import geometry as G
 from ..session import release, ship_package, stage
 
 #: Polygons that a tile holds on average, edges that it holds at most, and how often it is quartered.
-TILE_POLYGONS = 48
+TILE_POLYGONS = 256
 MOST_EDGES = 4096
 QUARTERINGS = 8
 #: Lengths below this are no length.
@@ -294,18 +294,17 @@ def differing_tiles(a: DataFrame, b: DataFrame, keys: list[str], tile: float | N
     both = a.select(*keys, "points", F.lit(0).alias("_side")).unionByName(b.select(*keys, "points", F.lit(1).alias("_side"))).filter(F.size("points") > 2)
     todo = tiled(tile_sizes(both, keys, tile).withColumn("_base", F.col("_size")))
     group, done = [*keys, "_base", "_size", "_tx", "_ty"], None
+    digest = lambda s: F.sum(F.when(F.col("_side") == s, F.xxhash64("points").cast("decimal(38,0)")).otherwise(0))
     for turn in range(QUARTERINGS + 1):
-        digest = lambda s: F.sum(F.when(F.col("_side") == s, F.xxhash64("points").cast("decimal(38,0)")).otherwise(0))
-        todo = todo.dropDuplicates([*group, "_side", "points"])
         found = stage(todo.groupBy(*group).agg(digest(0).alias("_a"), digest(1).alias("_b"), F.sum(F.size("points")).alias("_edges")).filter("_a <> _b").select(*group, "_edges"))
         crowded = found.filter(F.col("_edges") > MOST_EDGES).drop("_edges")
         last = turn == QUARTERINGS or crowded.isEmpty()
         fit = found if last else found.filter(F.col("_edges") <= MOST_EDGES)
-        own = todo.join(fit.select(*group), group, "left_semi")
+        own = todo.join(fit.select(*group), group, "left_semi").dropDuplicates([*group, "_side", "points"])
         done = own if done is None else done.unionByName(own)
         if last:
             return done
-        halves = todo.join(crowded, group, "left_semi").withColumnsRenamed({"_tx": "_px", "_ty": "_py"}).withColumn("_size", F.col("_size") / 2)
+        halves = todo.join(crowded, group, "left_semi").dropDuplicates([*group, "_side", "points"]).withColumnsRenamed({"_tx": "_px", "_ty": "_py"}).withColumn("_size", F.col("_size") / 2)
         todo = stage(tiled(halves).filter("floor(_tx / 2) = _px and floor(_ty / 2) = _py").drop("_px", "_py"))
     raise AssertionError
 

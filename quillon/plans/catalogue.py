@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import text as X
-from ..operators import blobs, diff, history, layout, render, summary
+from ..operators import blobs, diff, history, layout, regions, render, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -335,8 +335,20 @@ u AS (SELECT cell, layer, x, y, bool_or(side = 'a') AS a, bool_or(side = 'b') AS
 SELECT cell, layer, CAST(count(*) FILTER (b) AS DOUBLE) AS added_area, CAST(count(*) FILTER (a) AS DOUBLE) AS removed_area, CAST(min(x) AS DOUBLE) AS min_x, CAST(min(y) AS DOUBLE) AS min_y,
   CAST(max(x) + 1 AS DOUBLE) AS max_x, CAST(max(y) + 1 AS DOUBLE) AS max_y, count(*) < 500 AS cosmetic FROM w GROUP BY cell, layer""")
 def layer_xor(spark, d):
-    strips = layout.rect_xor(rects(spark, d).select("cell", "layer", "x1", "y1", "x2", "y2", "side"), ["cell", "layer"])
-    return layout.strip_metrics(strips, ["cell", "layer"], 500.0)
+    return region_metrics(spark, d).drop("added_polygons", "removed_polygons")
+
+
+def region_metrics(spark: SparkSession, d: str) -> DataFrame:
+    own = rings(rects(spark, d)).select("cell", "layer", "points", "side")
+    found = regions.xor(own.filter("side = 'a'"), own.filter("side = 'b'"), ["cell", "layer"], tile=512.0).withColumn("origin", F.array(F.lit("top")))
+    metrics = layout.piece_metrics(found, ["cell", "layer"], 1.0, 500.0)
+    return metrics.select("cell", "layer", "added_polygons", "removed_polygons", F.col("added_area_um2").alias("added_area"), F.col("removed_area_um2").alias("removed_area"), *G.BOX, "cosmetic")
+
+
+@query()
+def layer_regions(spark, d):
+    """Whole polygons added and removed: no SQL, as a flood fill over all layers takes too long there."""
+    return region_metrics(spark, d).select("cell", "layer", "added_polygons", "removed_polygons", "added_area", "removed_area")
 
 
 @query(f"""WITH {RECTS}, p AS (SELECT l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber AS id, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy FROM q),

@@ -38,13 +38,13 @@ FLOATS = f"{RECTS}, d AS (SELECT * REPLACE (CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS
 @query(f"""WITH {FLOATS}, v AS (SELECT *, least(800.0 / greatest(x2 - x1, 1e-9), 600.0 / greatest(y2 - y1, 1e-9)) * 0.9 AS s, l_linenumber / 2.0 - 1 AS k FROM d),
 f AS (SELECT *, 400 - (x1 + x2) / 2 * s AS px, 300 - (y1 + y2) / 2 * s AS py FROM v),
 z AS (SELECT *, CASE WHEN k > 0 THEN 100 - (100 - px) * k ELSE px END + 3 AS qx, CASE WHEN k > 0 THEN 50 - (50 - py) * k ELSE py END - 2 AS qy, CASE WHEN k > 0 THEN s * k ELSE s END AS t FROM f)
-SELECT l_orderkey, l_linenumber, round(x1 * t + qx, 3) + 0.0 AS screen_x, round(y1 * t + qy, 3) + 0.0 AS screen_y, round((10 - qx) / t, 3) + 0.0 AS world_x, round((20 - qy) / t, 3) + 0.0 AS world_y FROM z""")
+SELECT l_orderkey, l_linenumber, floor((x1 * t + qx) * 1000 + 0.5) / 1000 AS screen_x, floor((y1 * t + qy) * 1000 + 0.5) / 1000 AS screen_y, floor((10 - qx) / t * 1000 + 0.5) / 1000 AS world_x, floor((20 - qy) / t * 1000 + 0.5) / 1000 AS world_y FROM z""")
 def view_transforms(spark, d):
     at = lambda v: F.lit(float(v))
     own = boxed(spark, d).withColumn("view", G.fit(F.col("box"), at(800), at(600)))
     own = own.withColumn("view", G.zoom(F.col("view"), at(100), at(50), F.col("l_linenumber") / 2 - 1)).withColumn("view", G.pan(F.col("view"), at(3), at(-2)))
     own = own.withColumn("s", G.to_screen(F.col("view"), F.col("x1"), F.col("y1"))).withColumn("w", G.to_world(F.col("view"), at(10), at(20)))
-    return own.select("l_orderkey", "l_linenumber", *[F.round(f"{a}.{c}", 3).alias(f"{n}_{c}") for a, n in (("s", "screen"), ("w", "world")) for c in "xy"])
+    return own.select("l_orderkey", "l_linenumber", *[(F.floor(F.col(f"{a}.{c}") * 1000 + 0.5) / 1000.0).alias(f"{n}_{c}") for a, n in (("s", "screen"), ("w", "world")) for c in "xy"])
 
 
 @query(f"""WITH {FLOATS}, e AS (SELECT *, CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey % 4 ELSE 1 END AS f FROM d)
