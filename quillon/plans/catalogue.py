@@ -270,6 +270,18 @@ def blob_dedup_rename(spark, d):
     return diff.changed_files(own.filter("doc_id % 3 <> 2"), own.filter("doc_id % 3 <> 1"))
 
 
+@query(r"""WITH t AS (SELECT doc_id % 3 AS side, replace(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), chr(13) || chr(10), chr(10)) AS x FROM documents WHERE text <> ''),
+o AS (SELECT DISTINCT side, md5(x) AS sha, length(x) AS size, x FROM t WHERE side > 0),
+s AS (SELECT side, sha, size, span, sum(length(span)) AS n FROM (SELECT side, sha, size, unnest(regexp_extract_all(x, '[^\n]{0,63}\n|[^\n]{1,64}')) AS span FROM o) GROUP BY ALL),
+m AS (SELECT a.sha AS old, b.sha AS new, sum(least(a.n, b.n)) / greatest(any_value(a.size), any_value(b.size)) AS score FROM s AS a JOIN s AS b ON a.span = b.span WHERE a.side = 1 AND b.side = 2 GROUP BY a.sha, b.sha)
+SELECT old, new, floor(score * 1000 + 0.5) / 1000 AS score FROM m WHERE score >= 0.5""")
+def blob_similarity(spark, d):
+    text = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), "\r\n", "\n")
+    own = read(spark, d, "documents").filter("text <> ''").select((F.col("doc_id") % 3).alias("side"), F.md5(text).alias("blob_sha"), F.encode(text, "US-ASCII").alias("content"))
+    of = lambda k: diff.spans(own.filter(F.col("side") == k).select("blob_sha", "content").dropDuplicates(["blob_sha"]))
+    return diff.similar_blobs(of(1), of(2), 0.5).select("old", "new", (F.floor(F.col("score") * 1000 + 0.5) / 1000.0).alias("score"))
+
+
 @query("""SELECT conv_id, turn, CAST(len(list_filter(list_distinct(n), lambda x: NOT list_contains(p, x))) AS BIGINT) AS lines_added, CAST(len(list_filter(list_distinct(p), lambda x: NOT list_contains(n, x))) AS BIGINT) AS lines_removed
 FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS n, string_split(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), chr(10)) AS p FROM conversations) WHERE p IS NOT NULL""")
 def revision_line_diff(spark, d):

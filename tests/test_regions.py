@@ -107,3 +107,23 @@ def test_equal_sides_and_empty_tables(spark):
     rows = table(spark, [(1, rect(0, 0, 5, 5)), (2, rect(0, 0, 1, 1)), (1, ring((0, 0), (1, 1)))])
     assert R.xor(rows, rows, ["g"]).count() == 0 == R.xor(rows.limit(0), rows.limit(0), ["g"], outlines=True).count()
     assert [r["area"] for r in R.xor(rows.limit(0), rows.filter("g = 2"), ["g"]).collect()] == [1.0]
+
+
+def test_layer_regions_query(spark, tmp_path):
+    from quillon.plans import catalogue
+
+    rng = np.random.default_rng(6)
+    lines = [(int(50 * o + o % 2), n, int(p), int(q), float(rng.integers(1, 51)), "A") for o in range(1, 7) for n in (1, 2) for p, q in rng.integers(1, 18, (6, 2))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    masks = {}
+    for order, number, part, supp, quantity, _ in lines:
+        x, y = part % 500, order % 400
+        own = masks.setdefault((order % 50, number), {s: np.zeros((60, 420), bool) for s in "ab"})
+        own["a" if order % 2 == 0 else "b"][x : x + 1 + supp % 20, y : y + 1 + int(quantity) % 15] = True
+    want = {}
+    for key, m in masks.items():
+        added, removed = m["b"] & ~m["a"], m["a"] & ~m["b"]
+        if added.any() or removed.any():
+            want[key] = (len(parts_of(added)), len(parts_of(removed)), float(added.sum()), float(removed.sum()))
+    got = {(r["cell"], r["layer"]): (r["added_polygons"], r["removed_polygons"], r["added_area"], r["removed_area"]) for r in catalogue.queries()["layer_regions"](spark, str(tmp_path)).collect()}
+    assert got == want
