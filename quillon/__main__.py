@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import counts_phrase
@@ -46,6 +47,25 @@ def show(df, column: str) -> None:
         print(row[column])
 
 
+def show_payload(schema: str, one: dict[str, DataFrame], many: dict[str, DataFrame]) -> None:
+    """One JSON document: ``one`` gives single values or null, ``many`` lists, written row by row."""
+    print(json.dumps({"schema": schema})[:-1], end="")
+    for name, rows in one.items():
+        first = rows.first()
+        print(f', "{name}": {"null" if first is None else first["json"]}', end="")
+    for name, rows in many.items():
+        print(f', "{name}": [', end="")
+        for k, row in enumerate(rows.toLocalIterator()):
+            print("," * bool(k) + "\n" + row["json"], end="")
+        print("]", end="")
+    print("}")
+
+
+def messages(warnings: DataFrame) -> DataFrame:
+    text = F.to_json(F.array("message"))
+    return warnings.orderBy("message").select(F.substring(text, F.lit(2), F.length(text) - 2).alias("json"))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("quillon").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -73,16 +93,16 @@ def main(argv: list[str] | None = None) -> int:
         if args.path_of:
             tables["commits"] = history.touches(tables["changed_files"], tables["tree_entries"], tables["commits"], args.path_of).select(*tables["commits"].columns)
         tables["commits"], _ = history.narrow(tables["commits"], tables["changed_files"], args.author, args.since)
-        commits, files, _ = W.log(spark, tables, options)
+        commits, files, warnings = W.log(spark, tables, options)
         if args.format == "json":
             per = files.groupBy("oid").agg(F.collect_list(F.struct(*[c for c in files.columns if c != "oid"])).alias("files"))
-            show(render.envelope(commits.join(per, "oid", "left").orderBy(F.desc("ts"), "oid"), "log/v1"), "json")
+            show_payload("log/v1", {}, {"commits": render.envelope(commits.join(per, "oid", "left").orderBy(F.desc("ts"), "oid"), None), "warnings": messages(warnings)})
         else:
             show(render.log_text(commits, files.select("oid", "path", counts_phrase(F.col("counts"), F.col("category")).alias("phrase"))).orderBy(F.desc("ts"), "oid"), "text")
         return 0
-    branch, files, _ = W.status(spark, args.repo, options)
+    branch, files, warnings = W.status(spark, args.repo, options)
     if args.format == "json":
-        show(render.envelope(files, "status/v1"), "json")
+        show_payload("status/v1", {"branch": render.envelope(branch, None)}, {"files": render.envelope(files, None), "warnings": messages(warnings)})
     else:
         show(render.status_header(branch), "text")
         show(render.status_lines(files, args.include_unknown).orderBy("section", "path"), "text")

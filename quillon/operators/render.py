@@ -141,8 +141,8 @@ def change_list(entries: DataFrame) -> DataFrame:
 
 
 # --- sinks -----------------------------------------------------------------------
-def envelope(rows: DataFrame, schema: str, pretty: bool = False) -> DataFrame:
-    """Each row as JSON with its schema tag first; empty lists, empty maps and nulls left out."""
+def envelope(rows: DataFrame, schema: str | None, pretty: bool = False) -> DataFrame:
+    """Each row as JSON with its schema tag, if any, first; empty lists, empty maps and nulls left out."""
     fields = []
     for f in rows.schema.fields:
         col = F.col(f.name)
@@ -150,7 +150,7 @@ def envelope(rows: DataFrame, schema: str, pretty: bool = False) -> DataFrame:
             col = F.when(F.size(col) > 0, col)
         fields.append(col.alias(f.name))
     options = {"pretty": "true"} if pretty else {}
-    return rows.select(F.to_json(F.struct(F.lit(schema).alias("schema"), *fields), options).alias("json"))
+    return rows.select(F.to_json(F.struct(*([] if schema is None else [F.lit(schema).alias("schema")]), *fields), options).alias("json"))
 
 
 def diff_text(entries: DataFrame, keys: list[str], path: str = "path") -> DataFrame:

@@ -36,6 +36,23 @@ class Options:
     patterns: list[str] = field(default_factory=list)
     limit: int | None = 20
     limit_after_filter: bool = False
+    drivers: list[Driver] = field(default_factory=list)
+
+
+@dataclass
+class Driver:
+    """A format driver: what decides that it takes a file, how two sides become entries, and a hook before the diff.
+
+    ``entries`` takes (sides, keys, options) and gives (entries, warnings); ``normalize`` changes a
+    content column before it is decoded and is the identity unless given.  With ``checked`` a side
+    that is not of the driver's format leaves the comparison with a warning.
+    """
+
+    name: str
+    accepts: Callable[[Column], Column]
+    entries: Callable[[DataFrame, list[str], Options], tuple[DataFrame, DataFrame | None]]
+    normalize: Callable[[Column], Column] = lambda content: content
+    checked: bool = False
 
 
 def schematic_entries(sides: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,7 +135,7 @@ def layout_entries(sides: DataFrame, keys: list[str], threshold: float = 0.01) -
 
 def two_sides(paired: DataFrame, keys: list[str], driver: str, missing_side: str) -> tuple[DataFrame, DataFrame]:
     """(sides, warnings) of paired blobs of one driver; invalid sides leave the comparison with a warning."""
-    own = paired.filter(P.driver_of(F.col("path")) == driver)
+    own = paired
     wanted = "xschem" if driver == "schematic" else "gds"
     both = own.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("content")) for s, c in (("a", "before"), ("b", "after"))])).alias("s")).select(*keys, "s.*")
     warn = F.when(F.col("content").isNotNull(), P.side_warning(F.col("content"), F.col("path"), F.upper("side"), wanted) if driver == "schematic" else F.when(P.detect_format(F.col("content")) != "gds", P.layout_warning(F.lit("not_gdsii"), F.col("path"), F.upper("side"), F.lit(""))))
@@ -130,23 +147,48 @@ def two_sides(paired: DataFrame, keys: list[str], driver: str, missing_side: str
     return sides, bad
 
 
+def built_in() -> list[Driver]:
+    """The drivers that every comparison has, behind those of the options."""
+    def layouts(sides: DataFrame, keys: list[str], options: Options) -> tuple[DataFrame, DataFrame | None]:
+        if sides.isEmpty():
+            return sides.sparkSession.createDataFrame([], schematic_entries(sides, keys).select(*keys, *ENTRY).schema), None
+        return layout_entries(sides, keys, options.threshold_um2)
+
+    of = lambda name: lambda path: F.coalesce(P.driver_of(path) == name, F.lit(False))
+    return [Driver("schematic", of("schematic"), lambda sides, keys, options: (schematic_entries(sides, keys), None), checked=True), Driver("layout", of("layout"), layouts, checked=True)]
+
+
+def format_of(path: Column, options: Options) -> Column:
+    """Name of the driver that takes a path, null if none does."""
+    found = F.lit(None).cast("string")
+    for driver in reversed([*options.drivers, *built_in()]):
+        found = F.when(driver.accepts(path), driver.name).otherwise(found)
+    return found
+
+
 def diff_files(paired: DataFrame, keys: list[str], options: Options) -> tuple[DataFrame, DataFrame]:
     """(entries, warnings) of paired files of all drivers; ``paired`` has keys (path among them), before and after."""
-    entries, warnings = None, None
-    for driver in ("schematic", "layout"):
-        sides, bad = two_sides(paired, keys, driver, options.missing_side)
-        if driver == "schematic":
-            own = schematic_entries(sides, keys)
+    return run_drivers(paired, keys, [*options.drivers, *built_in()], options)
+
+
+def run_drivers(paired: DataFrame, keys: list[str], drivers: list[Driver], options: Options | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, warnings) of paired files by given drivers; the first that accepts a path takes it."""
+    options = options or Options()
+    found, taken = None, F.lit(False)
+    notes = paired.select(*keys, F.lit("").alias("message")).limit(0)
+    for driver in drivers:
+        own = paired.filter(driver.accepts(F.col("path")) & ~taken).withColumns({c: driver.normalize(F.col(c)) for c in ("before", "after")})
+        taken = taken | driver.accepts(F.col("path"))
+        if driver.checked:
+            both, bad = two_sides(own, keys, driver.name, options.missing_side)
+            notes = notes.unionByName(bad)
         else:
-            if sides.isEmpty():
-                warnings = warnings.unionByName(bad)
-                continue
-            own, more = layout_entries(sides, keys, options.threshold_um2)
-            bad = bad.unionByName(more)
-        own = own.select(*keys, *ENTRY)
-        entries = own if entries is None else entries.unionByName(own)
-        warnings = bad if warnings is None else warnings.unionByName(bad)
-    return entries, warnings
+            both = own.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("content")) for s, c in (("a", "before"), ("b", "after"))])).alias("s")).select(*keys, "s.*").filter("content is not null")
+        rows, warnings = driver.entries(both, keys, options)
+        rows = rows.select(*keys, *ENTRY) if set(ENTRY) <= set(rows.columns) else rows
+        found = rows if found is None else found.unionByName(rows)
+        notes = notes if warnings is None else notes.unionByName(warnings.select(*keys, "message"))
+    return found, notes
 
 
 def diff(spark: SparkSession, repo: str, a: str, b: str, path: str, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +231,7 @@ def status(spark: SparkSession, repo: str, options: Options | None = None) -> tu
     disk = repository.working_files(spark, root).filter(P.within_cap(F.col("size"), options.size_cap)).select("path", F.col("content").alias("after"))
     paired = stage(changes.withColumn("_from", F.coalesce("old_path", "path")).join(body, "_from", "left").join(disk, "path", "left"))
     entries, warnings = diff_files(paired, ["path"], options)
-    files = changes.select("path", P.driver_of(F.col("path")).alias("format"))
+    files = changes.select("path", format_of(F.col("path"), options).alias("format"))
     return branch, summary.file_summaries(files, stage(entries), ["path"], options.level).orderBy("path"), warnings
 
 
@@ -219,34 +261,6 @@ def diff_payload(entries: DataFrame, warnings: DataFrame, path: str) -> DataFram
     return own.select(F.to_json(F.struct("file", "warnings", F.coalesce("components", F.from_json(F.lit("[]"), report.schema["components"].dataType)).alias("components"), F.coalesce("nets_added", none).alias("nets_added"), F.coalesce("nets_removed", none).alias("nets_removed"), F.coalesce("is_move_all", F.lit(False)).alias("is_move_all")), {"pretty": "true"}).alias("json"))
 
 
-@dataclass
-class Driver:
-    """A format driver: what decides that it takes a file, how two sides become entries, and a hook before the diff.
-
-    ``entries`` takes (sides, keys, options) and gives (entries, warnings); ``normalize`` changes a
-    content column before it is decoded and is the identity unless given.
-    """
-
-    name: str
-    accepts: Callable[[Column], Column]
-    entries: Callable[[DataFrame, list[str], Options], tuple[DataFrame, DataFrame]]
-    normalize: Callable[[Column], Column] = lambda content: content
-
-
-def run_drivers(paired: DataFrame, keys: list[str], drivers: list[Driver], options: Options | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entries, warnings) of paired files by given drivers; the first that accepts a path takes it."""
-    options = options or Options()
-    found, notes, taken = None, None, F.lit(False)
-    for driver in drivers:
-        own = paired.filter(driver.accepts(F.col("path")) & ~taken)
-        taken = taken | driver.accepts(F.col("path"))
-        both = own.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), driver.normalize(F.col(c)).alias("content")) for s, c in (("a", "before"), ("b", "after"))])).alias("s")).select(*keys, "s.*").filter("content is not null")
-        rows, warnings = driver.entries(both, keys, options)
-        found = rows if found is None else found.unionByName(rows)
-        notes = warnings if notes is None else notes.unionByName(warnings)
-    return found, notes
-
-
 def diff_views(report: DataFrame, scene_a: DataFrame, scene_b: DataFrame, keys: list[str], tab: str) -> DataFrame:
     """Drawing elements of a view: before shows side A, after side B, diff side B with ghosts of side A below it.
 

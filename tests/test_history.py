@@ -189,4 +189,10 @@ def test_command_line(spark, repo, capsys):
     assert main(["diff", "HEAD~1", "HEAD", "amp.sch", "--repo", repo, "--format", "json"]) == 0
     assert [c["kind"] for c in json.loads(capsys.readouterr().out)["components"]] == ["modified"]
     assert main(["log", "-n", "2", "--repo", repo]) == 0 and capsys.readouterr().out.count("* ") == 2
+    assert main(["log", "-n", "2", "--repo", repo, "--format", "json"]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["schema"] == "log/v1" and len(report["commits"]) == 2 and isinstance(report["warnings"], list)
+    main(["status", "--repo", repo, "--format", "json"])
+    report = json.loads(capsys.readouterr().out)
+    assert report["schema"] == "status/v1" and report["branch"]["name"] and isinstance(report["files"], list) and isinstance(report["warnings"], list)
     assert main(["doctor", "--repo", repo]) == 0 and "device_library" in capsys.readouterr().out
