@@ -399,11 +399,14 @@ def wire_ghosts(spark, d):
     return layout.wire_ghosts(own.filter("l_orderkey % 3 <> 0"), b, ["layer"]).select("l_orderkey", "l_linenumber")
 
 
-@query(f"WITH {RECTS}, w AS ({WIRES}), n AS (SELECT DISTINCT layer, label FROM w WHERE side = 'b' AND l_orderkey % 97 = 0) SELECT l_orderkey, l_linenumber, w.label AS label FROM w JOIN n ON w.layer = n.layer AND w.label = n.label WHERE side = 'a'")
+@query(f"""WITH {RECTS}, w AS ({WIRES}), n AS (SELECT layer, x1, label FROM w GROUP BY ALL HAVING bool_and(side = 'a'))
+SELECT l_orderkey, l_linenumber, label FROM w JOIN n USING (layer, x1, label) WHERE side = 'a'""")
 def net_wires(spark, d):
-    own = wires(spark, d)
-    nets = own.filter("side = 'b' and l_orderkey % 97 = 0").select("layer", F.col("label").alias("net")).distinct()
-    return layout.net_wires(own.filter("side = 'a'"), nets, ["layer"]).select("l_orderkey", "l_linenumber", "label")
+    """Wires of side A on the nets that side B no longer has; a file is a layer and a column."""
+    own = wires(spark, d).select("layer", "x1", "label", "side", "l_orderkey", "l_linenumber")
+    nets = lambda side: own.filter(F.col("side") == side).select("layer", "x1", F.col("label").alias("net"))
+    gone = diff.set_diff(nets("a"), nets("b")).filter("side = 'removed'").drop("side")
+    return layout.net_wires(own.filter("side = 'a'"), gone, ["layer", "x1"]).select("l_orderkey", "l_linenumber", "label")
 
 
 PALETTE_SQL = "[" + ", ".join(f"'rgba({r},{g},{b},1.000)'" for r, g, b in render.PALETTE) + "]"

@@ -161,15 +161,17 @@ def cache_evictions(spark, d):
     return evictions(own, 40, ["user_id"]).select("user_id", F.col("key").alias("event_id"))
 
 
-@query("""WITH s AS (SELECT l_partkey, max(l_shipdate) AS ts FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), t AS (SELECT l_partkey, max(l_shipdate) AS ts FROM lineitem WHERE l_linenumber = 2 GROUP BY 1)
-SELECT s.l_partkey AS l_partkey, coalesce(s.ts > t.ts, TRUE) AS is_stale FROM s LEFT JOIN t USING (l_partkey)""")
+@query("""WITH m AS (SELECT l_partkey, l_linenumber AS step, max(l_shipdate) AS ts FROM lineitem GROUP BY ALL)
+SELECT s.l_partkey AS l_partkey, s.step AS step, coalesce(s.ts > t.ts, TRUE) AS is_stale FROM m s LEFT JOIN m t ON s.l_partkey = t.l_partkey AND t.step = s.step + 1""")
 def stale_files(spark, d):
+    """Each step's file of a part is the source of the next step's."""
     from ..operators import history
 
-    line = read(spark, d, "lineitem").filter("l_linenumber <= 2")
-    touched = line.select(F.concat_ws("/", "l_linenumber", "l_partkey").alias("path"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("oid"))
-    pairs = line.filter("l_linenumber = 1").select("l_partkey").distinct().select("l_partkey", F.concat(F.lit("1/"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("2/"), F.col("l_partkey").cast("string")).alias("derived"))
-    return history.stale(touched, pairs).select("l_partkey", "is_stale")
+    line = read(spark, d, "lineitem").withColumnRenamed("l_linenumber", "step")
+    path = lambda step: F.concat_ws("/", step.cast("string"), F.col("l_partkey").cast("string"))
+    touched = line.select(path(F.col("step")).alias("path"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("oid"))
+    pairs = line.select("l_partkey", "step").distinct().select("l_partkey", "step", path(F.col("step")).alias("source"), path(F.col("step") + 1).alias("derived"))
+    return history.stale(touched, pairs).select("l_partkey", "step", "is_stale")
 
 
 @query("""WITH a AS (SELECT user_id, epoch(ts) AS t, value AS v FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id, epoch(ts) AS t, max(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY ALL),

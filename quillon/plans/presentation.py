@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import text as X
-from ..operators import blobs, history, render
+from ..operators import blobs, calibration, diff, history, render
 from . import notes, workflows
 from .catalogue import CHANGES, DIFF, RECTS, changes, commits, corners, entries, files, order_refs, read, rects, rings
 
@@ -224,12 +224,16 @@ def canonical_texts(spark, d):
     return plain.join(bare, "p_partkey").join(part.select("p_partkey", notes.cache_key("p_name", "p_brand").alias("key")), "p_partkey")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 'mixed' WHEN p_partkey % 3 = 0 THEN 'functional' ELSE 'cosmetic' END AS change_class FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0""")
+@query("""WITH c AS (SELECT p_partkey, floor(p_retailprice) % 2 = 1 AS moved, p_size % 3 = 0 AS named FROM part)
+SELECT p_partkey, CASE WHEN moved AND named THEN 'mixed' WHEN named THEN 'functional' ELSE 'cosmetic' END AS change_class FROM c WHERE moved OR named""")
 def text_changes(spark, d):
+    """Every part is a file of two lines; odd prices move its component, every third size renames its text."""
     part = read(spark, d, "part")
-    moved = lambda s, x: part.filter("p_partkey % 2 = 0").select("p_partkey", F.lit(s).alias("side"), F.lit(f"C {{res.sym}} {x} 20 0 0 {{name=R1}}").alias("line"))
-    named = lambda s, x: part.filter("p_partkey % 3 = 0").select("p_partkey", F.lit(s).alias("side"), F.lit(f"T {{{x}}}").alias("line"))
-    return notes.text_change_class(moved("a", 10).unionByName(moved("b", 30)).unionByName(named("a", "old")).unionByName(named("b", "new")), ["p_partkey"])
+    x = F.expr("p_size + if(floor(p_retailprice) % 2 = 1, 5, 0)")
+    name = F.expr("concat(p_name, if(p_size % 3 = 0, '!', ''))")
+    lines = lambda x, name: part.select("p_partkey", F.explode(F.array(F.format_string("C {%s} %d 20 0 0 {name=R1}", "p_type", x.cast("int")), F.format_string("T {%s} 0 0 0 0 0.4 0.4 {}", name))).alias("line"))
+    found = diff.set_diff(lines(F.col("p_size"), F.col("p_name")), lines(x, name))
+    return notes.text_change_class(found.withColumn("side", F.expr("if(side = 'added', 'b', 'a')")), ["p_partkey"])
 
 
 @query(f"""WITH {RECTS} SELECT DISTINCT CAST(cell AS VARCHAR) AS old, 'x' || cell AS new FROM q""")
@@ -239,9 +243,37 @@ def renamed_cells(spark, d):
     return old.join(notes.cell_fingerprints(own.withColumn("cell", F.concat(F.lit("x"), "cell")), []).withColumnRenamed("cell", "new"), "fingerprint").select("old", "new")
 
 
-@query("""SELECT n_nationkey, 2.0::DOUBLE AS scale, 3.0::DOUBLE AS "offset" FROM nation""")
+ENDS_SQL = f"""{FLOATS}, w AS (SELECT DISTINCT cell, layer, unnest([x1, x2]) AS x, unnest([y1, y2]) AS y, 2 + layer / 8.0 AS z FROM d),
+drawn AS (SELECT DISTINCT cell, layer, floor((x + 7) * z * 100 + 0.5) / 100 AS x, floor((y + 3) * z * 100 + 0.5) / 100 + CASE WHEN x % 29 = 0 THEN 0.5 ELSE 0 END AS y FROM w),
+p AS (SELECT cell, layer, x + 7 AS sx, y + 3 AS sy, (x + 7) * (z + 0.0005) AS px, (y + 3) * (z + 0.0005) AS py FROM w),
+j AS (SELECT p.cell, p.layer, sx, sy, px, py, drawn.x AS x, drawn.y AS y, (drawn.x - px) * (drawn.x - px) + (drawn.y - py) * (drawn.y - py) AS d2 FROM p JOIN drawn ON p.cell = drawn.cell AND p.layer = drawn.layer AND drawn.x BETWEEN px - 8 AND px + 8 AND drawn.y BETWEEN py - 8 AND py + 8),
+m AS (SELECT cell, layer, sx, sy, min({{'d2': d2, 'x': x, 'y': y}}) AS b FROM j WHERE d2 < 64 GROUP BY cell, layer, sx, sy)"""
+
+
+def ends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ends of all wires, their drawing with some ends half a pixel off, and a first zoom that is slightly wrong."""
+    own = rects(spark, d).select("cell", "layer", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e")).select("cell", "layer", "e.*").distinct()
+    z = 2 + F.col("layer") / 8.0
+    shown = lambda c, origin: F.floor((F.col(c) + origin) * z * 100 + 0.5) / 100
+    drawn = own.select("cell", "layer", shown("x", 7).alias("x"), (shown("y", 3) + F.expr("if(x % 29 = 0, 0.5D, 0D)")).alias("y"))
+    start = own.select("cell", "layer").distinct().select("cell", "layer", (z + 0.0005).alias("zoom"), F.lit(7.0).alias("x_origin"), F.lit(3.0).alias("y_origin"))
+    return own, drawn, start
+
+
+@query(f"""WITH {ENDS_SQL} SELECT cell, layer, sx, sy, b.x AS x, b.y AS y FROM m""")
+def endpoint_matches(spark, d):
+    own, drawn, start = ends(spark, d)
+    at = own.join(start, ["cell", "layer"])
+    at = at.select("cell", "layer", (F.col("x") + F.col("x_origin")).alias("sx"), (F.col("y") + F.col("y_origin")).alias("sy"), ((F.col("x") + F.col("x_origin")) * F.col("zoom")).alias("px"), ((F.col("y") + F.col("y_origin")) * F.col("zoom")).alias("py"))
+    return at.join(calibration.nearest(at, drawn, ["cell", "layer"]), ["cell", "layer", "px", "py"]).select("cell", "layer", "sx", "sy", "x", "y")
+
+
+@query(f"""WITH {ENDS_SQL}, e AS (SELECT cell, layer, sx AS s, b.x AS p FROM m UNION ALL SELECT cell, layer, sy, b.y FROM m),
+f AS (SELECT cell, layer, sum(s * p) / sum(s * s) AS z FROM e GROUP BY ALL),
+g AS (SELECT cell, layer, z, sqrt(avg((p - z * s) * (p - z * s))) AS sd FROM e JOIN f USING (cell, layer) GROUP BY ALL),
+k AS (SELECT cell, layer, s, p FROM e JOIN g USING (cell, layer) WHERE abs(p - z * s) <= 2 * sd + 1e-9)
+SELECT cell, layer, floor(sum(s * p) / sum(s * s) * 1000000 + 0.5) / 1000000 AS zoom, CAST(count(*) // 2 AS INTEGER) AS pairs FROM k GROUP BY cell, layer""")
 def calibrations(spark, d):
-    n = read(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("x"))
-    off = F.when(F.col("x") == 10, 500.0).otherwise(0.0)  # one that goes
-    pairs = n.select("n_nationkey", F.col("x").cast("double").alias("x"), (F.col("x") * 2.0 + 3.0 + off).alias("sx"))
-    return notes.calibrate(pairs, ["n_nationkey"]).select("n_nationkey", F.round("scale", 6).alias("scale"), F.round("offset", 6).alias("offset"))
+    own, drawn, start = ends(spark, d)
+    found = calibration.fit_zoom(own, drawn, start, ["cell", "layer"], rounds=1)
+    return found.select("cell", "layer", (F.floor(F.col("zoom") * 1_000_000 + 0.5) / 1_000_000).alias("zoom"), "pairs")
