@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import counts_phrase
+from .functions.text import counts_phrase, short_id, timestamp_text
 from .operators import diff as D
 from .operators import history, render
 from .plans import workflows as W
@@ -37,6 +37,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--author")
             p.add_argument("--since", type=int, help="seconds since the epoch")
             p.add_argument("--path-of", help="only commits that touch this file")
+            p.add_argument("--type", action="append", default=[], help="only commits that change files of this format")
+            p.add_argument("--element", help="only commits that change this component, net or cell")
+            p.add_argument("--stat", action="store_true", help="counts of elements by format")
+            p.add_argument("--metric", help="a measured value of the file of --path-of over time")
         if name == "status":
             p.add_argument("--include-unknown", action="store_true")
     return top
@@ -68,6 +72,16 @@ def messages(warnings: DataFrame) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "log" and args.metric and not args.path_of:
+        parser().error("--metric needs --path-of")
+    try:
+        return run(args)
+    except (ValueError, repository.RepositoryNotFound) as problem:
+        print(f"[x] {problem}", file=sys.stderr)
+        return 2
+
+
+def run(args: argparse.Namespace) -> int:
     spark = SparkSession.builder.appName("quillon").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     options = W.Options(level=args.level)
     if args.command in ("doctor", "open"):
@@ -88,11 +102,28 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "log":
         options.limit = args.limit
         start = args.start or "HEAD"
-        limit = None if args.author or args.since or args.path_of else args.limit
+        limit = None if args.author or args.since or args.path_of or args.type or args.element else args.limit
+        options.kinds, options.element = tuple(args.type), args.element
         tables = repository.snapshot(spark, args.repo, options.size_cap, start, limit)
+        if args.metric:
+            rows = W.metric_history(tables, args.path_of, args.metric, options.size_cap)
+            if args.format == "json":
+                show_payload("metric/v1", {}, {"values": rows.select(F.to_json(F.struct("oid", "ts", "value")).alias("json"))})
+            else:
+                show(rows.select(F.concat_ws("  ", short_id(F.col("oid")), timestamp_text(F.col("ts")), F.col("value").cast("string")).alias("t")), "t")
+            return 0
         if args.path_of:
             tables["commits"] = history.touches(tables["changed_files"], tables["tree_entries"], tables["commits"], args.path_of).select(*tables["commits"].columns)
         tables["commits"], _ = history.narrow(tables["commits"], tables["changed_files"], args.author, args.since)
+        if args.stat:
+            commits, files, entries, warnings = W.log_entries(tables, options)
+            stats = history.stat(entries, ["oid"])
+            if args.format == "json":
+                per = stats.groupBy("oid").agg(F.collect_list(F.struct("format", "added", "removed", "modified")).alias("stat"))
+                show_payload("log_stat/v1", {}, {"commits": render.envelope(commits.join(per, "oid", "left").orderBy(F.desc("ts"), "oid"), None), "warnings": messages(warnings)})
+            else:
+                show(render.stat_text(commits, files, stats).orderBy(F.desc("ts"), "oid"), "text")
+            return 0
         commits, files, warnings = W.log(spark, tables, options)
         if args.format == "json":
             per = files.groupBy("oid").agg(F.collect_list(F.struct(*[c for c in files.columns if c != "oid"])).alias("files"))

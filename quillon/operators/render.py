@@ -176,6 +176,16 @@ def log_text(commits: DataFrame, files: DataFrame) -> DataFrame:
     return commits.join(per, "oid", "left").select("oid", "ts", F.concat_ws("\n", head, body).alias("text"))
 
 
+def stat_text(commits: DataFrame, files: DataFrame, stats: DataFrame) -> DataFrame:
+    """(oid, ts, text): id, author and files of each commit that has files, then its counts by format."""
+    paths = files.groupBy("oid").agg(F.array_join(F.array_sort(F.collect_set("path")), ", ").alias("_paths"))
+    line = F.format_string("  %s: +%d -%d ~%d", F.coalesce("format", F.lit("?")), "added", "removed", "modified")
+    counts = stats.groupBy("oid").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    own = commits.join(paths, "oid").join(counts, "oid", "left")
+    head = F.concat_ws("  ", X.short_id(F.col("oid")), "author", X.timestamp_text(F.col("ts")), "_paths")
+    return own.select("oid", "ts", F.concat_ws("\n", head, "_lines").alias("text"))
+
+
 def status_header(branch: DataFrame) -> DataFrame:
     vs = F.when(F.col("upstream").isNotNull(), F.concat(F.lit(" — vs "), F.col("upstream"), F.lit(": "), X.upstream_phrase(F.col("ahead"), F.col("behind")))).otherwise("")
     return branch.select(F.concat(F.lit("En rama "), F.col("name"), F.lit(" (HEAD "), F.col("head_short"), F.lit(")"), vs).alias("text"))

@@ -27,7 +27,11 @@ ENTRY = ("element", "kind", "cosmetic", "position_changed", "before", "after", "
 
 @dataclass
 class Options:
-    """``missing_side``: all_changes takes an absent side as empty; warn gives a warning and no changes."""
+    """``missing_side``: all_changes takes an absent side as empty; warn gives a warning and no changes.
+
+    ``kinds`` (driver names) and ``element`` (a component, net or cell) keep the commits of a log that change such
+    files or that element; the limit counts what they keep.
+    """
 
     threshold_um2: float = 0.01
     missing_side: str = "all_changes"
@@ -36,6 +40,8 @@ class Options:
     patterns: list[str] = field(default_factory=list)
     limit: int | None = 20
     limit_after_filter: bool = False
+    kinds: tuple[str, ...] = ()
+    element: str | None = None
     drivers: list[Driver] = field(default_factory=list)
 
 
@@ -211,12 +217,49 @@ def diff(spark: SparkSession, repo: str, a: str, b: str, path: str, options: Opt
 def log(spark: SparkSession, tables: dict[str, DataFrame], options: Options | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(commits, file summaries, warnings) of a history snapshot; unchanged files are left out."""
     options = options or Options()
-    commits, files = history.log(tables["commits"], tables["changed_files"], tables["refs"], options.patterns, options.limit, options.limit_after_filter)
+    commits, files, entries, warnings = log_entries(tables, options)
+    own = summary.file_summaries(files.select("oid", "path", "format"), entries, ["oid", "path"], options.level)
+    return commits, own.filter("category <> 'unchanged'"), warnings
+
+
+def log_entries(tables: dict[str, DataFrame], options: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(commits, files, entries, warnings) of a history snapshot."""
     keys = ["oid", "path"]
-    paired = stage(B.pair(files.select("parent", "oid", "path", "status", "old_path"), tables["tree_entries"], tables["blobs"], options.size_cap))
+    narrowed = bool(options.kinds) or options.element is not None
+    commits, files = history.log(tables["commits"], tables["changed_files"], tables["refs"], options.patterns, None if narrowed else options.limit, options.limit_after_filter)
+    if options.kinds:
+        commits, files = history.narrow(commits, files, kinds=options.kinds)
+        if options.element is None:
+            commits, files = first_of(commits, files, options.limit)
+    paired = stage(B.pair(files.select("parent", *keys, "status", "old_path"), tables["tree_entries"], tables["blobs"], options.size_cap))
     entries, warnings = diff_files(paired, keys, options)
-    own = summary.file_summaries(files.select(*keys, "format"), stage(entries), keys, options.level)
-    return commits, own.filter("category <> 'unchanged'"), warnings
+    entries = stage(entries)
+    if options.element is not None:
+        commits, files = history.narrow(commits, files, entries=entries, element=options.element)
+        commits, files = first_of(commits, files, options.limit)
+        entries = entries.join(files.select(*keys), keys, "left_semi")
+    return commits, files, entries, warnings
+
+
+def first_of(commits: DataFrame, files: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """The newest commits that narrowing kept, and their files."""
+    commits = stage(history.newest(commits, limit))
+    return commits, files.join(commits.select("oid"), "oid", "left_semi")
+
+
+def metric_history(tables: dict[str, DataFrame], path: str, metric: str, size_cap: int = P.SIZE_CAP) -> DataFrame:
+    """(oid, ts, path, value) of a measured value at each commit that touches a log file, newest first; one row for each line that gives it, none for a file that is not UTF-8."""
+    own = history.touches(tables["changed_files"], tables["tree_entries"], tables["commits"], path).select("oid", "ts")
+    at = tables["tree_entries"].filter((F.col("path") == path) & P.within_cap(F.col("size"), size_cap)).join(own, "oid")
+    texts = at.join(tables["blobs"], "blob_sha").select("oid", "ts", "path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    return measured(texts, ["oid", "ts", "path"], metric).orderBy(F.desc("ts"), "oid", "value")
+
+
+def measured(texts: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """(keys, value) of one measured value of texts, whatever the case of its name."""
+    from .notes import measurements
+
+    return measurements(texts, keys).filter(F.col("name") == metric.lower()).select(*keys, "value")
 
 
 def status(spark: SparkSession, repo: str, options: Options | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -21,6 +21,7 @@ from ..session import ship_package
 
 COMMITS = "oid string, short_id string, message string, author string, ts long, parents array<string>"
 SEPARATOR = "\x1f"
+FIELDS = SEPARATOR.join(("%H", "%P", "%an", "%at", "%B"))
 
 
 class RepositoryNotFound(FileNotFoundError):
@@ -41,20 +42,39 @@ def discover(path: str) -> str:
     raise RepositoryNotFound(path)
 
 
-def commits(spark: SparkSession, repo: str, start: str = "HEAD", limit: int | None = None) -> DataFrame:
-    """The commits reachable from a start (``--all`` for all references), newest first by time; the newest ``limit`` of them."""
-    fields = SEPARATOR.join(("%H", "%P", "%an", "%at", "%B"))
-    try:
-        raw = git(repo, "log", "-z", f"--format={fields}", "--date-order", *([f"-n{limit}"] if limit is not None else []), start, "--")
-    except subprocess.CalledProcessError:
-        raw = ""
+def known_start(repo: str, start: str) -> bool:
+    """Whether a walk can begin: false for the HEAD of a repository without commits; any other unknown name is an error."""
+    if start == "--all" or resolve(repo, start) is not None:
+        return True
+    if start == "HEAD":
+        return False
+    raise ValueError(f"commit not found: {start}")
+
+
+def commit_ids(repo: str, start: str, limit: int | None) -> list[str]:
+    """Ids of the commits reachable from a start, newest first by time."""
+    if not known_start(repo, start):
+        return []
+    return git(repo, "rev-list", "--date-order", *([f"-n{limit}"] if limit is not None else []), start, "--").split()
+
+
+def commit_rows(listed: str) -> list[tuple]:
+    """Rows of the commits that git listed by ``FIELDS``."""
     rows = []
-    for entry in raw.split("\0"):
-        if entry.count(SEPARATOR) < 4:
-            continue
-        oid, parents, author, ts, message = entry.split(SEPARATOR, 4)
-        rows.append((oid, oid[:7], message.strip(), author, int(ts), parents.split()))
-    return spark.createDataFrame(rows, COMMITS)
+    for entry in listed.split("\0"):
+        if entry.count(SEPARATOR) >= 4:
+            oid, parents, author, ts, message = entry.split(SEPARATOR, 4)
+            rows.append((oid, oid[:7], message.strip(), author, int(ts), parents.split()))
+    return rows
+
+
+def commits(spark: SparkSession, repo: str, start: str = "HEAD", limit: int | None = None) -> DataFrame:
+    """The commits reachable from a start (``--all`` for all references), newest first by time; the newest ``limit`` of them.
+
+    None while HEAD has no commit; an unknown start is an error.
+    """
+    raw = git(repo, "log", "-z", f"--format={FIELDS}", "--date-order", *([f"-n{limit}"] if limit is not None else []), start, "--") if known_start(repo, start) else ""
+    return spark.createDataFrame(commit_rows(raw), COMMITS)
 
 
 def resolve(repo: str, name: str) -> str | None:
@@ -95,19 +115,23 @@ def branch(spark: SparkSession, repo: str) -> DataFrame:
     return spark.createDataFrame([(name, head, head[:7], upstream, ahead, behind)], "name string, head_oid string, head_short string, upstream string, ahead long, behind long")
 
 
+def tree_rows(oid: str, listed: str) -> Iterator[dict]:
+    """Rows of the files that git listed of one commit's tree."""
+    for line in listed.split("\0"):
+        if "\t" in line:
+            meta, path = line.split("\t", 1)
+            _, kind, sha, size = meta.split()
+            if kind == "blob":
+                yield {"oid": oid, "path": path, "blob_sha": sha, "size": int(size)}
+
+
 def tree_entries(commit_rows: DataFrame, repo: str) -> DataFrame:
     """(oid, path, blob_sha, size) of every file of every commit, listed by tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for oid in batch.column(0).to_pylist():
-                rows = []
-                for line in git(repo, "ls-tree", "-r", "-l", "-z", oid).split("\0"):
-                    if "\t" in line:
-                        meta, path = line.split("\t", 1)
-                        _, kind, sha, size = meta.split()
-                        if kind == "blob":
-                            rows.append({"oid": oid, "path": path, "blob_sha": sha, "size": int(size)})
+                rows = list(tree_rows(oid, git(repo, "ls-tree", "-r", "-l", "-z", oid)))
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("oid", pa.string()), ("path", pa.string()), ("blob_sha", pa.string()), ("size", pa.int64())]))
 
     return commit_rows.select("oid").mapInArrow(run, "oid string, path string, blob_sha string, size long")

@@ -196,3 +196,32 @@ def test_command_line(spark, repo, capsys):
     report = json.loads(capsys.readouterr().out)
     assert report["schema"] == "status/v1" and report["branch"]["name"] and isinstance(report["files"], list) and isinstance(report["warnings"], list)
     assert main(["doctor", "--repo", repo]) == 0 and "device_library" in capsys.readouterr().out
+
+
+def test_log_by_type_element_stat_and_metric(spark, repo, capsys):
+    import json
+
+    from quillon.__main__ import main
+
+    run = lambda *a: subprocess.run(["git", "-C", repo, *a], check=True, capture_output=True)
+    run("add", "amp.sch", "new.sch")
+    run("commit", "-q", "--date", "@2200000000 +0000", "-m", "both")
+    for vmax in ("3.28", "3.31"):
+        with open(f"{repo}/sim.log", "w") as out:
+            out.write(f"VMAX = {vmax}\nother = 1\n")
+        run("add", "sim.log")
+        run("commit", "-q", "-m", vmax)
+    tables = repository.snapshot(spark, repo, P.SIZE_CAP)
+    found = lambda **o: sorted(r["message"].splitlines()[0] for r in W.log_entries(tables, W.Options(**o))[0].collect())
+    assert found(kinds=("layout",)) == []
+    assert found(element="R1", limit=1) == ["both"]
+    _, _, entries, _ = W.log_entries(tables, W.Options(kinds=("schematic",), limit=1))
+    assert [(r["format"], r["added"], r["removed"], r["modified"]) for r in history.stat(entries, ["oid"]).collect()] == [("schematic", 1, 0, 1)]
+    assert sorted(r["value"] for r in W.metric_history(tables, "sim.log", "vmax").collect()) == [3.28, 3.31]
+    assert main(["log", "--repo", repo, "--element", "R1", "--stat", "-n", "2"]) == 0
+    shown = capsys.readouterr().out
+    assert "amp.sch, new.sch\n  schematic: +1 -0 ~1" in shown and len([x for x in shown.splitlines() if not x.startswith(" ")]) == 2
+    assert main(["log", "--repo", repo, "--path-of", "sim.log", "--metric", "Vmax", "--format", "json"]) == 0
+    assert sorted(v["value"] for v in json.loads(capsys.readouterr().out)["values"]) == [3.28, 3.31]
+    assert main(["log", "--repo", repo, "--start", "nowhere"]) == 2
+    assert "commit not found: nowhere" in capsys.readouterr().err
