@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         p.add_argument("--repo", default=".")
         p.add_argument("--format", choices=("text", "json"), default="text")
+        p.add_argument("--store", help="folder that keeps decoded layouts between calls")
         p.add_argument("--level", choices=("summary", "detail", "full"), default="summary")
         if name == "diff":
             p.add_argument("a")
@@ -83,7 +84,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def run(args: argparse.Namespace) -> int:
     spark = SparkSession.builder.appName("quillon").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    options = W.Options(level=args.level)
+    options = W.Options(level=args.level, store=args.store)
     if args.command in ("doctor", "open"):
         rows = repository.environment_report(spark, args.repo) if args.command == "doctor" else repository.list_folder(spark, args.repo)
         show(rows.select(F.concat_ws("  ", *[F.col(c).cast("string") for c in rows.columns]).alias("t")), "t")

@@ -16,6 +16,8 @@ from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import text as X
 from ..operators import blobs, diff, history, layout, regions, render, summary
+from ..session import fresh_path
+from ..sources import scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -380,6 +382,15 @@ def viewport_cull(spark, d):
     return layout.cull(own, (120, 100, 180, 140)).select("l_orderkey", "l_linenumber")
 
 
+@query(f"WITH {RECTS}, v AS (SELECT layer, l_orderkey, l_linenumber, x1, y1, x2, y2 FROM q) SELECT layer, l_orderkey, l_linenumber FROM v WHERE x1 <= 60 AND x2 >= 20 AND y1 <= 50 AND y2 >= 30")
+def stored_view(spark, d):
+    """Rectangles of a view, read from a scene that was written along a curve."""
+    own = rects(spark, d).select("layer", "l_orderkey", "l_linenumber", F.col("x1").alias("min_x"), F.col("y1").alias("min_y"), F.col("x2").alias("max_x"), F.col("y2").alias("max_y"))
+    path = fresh_path(spark, "scene")
+    scenes.write(own, path, ["layer"])
+    return scenes.view(spark, path, (20, 30, 60, 50)).select("layer", "l_orderkey", "l_linenumber")
+
+
 WIRES = "SELECT layer, x1, y1, CASE WHEN l_partkey % 2 = 0 THEN x1 ELSE x2 END AS x2, CASE WHEN l_partkey % 2 = 0 THEN y2 ELSE y1 END AS y2, l_orderkey, l_linenumber, 'net' || l_suppkey % 40 AS label, side FROM q"
 
 

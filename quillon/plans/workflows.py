@@ -19,6 +19,7 @@ from ..operators import blobs as B
 from ..operators import diff as D
 from ..operators import history, layout, regions, summary
 from ..session import ship_package, stage
+from ..sources import decoded as kept
 from ..sources import layout as stream
 from ..sources import repository, schematic
 
@@ -30,7 +31,7 @@ class Options:
     """``missing_side``: all_changes takes an absent side as empty; warn gives a warning and no changes.
 
     ``kinds`` (driver names) and ``element`` (a component, net or cell) keep the commits of a log that change such
-    files or that element; the limit counts what they keep.
+    files or that element; the limit counts what they keep.  ``store`` is a folder that keeps decoded layouts between calls.
     """
 
     threshold_um2: float = 0.01
@@ -42,6 +43,7 @@ class Options:
     limit_after_filter: bool = False
     kinds: tuple[str, ...] = ()
     element: str | None = None
+    store: str | None = None
     drivers: list[Driver] = field(default_factory=list)
 
 
@@ -99,7 +101,7 @@ def _component_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("after", F.when(F.col("after").isNotNull(), F.col("after").withField("params", F.col("_pb")))).drop("_pa", "_pb")
 
 
-def layout_entries(sides: DataFrame, keys: list[str], threshold: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def layout_entries(sides: DataFrame, keys: list[str], threshold: float = 0.01, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(entries, warnings) of layout files; ``sides`` has keys, side and content.
 
     Only cells whose geometry differs, and the cells above them, are flattened
@@ -107,7 +109,8 @@ def layout_entries(sides: DataFrame, keys: list[str], threshold: float = 0.01) -
     """
     tagged = sides.withColumn("blob_sha", F.sha2("content", 256)).withColumn("path", F.to_json(F.struct(*keys)))
     names = tagged.select("path", *keys).distinct()
-    decoded = stage(stream.decode_blobs(tagged.select("blob_sha", "content").dropDuplicates(["blob_sha"])))
+    distinct = tagged.select("blob_sha", "content").dropDuplicates(["blob_sha"])
+    decoded = stage(stream.decode_blobs(distinct)) if store is None else kept.through(sides.sparkSession, store, distinct, stream.decode_blobs, f"layout {stream.VERSION}")
     t = stream.tables(decoded, tagged.select(F.col("side").alias("rev"), "path", "blob_sha"))
     of = lambda name, side: t[name].filter(F.col("rev") == side).drop("rev")
     bad = t["errors"].select("path").distinct()
@@ -158,7 +161,7 @@ def built_in() -> list[Driver]:
     def layouts(sides: DataFrame, keys: list[str], options: Options) -> tuple[DataFrame, DataFrame | None]:
         if sides.isEmpty():
             return sides.sparkSession.createDataFrame([], schematic_entries(sides, keys).select(*keys, *ENTRY).schema), None
-        return layout_entries(sides, keys, options.threshold_um2)
+        return layout_entries(sides, keys, options.threshold_um2, options.store)
 
     of = lambda name: lambda path: F.coalesce(P.driver_of(path) == name, F.lit(False))
     return [Driver("schematic", of("schematic"), lambda sides, keys, options: (schematic_entries(sides, keys), None), checked=True), Driver("layout", of("layout"), layouts, checked=True)]

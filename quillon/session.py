@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -59,3 +60,9 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()  # plans held by unreachable Python objects
     jvm.System.gc()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place for a table under the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

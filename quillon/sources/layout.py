@@ -21,6 +21,7 @@ HEADER, BGNLIB, LIBNAME, UNITS, ENDLIB, BGNSTR, STRNAME, ENDSTR = 0x00, 0x01, 0x
 BOUNDARY, PATH, SREF, AREF, TEXT, LAYER, DATATYPE, WIDTH = 0x08, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x0E, 0x0F
 XY, ENDEL, SNAME, COLROW, TEXTTYPE, STRING, STRANS, MAG, ANGLE, PATHTYPE, BOX, BOXTYPE = 0x10, 0x11, 0x12, 0x13, 0x16, 0x19, 0x1A, 0x1B, 0x1C, 0x21, 0x2D, 0x2E
 
+VERSION = 1  # of the decoded rows: a store of another version is not read
 POINT = "array<struct<x:double,y:double>>"
 SCHEMA = (
     "blob_sha string, kind string, cell string, ordinal long, layer int, datatype int, points " + POINT + ", "
