@@ -171,7 +171,15 @@ def timestamp_text(spark, d):
     return own.select("event_id", shown(F.col("s")).alias("shown"), shown(F.expr("if(event_id % 7 = 0, 0, s)")).alias("guarded"))
 
 
-@query()
+COUNTS_JSON = " || ".join(f"CASE WHEN {k} <> 0 THEN ',\"{k}\":' || {k} ELSE '' END" for k in KEYS)
+
+
+@query(f"""WITH {CHANGES}, k AS (SELECT *, {KIND_OF} FROM c), t AS (SELECT path, {CATEGORY} AS category, {COUNTS} FROM k GROUP BY path),
+n AS (SELECT path, CASE WHEN e = 1 THEN element[5:] ELSE element END AS element, CASE e WHEN 1 THEN 'net_' ELSE 'component_' END || CASE WHEN e = 0 AND kind = 'modified' AND contains(element, ' → ') THEN 'renamed' ELSE kind END AS kind FROM k WHERE NOT cosmetic AND e < 2),
+l AS (SELECT path, string_agg('{{"element":"' || element || '","kind":"' || kind || '","params":[]}}', ',' ORDER BY element, kind) AS s FROM n GROUP BY path),
+j AS (SELECT t.*, s, CASE WHEN path LIKE '%.sch' THEN 'schematic' WHEN path LIKE '%.GDS' THEN 'layout' ELSE 'unknown' END AS format, {COUNTS_JSON} AS counts FROM t LEFT JOIN l USING (path))
+SELECT '{{"schema":"status/v1","path":"' || path || '","format":"' || format || '","category":"' || CASE format WHEN 'unknown' THEN 'unknown' ELSE category END || '"'
+  || CASE WHEN counts = '' THEN '' ELSE ',"counts":{{' || counts[2:] || '}}' END || CASE WHEN s IS NULL THEN '' ELSE ',"details":[' || s || ']' END || '}}' AS json FROM j""")
 def json_status(spark, d):
     found = changes(spark, d)
     files = found.select("path", P.driver_of(F.col("path")).alias("format")).distinct()
