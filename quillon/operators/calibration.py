@@ -17,21 +17,20 @@ def nearest(points: DataFrame, ends: DataFrame, keys: list[str], radius: float =
     """(keys, px, py, x, y, distance): the nearest of ``ends`` (keys, x, y) nearer than ``radius`` to each distinct point (keys, px, py).
 
     Ties go to the smaller x, then y; a point without such an end gives no row, nor does one with a null.
-    Grids grow from a fine one by four to the radius: a point that meets an end within the side of a
-    square has found its nearest among nine squares, so crowded places are settled where squares hold few.
+    The reach grows by four to the radius: a point that meets an end within reach has found its
+    nearest among four squares, so crowded places are settled where squares hold few.
     """
     left = points.select(*keys, "px", "py").dropna().distinct()
     ends = stage(ends.select(*keys, "x", "y").dropna().distinct())
     found = None
     for level in range(levels - 1, -1, -1):
         side = radius / 4**level
-        square = lambda x, y: [F.floor(F.col(x) / side).alias("_i"), F.floor(F.col(y) / side).alias("_j")]  # noqa: E731, B023
-        around = F.array([F.lit(k) for k in (-1, 0, 1)])
-        asked = left.select("*", *square("px", "py")).withColumn("_di", F.explode(around)).withColumn("_dj", F.explode(around))
-        asked = asked.select(*keys, "px", "py", (F.col("_i") + F.col("_di")).alias("_i"), (F.col("_j") + F.col("_dj")).alias("_j"))
+        square = lambda c, off=0.0: F.floor((F.col(c) + off) / (2 * side))  # noqa: E731, B023
+        # squares of twice the reach: a point reaches into two of them on each axis
+        asked = left.withColumn("_i", F.explode(F.sequence(square("px", -side), square("px", side)))).withColumn("_j", F.explode(F.sequence(square("py", -side), square("py", side))))
         d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
         hit = F.when(d2 < side * side, F.struct(d2.alias("d2"), "x", "y"))
-        best = asked.join(ends.select("*", *square("x", "y")), [*keys, "_i", "_j"], "left").groupBy(*keys, "px", "py").agg(F.min(hit).alias("_b"))
+        best = asked.join(ends.select("*", square("x").alias("_i"), square("y").alias("_j")), [*keys, "_i", "_j"], "left").groupBy(*keys, "px", "py").agg(F.min(hit).alias("_b"))
         best = stage(best) if level else best
         own = best.filter("_b is not null").select(*keys, "px", "py", "_b.x", "_b.y", F.sqrt("_b.d2").alias("distance"))
         found = own if found is None else found.unionByName(own)
