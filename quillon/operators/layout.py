@@ -9,6 +9,8 @@ from ..functions import geometry as G
 from ..session import stage
 
 POINTS = "array<struct<x:double,y:double>>"
+#: Entries of a grid's lists up to which they go to every task.
+MOST_BROADCAST = 500_000
 
 
 # --- hierarchy ---------------------------------------------------------------
@@ -196,24 +198,41 @@ def reference_boxes(polygons: DataFrame, references: DataFrame, keys: list[str])
 def attribute(pieces: DataFrame, boxes: DataFrame, keys: list[str], piece_id: str) -> DataFrame:
     """Child of the smallest box that holds a piece's centre (ties by name), else null.
 
-    Boxes lie in grids of their own size: a box is in the grid whose step is the power of
-    two above its longer side, so in four cells at most, and one large box leaves the others'
-    cells as they are.  A piece looks into one cell of each grid that has a box;
-    there are no more grids than powers of two.
+    Boxes lie in grids of their own size: the step is an eighth of the power of two above a box's
+    longer side, so a box is in 81 cells at most, and one large box leaves the others' cells as they
+    are.  Of equal boxes the first by name is kept, and a cell's list ends at its first box that covers
+    the whole cell, so that lists do not grow with boxes on top of each other.  A piece looks
+    into one list of each grid and stays one row; there are no more grids than powers of two.
+    Pieces of one id share the best of their boxes.
     """
-    width, height = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
-    sized = boxes.withColumn("_level", F.ceil(F.log2(F.greatest(width, height, F.lit(2.0**-40)))).cast("int")).withColumn("_step", F.pow(F.lit(2.0), F.col("_level")))
-    levels = sorted(r[0] for r in sized.select("_level").distinct().collect() if r[0] is not None)
-    if not levels:
-        return pieces.withColumn("child", F.lit(None).cast("string"))
+    size = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
+    level = F.ceil(F.log2(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(2.0**-40)))).cast("int") - 3
+    sized = boxes.groupBy(*keys, *G.BOX).agg(F.min("child").alias("child")).withColumn("_level", level).withColumn("_step", F.pow(F.lit(2.0), F.col("_level")))
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("_step")), F.floor(F.col(hi) / F.col("_step"))))
-    spread = sized.withColumn("_tx", cells("min_x", "max_x")).withColumn("_ty", cells("min_y", "max_y"))
-    own = pieces.select(*keys, piece_id, "cx", "cy").withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumn("_step", F.pow(F.lit(2.0), F.col("_level")))
-    own = own.withColumn("_tx", F.floor(F.col("cx") / F.col("_step"))).withColumn("_ty", F.floor(F.col("cy") / F.col("_step"))).drop("_step")
-    hit = own.join(spread.select(*keys, "_level", "_tx", "_ty", "child", *G.BOX), [*keys, "_level", "_tx", "_ty"])
-    inside = hit.filter(F.col("cx").between(F.col("min_x"), F.col("max_x")) & F.col("cy").between(F.col("min_y"), F.col("max_y")))
-    best = inside.groupBy(*keys, piece_id).agg(F.min_by("child", F.struct((width * height).alias("s"), F.col("child").alias("c"))).alias("child"))
-    return pieces.join(best, [*keys, piece_id], "left")
+    spread = sized.filter("min_x <= max_x and min_y <= max_y").withColumn("_tx", cells("min_x", "max_x")).withColumn("_ty", cells("min_y", "max_y"))
+    spread = spread.withColumn("_box", F.struct(size.alias("s"), F.col("child").alias("c"), *G.BOX))
+    cell = [*keys, "_level", "_tx", "_ty"]
+    across = [F.col(f"min_{c}") <= F.col(f"_t{c}") * F.col("_step") for c in "xy"] + [F.col(f"max_{c}") >= (F.col(f"_t{c}") + 1) * F.col("_step") for c in "xy"]
+    whole = spread.filter(across[0] & across[1] & across[2] & across[3]).groupBy(*cell).agg(F.min("_box").alias("_whole"))
+    kept = spread.select(*cell, "_box").join(whole, cell, "left").filter("_whole is null or _box <= _whole")
+    lists = stage(kept.groupBy(*cell).agg(F.sort_array(F.collect_list("_box")).alias("_boxes")))
+    sizes = lists.groupBy("_level").agg(F.sum(F.size("_boxes"))).collect()
+    if not sizes:
+        return pieces.withColumn("child", F.lit(None).cast("string"))
+    few = sum(r[1] for r in sizes) <= MOST_BROADCAST
+    best = F.lit(None).cast(kept.schema["_box"].dataType)
+    own = pieces.withColumn("_best", best)
+    for k in sorted(r[0] for r in sizes):
+        grid = lists.filter(F.col("_level") == k).drop("_level")
+        own = own.withColumn("_tx", F.floor(F.col("cx") / 2.0**k)).withColumn("_ty", F.floor(F.col("cy") / 2.0**k))
+        own = own.join(F.broadcast(grid) if few else grid, [*keys, "_tx", "_ty"], "left")
+        holds = F.filter("_boxes", lambda b: F.col("cx").between(b["min_x"], b["max_x"]) & F.col("cy").between(b["min_y"], b["max_y"]))
+        own = own.withColumn("_best", F.least("_best", F.try_element_at(holds, F.lit(1)))).drop("_tx", "_ty", "_boxes")
+    # pieces without an id share nothing; they are dealt by their centres
+    alone = F.when(F.col(piece_id).isNull(), F.pmod(F.xxhash64("cx", "cy"), F.lit(4096)))
+    own = own.select(*pieces.columns, F.when(F.col(piece_id).isNotNull(), F.struct("_best.s", "_best.c")).alias("_best"), alone.alias("_alone"))
+    best = F.min(F.when(F.col("_best.c").isNotNull(), F.col("_best"))).over(Window.partitionBy(*keys, piece_id, "_alone"))
+    return own.withColumn("child", best["c"]).select(*pieces.columns, "child")
 
 
 def piece_metrics(pieces: DataFrame, keys: list[str], unit_um: Column | float = 1.0, threshold: float = 0.01) -> DataFrame:

@@ -171,6 +171,28 @@ def test_one_large_box_leaves_the_grid_of_the_others(spark):
         assert got[k] == (min(hits)[1] if hits else None)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_boxes_on_top_of_each_other_leave_lists_short(spark, monkeypatch, most):
+    rng = np.random.default_rng(4)
+    boxes = [(float(x), float(y), float(x + w), float(y + h), f"B{k:04d}") for k, (x, y, w, h) in enumerate(np.hstack([rng.integers(0, 20, (3000, 2)), rng.integers(17, 40, (3000, 2))]))]
+    boxes += [(*b[:4], f"A{b[4]}") for b in boxes[:50]]  # equal boxes: the first by name
+    pieces = [(k, float(x) / 2, float(y) / 2) for k, (x, y) in enumerate(rng.integers(-2, 120, (300, 2)))]
+    pieces += [(k, 12.0 + k, 12.0) for k in range(20)] + [(None, 12.0, 12.0), (None, 13.0, 12.0)]
+    kept = []
+    monkeypatch.setattr(L, "MOST_BROADCAST", most)
+    monkeypatch.setattr(L, "stage", lambda df, own=L.stage: kept.append(own(df)) or kept[-1])
+    found = L.attribute(spark.createDataFrame([(1, *p) for p in pieces], "g int, id long, cx double, cy double"), spark.createDataFrame([(1, *b) for b in boxes], "g int, min_x double, min_y double, max_x double, max_y double, child string"), ["g"], "id")
+    best = {}
+    for k, cx, cy in pieces:
+        hits = [((b[2] - b[0]) * (b[3] - b[1]), b[4]) for b in boxes if b[0] <= cx <= b[2] and b[1] <= cy <= b[3]]
+        if hits and k is not None:
+            best[k] = min(min(hits), best.get(k, min(hits)))
+    want = sorted((k if k is not None else -1, best[k][1] if k in best else "") for k, _, _ in pieces)
+    assert sorted((r["id"] if r["id"] is not None else -1, r["child"] or "") for r in found.collect()) == want
+    # 2,925 boxes hold the point (20, 20); a list stops where the cell is covered
+    assert kept and kept[0].agg(F.max(F.size("_boxes"))).first()[0] < 300
+
+
 def test_view_functions(spark):
     one = spark.range(1).select(F.struct(F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(10.0).alias("max_x"), F.lit(0.0).alias("max_y")).alias("b"), F.struct(F.lit(1.0).alias("pan_x"), F.lit(2.0).alias("pan_y"), F.lit(2.0).alias("scale")).alias("v"))
     row = one.select(G.view_box(F.col("b"), 5, 5).alias("s"), G.to_world(F.col("v"), G.to_screen(F.col("v"), F.lit(3.0), F.lit(4.0))["x"], F.lit(10.0)).alias("w"), G.zoom(F.col("v"), F.lit(0.0), F.lit(0.0), F.lit(-1.0)).alias("z"), F.size(G.arc(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(90.0))).alias("n")).first()
