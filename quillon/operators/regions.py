@@ -1,9 +1,10 @@
 """Booleans of polygon sets as whole regions, tile by tile.
 
 Polygons are dealt to square tiles, whose side is a power of two chosen by the density of
-each group; a tile of more than MOST_EDGES edges is quartered until it is not.  Only tiles
-whose geometry differs between the sides are swept.  A tile's sweep takes the tile's edges as
-lines of no weight, so that no polygon needs to be clipped beforehand.
+each group, and shuffled once.  Within its task a tile of more than MOST_EDGES edges is quartered until it
+is not, and its regions are joined again over the quarters; only a tile of more than MOST_TILE
+edges is quartered between tasks.  Only tiles whose geometry differs between the sides are swept.  A tile's
+sweep takes the tile's edges as lines of no weight, so that no polygon needs to be clipped beforehand.
 
 Within a tile the trapezoids of the sweep that share an edge are one region.  A region that
 ends at a tile's border leaves the stretch that it covers there; stretches of two tiles that
@@ -24,13 +25,16 @@ from pyspark.sql import types as T
 from ..functions import geometry as G
 from ..session import release, ship_package, stage
 
-#: Polygons that a tile holds on average, edges that it holds at most, and how often it is quartered.
+#: Polygons that a tile holds on average, edges that a sweep and a task's tile hold at most, and how often either is quartered.
 TILE_POLYGONS = 256
 MOST_EDGES = 4096
+MOST_TILE = 1 << 22
 QUARTERINGS = 8
 #: Lengths below this are no length.
 LEAST = 1e-7
 DECIMALS = 9
+#: Tiles up to which the list of those that differ goes to every task.
+MOST_BROADCAST = 500_000
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RING = T.ArrayType(POINT)
@@ -267,6 +271,104 @@ def tile_regions(edges: np.ndarray, tile: tuple[float, float, float, float], out
     return [(int(sign[k]), k, float(total[k]), tuple(float(b[k]) for b in box), seams[k], around[k]) for k in range(len(ids))]
 
 
+def distinct(points: np.ndarray, offsets: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the polygons without repetitions on a side, and for each what equal polygons of both sides share."""
+    size, known = np.diff(offsets), 0
+    kept, content = [], []
+    for n in np.unique(size):
+        own = np.flatnonzero(size == n)
+        rows = np.ascontiguousarray(points[offsets[own][:, None] + np.arange(n)].reshape(len(own), 2 * n))
+        code = np.unique(rows.view(np.dtype((np.void, rows.itemsize * 2 * n))).ravel(), return_inverse=True)[1].ravel()
+        first = np.unique(code * 2 + side[own], return_index=True)[1]
+        kept.append(own[first])
+        content.append(code[first] + known)
+        known += int(code.max()) + 1
+    return np.concatenate(kept), np.concatenate(content)
+
+
+def outermost(points: np.ndarray, offsets: np.ndarray, box: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Those of one side's polygons that cover what all cover: of rectangles that share three sides the longest.
+
+    Only where all are upright rectangles that turn the same way; else windings could cancel, and all are kept.
+    """
+    if not len(which) or np.any(offsets[which + 1] - offsets[which] != 4):
+        return which
+    p = points[offsets[which][:, None] + np.arange(4)]
+    q = np.roll(p, -1, axis=1)
+    still = p == q
+    along, next_ = p[:, 1] - p[:, 0], p[:, 2] - p[:, 1]
+    turn = along[:, 0] * next_[:, 1] - along[:, 1] * next_[:, 0]
+    upright = np.all(still[:, 0] == still[:, 2]) and np.all(still[:, 1] == still[:, 3]) and np.all(still.sum(axis=2) == 1) and np.all(still[:, 0, 0] != still[:, 1, 0])
+    if not upright or not (np.all(turn > 0) or np.all(turn < 0)):
+        return which
+    for free, sign in ((3, -1), (2, -1), (1, 1), (0, 1)):
+        b = box[which]
+        same = [b[:, k] for k in range(4) if k != free]
+        order = np.lexsort((sign * b[:, free], *same))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in same], axis=0)
+        which = which[order[fresh]]
+    return which
+
+
+def swept(points: np.ndarray, offsets: np.ndarray, side: np.ndarray, tile: tuple[float, float, float, float], most: int, outlines: bool) -> list[tuple]:
+    """Regions of a tile as ``tile_regions`` gives them, swept by quarters of at most ``most`` edges."""
+    points = points + 0.0  # no negative zeros
+    kept, content = distinct(points, offsets, side)
+    size = np.diff(offsets)
+    box = np.hstack([np.minimum.reduceat(points, offsets[:-1]), np.maximum.reduceat(points, offsets[:-1])])
+    code = np.zeros(len(size), np.int64)
+    code[kept] = content
+    a, b = kept[side[kept] == 0], kept[side[kept] == 1]
+    if len(a) == len(b) and np.array_equal(np.sort(code[a]), np.sort(code[b])):
+        return []
+    kept = np.concatenate([outermost(points, offsets, box, a), outermost(points, offsets, box, b)])
+    found: list[tuple] = []
+    todo = [(kept, tile, 0)]
+    while todo:
+        own, (x0, y0, x1, y1), turn = todo.pop()
+        lo, hi = box[own, :2], box[own, 2:]
+        own = own[(lo[:, 0] < x1) & ((hi[:, 0] > x0) | (lo[:, 0] >= x0)) & (lo[:, 1] < y1) & ((hi[:, 1] > y0) | (lo[:, 1] >= y0))]
+        right = side[own] == 1
+        if np.array_equal(np.sort(code[own[right]]), np.sort(code[own[~right]])):
+            continue
+        if size[own].sum() > most and turn < QUARTERINGS:
+            x, y = (x0 + x1) / 2, (y0 + y1) / 2
+            todo += [(own, t, turn + 1) for t in ((x0, y0, x, y), (x, y0, x1, y), (x0, y, x, y1), (x, y, x1, y1))]
+            continue
+        starts = np.concatenate([[0], np.cumsum(size[own])])
+        place = np.repeat(offsets[own] - starts[:-1], size[own]) + np.arange(starts[-1])
+        found += tile_regions(edges_of(points[place], starts, side[own]), (x0, y0, x1, y1), outlines)
+    return joined(found, tile)
+
+
+def joined(found: list[tuple], tile: tuple[float, float, float, float]) -> list[tuple]:
+    """Regions of quarters, those whose stretches overlap made one; only stretches on the tile's own border stay."""
+    ends = {(0, tile[0]), (0, tile[2]), (1, tile[1]), (1, tile[3])}
+    lines: dict[tuple[int, int, float], tuple[list, list]] = {}
+    for k, r in enumerate(found):
+        for axis, at, low, high, far in r[4]:
+            if (axis, at) not in ends:
+                lines.setdefault((r[0], axis, at), ([], []))[far].append((low, high, k))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for near, far in lines.values():
+        if not near or not far:
+            continue
+        n, f = np.array(sorted(near)), np.array(sorted(far))
+        first = np.searchsorted(n[:, 1], f[:, 0] + LEAST, "right")
+        count = np.maximum(np.searchsorted(n[:, 0], f[:, 1] - LEAST, "left") - first, 0)
+        left.append(np.repeat(f[:, 2], count).astype(np.int64))
+        right.append(n[np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()), 2].astype(np.int64))
+    whole: dict[int, list[tuple]] = {}
+    for root, r in zip(labels(len(found), np.concatenate(left), np.concatenate(right)).tolist(), found, strict=True):
+        whole.setdefault(root, []).append(r)
+    out = []
+    for k, own in enumerate(whole.values()):
+        box = tuple(f(r[3][c] for r in own) for c, f in enumerate((min, min, max, max)))
+        out.append((own[0][0], k, sum(r[2] for r in own), box, [s for r in own for s in r[4] if s[:2] in ends], [e for r in own for e in r[5]]))
+    return out
+
+
 # --- tiles of a table ------------------------------------------------------------
 def tiled(polygons: DataFrame) -> DataFrame:
     """A row for each tile (_tx, _ty of side _size) that a polygon's box meets."""
@@ -287,9 +389,9 @@ def tile_sizes(polygons: DataFrame, keys: list[str], tile: float | None) -> Data
 
 
 def differing_tiles(a: DataFrame, b: DataFrame, keys: list[str], tile: float | None) -> DataFrame:
-    """Polygons of both sides by tile, of the tiles where the sides differ and that are small enough to sweep.
+    """Polygons of both sides by tile, of the tiles where the sides differ and that are small enough for a task.
 
-    A polygon that stands several times on a side counts once.
+    Their points are laid end to end as _xy.  Only polygons of tiles too large for a task are written between rounds.
     """
     both = a.select(*keys, "points", F.lit(0).alias("_side")).unionByName(b.select(*keys, "points", F.lit(1).alias("_side"))).filter(F.size("points") > 2)
     todo = tiled(tile_sizes(both, keys, tile).withColumn("_base", F.col("_size")))
@@ -297,14 +399,16 @@ def differing_tiles(a: DataFrame, b: DataFrame, keys: list[str], tile: float | N
     digest = lambda s: F.sum(F.when(F.col("_side") == s, F.xxhash64("points").cast("decimal(38,0)")).otherwise(0))
     for turn in range(QUARTERINGS + 1):
         found = stage(todo.groupBy(*group).agg(digest(0).alias("_a"), digest(1).alias("_b"), F.sum(F.size("points")).alias("_edges")).filter("_a <> _b").select(*group, "_edges"))
-        crowded = found.filter(F.col("_edges") > MOST_EDGES).drop("_edges")
-        last = turn == QUARTERINGS or crowded.isEmpty()
-        fit = found if last else found.filter(F.col("_edges") <= MOST_EDGES)
-        own = todo.join(fit.select(*group), group, "left_semi").dropDuplicates([*group, "_side", "points"])
+        tiles, crowds = found.agg(F.count("*"), F.count(F.when(F.col("_edges") > MOST_TILE, 1))).first()
+        few = F.broadcast if tiles <= MOST_BROADCAST else lambda df: df
+        last = turn == QUARTERINGS or not crowds
+        fit = found if last else found.filter(F.col("_edges") <= MOST_TILE)
+        xy = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"]))).alias("_xy")
+        own = todo.join(few(fit.select(*group)), group, "left_semi").select(*group, "_side", xy)
         done = own if done is None else done.unionByName(own)
         if last:
             return done
-        halves = todo.join(crowded, group, "left_semi").dropDuplicates([*group, "_side", "points"]).withColumnsRenamed({"_tx": "_px", "_ty": "_py"}).withColumn("_size", F.col("_size") / 2)
+        halves = todo.join(few(found.filter(F.col("_edges") > MOST_TILE).select(*group)), group, "left_semi").withColumnsRenamed({"_tx": "_px", "_ty": "_py"}).withColumn("_size", F.col("_size") / 2)
         todo = stage(tiled(halves).filter("floor(_tx / 2) = _px and floor(_ty / 2) = _py").drop("_px", "_py"))
     raise AssertionError
 
@@ -324,13 +428,14 @@ def xor(a: DataFrame, b: DataFrame, keys: list[str], tile: float | None = None,
     kinds = pa.struct([("axis", pa.int32()), ("at", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("far", pa.bool_())])
     lines = pa.struct([(k, pa.float64()) for k in ("x1", "y1", "x2", "y2")])
 
+    most = MOST_EDGES
+
     def work(table: pa.Table) -> pa.Table:
-        points = table["points"].combine_chunks()
-        offsets = np.concatenate([[0], np.cumsum(points.value_lengths().to_numpy(zero_copy_only=False))])
-        flat = points.flatten()
-        xy = np.stack([flat.field("x").to_numpy(zero_copy_only=False), flat.field("y").to_numpy(zero_copy_only=False)], axis=1)
+        flat = table["_xy"].combine_chunks()
+        offsets = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))]) // 2
+        xy = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
         size, tx, ty = (table[c][0].as_py() for c in ("_size", "_tx", "_ty"))
-        found = tile_regions(edges_of(xy, offsets, table["_side"].to_numpy()), (tx * size, ty * size, (tx + 1) * size, (ty + 1) * size), outlines)
+        found = swept(xy, offsets, table["_side"].to_numpy(), (tx * size, ty * size, (tx + 1) * size, (ty + 1) * size), most, outlines)
         name = f"{size:g}/{tx}/{ty}/"
         columns = [table[k].combine_chunks().take(pa.array(np.zeros(len(found), np.int64))) for k in group]
         columns += [pa.array(["added" if r[0] > 0 else "removed" for r in found], pa.string()), pa.array([name + str(r[1]) for r in found], pa.string()), pa.array([r[2] for r in found], pa.float64())]

@@ -127,3 +127,37 @@ def test_layer_regions_query(spark, tmp_path):
             want[key] = (len(parts_of(added)), len(parts_of(removed)), float(added.sum()), float(removed.sum()))
     got = {(r["cell"], r["layer"]): (r["added_polygons"], r["removed_polygons"], r["added_area"], r["removed_area"]) for r in catalogue.queries()["layer_regions"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_crowded_tiles_are_quartered_within_their_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sides = {k: [(g, rect(x, y, x + w, y + h)) for g in (1, 2) for x, y, w, h in rng.integers(1, 12, (150, 4)).tolist()] for k in "ab"}
+    # in group 2 some turn the other way, so that windings cancel
+    sides["b"] += [(2, rect(x, y, x + w, y + h)[::-1]) for x, y, w, h in rng.integers(1, 18, (8, 4)).tolist()]
+    sides["b"] += [(1, rect(x, y, x + w, y + h)) for x, y, w, h in rng.integers(1, 18, (60, 4)).tolist()]
+    sides["a"] += sides["a"][:20]
+    staged = []
+    monkeypatch.setattr(R, "MOST_EDGES", 24)
+    monkeypatch.setattr(R, "stage", lambda df, own=R.stage: staged.append(df.columns) or own(df))
+    found = R.xor(table(spark, sides["a"]), table(spark, sides["b"]), ["g"], 32.0).collect()
+    for g in (1, 2):
+        mask = {}
+        for k, rows in sides.items():
+            once = {tuple((q["x"], q["y"]) for q in p): p for i, p in rows if i == g}
+            mask[k] = sum(filled(p) for p in once.values()) != 0
+        for side, own in (("added", mask["b"] & ~mask["a"]), ("removed", mask["a"] & ~mask["b"])):
+            want = sorted((min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p) + 1, max(y for _, y in p) + 1, len(p)) for p in parts_of(own))
+            assert sorted((r["min_x"], r["min_y"], r["max_x"], r["max_y"], round(r["area"], 6)) for r in found if r["g"] == g and r["side"] == side) == want
+    # polygons of a tile that a task holds are not written between rounds
+    assert not any({"points", "_xy"} & set(c) for c in staged)
+
+
+def test_rectangles_under_longer_ones_are_left_out():
+    def kept(*rings):
+        points = np.array([[(p["x"], p["y"]) for p in r] for r in rings]).reshape(-1, 2)
+        box = np.array([[*np.min(x, axis=0), *np.max(x, axis=0)] for x in points.reshape(-1, 4, 2)])
+        return sorted(R.outermost(points, np.arange(0, len(points) + 1, 4), box, np.arange(len(rings))).tolist())
+
+    assert kept(rect(0, 0, 4, 2), rect(0, 0, 9, 2), rect(0, 0, 9, 1), rect(1, 0, 10, 2), rect(3, 0, 9, 2)) == [1, 3]
+    assert kept(rect(0, 0, 4, 2), rect(0, 0, 9, 2)[::-1]) == [0, 1]
+    assert kept(rect(0, 0, 4, 2), ring((0, 0), (9, 0), (9, 2), (0, 3))) == [0, 1]
