@@ -161,3 +161,20 @@ def test_rectangles_under_longer_ones_are_left_out():
     assert kept(rect(0, 0, 4, 2), rect(0, 0, 9, 2), rect(0, 0, 9, 1), rect(1, 0, 10, 2), rect(3, 0, 9, 2)) == [1, 3]
     assert kept(rect(0, 0, 4, 2), rect(0, 0, 9, 2)[::-1]) == [0, 1]
     assert kept(rect(0, 0, 4, 2), ring((0, 0), (9, 0), (9, 2), (0, 3))) == [0, 1]
+
+
+def test_layer_regions_writes_no_polygons(spark, tmp_path, monkeypatch):
+    from quillon.plans import catalogue
+
+    rng = np.random.default_rng(7)
+    lines = [(50 * int(o) + 1, 1, int(p), int(q), float(rng.integers(1, 51)), "A") for o, p, q in rng.integers(0, 30, (300, 3))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    mask = np.zeros((60, 420), bool)
+    for order, _, part, supp, quantity, _ in lines:
+        mask[part : part + 1 + supp % 20, order % 400 : order % 400 + 1 + int(quantity) % 15] = True
+    staged = []
+    monkeypatch.setattr(R, "MOST_EDGES", 24)
+    monkeypatch.setattr(R, "stage", lambda df, own=R.stage: staged.append(df.columns) or own(df))
+    row = catalogue.queries()["layer_regions"](spark, str(tmp_path)).first()
+    assert (row["added_polygons"], row["removed_polygons"], row["added_area"]) == (len(parts_of(mask)), 0, float(mask.sum()))
+    assert not any({"points", "_xy"} & set(c) for c in staged)
