@@ -178,3 +178,10 @@ def test_layer_regions_writes_no_polygons(spark, tmp_path, monkeypatch):
     row = catalogue.queries()["layer_regions"](spark, str(tmp_path)).first()
     assert (row["added_polygons"], row["removed_polygons"], row["added_area"]) == (len(parts_of(mask)), 0, float(mask.sum()))
     assert not any({"points", "_xy"} & set(c) for c in staged)
+
+
+def test_tiles_too_large_for_a_task(spark, monkeypatch):
+    rows = table(spark, [(1, rect(*b)) for b in ((0, 0, 12, 3), (2, 1, 9, 11), (20, 20, 25, 30), (21, 5, 28, 9), (7, 7, 23, 8))]).coalesce(1)
+    monkeypatch.setattr(R, "MOST_TILE", 16)
+    found = R.xor(rows.limit(0), rows, ["g"], 32.0).collect()
+    assert sorted((r["area"], r["min_x"], r["max_x"]) for r in found) == [(50.0, 20.0, 25.0), (132.0, 0.0, 28.0)]
