@@ -391,7 +391,7 @@ def tile_sizes(polygons: DataFrame, keys: list[str], tile: float | None) -> Data
 def differing_tiles(a: DataFrame, b: DataFrame, keys: list[str], tile: float | None) -> DataFrame:
     """Polygons of both sides by tile, of the tiles where the sides differ and that are small enough for a task.
 
-    Their points are laid end to end as _xy.  Only polygons of tiles too large for a task are written between rounds.
+    Their points are laid end to end as _xy.  Rounds of quartering read the polygons again; only lists of tiles are written.
     """
     both = a.select(*keys, "points", F.lit(0).alias("_side")).unionByName(b.select(*keys, "points", F.lit(1).alias("_side"))).filter(F.size("points") > 2)
     todo = tiled(tile_sizes(both, keys, tile).withColumn("_base", F.col("_size")))
@@ -404,12 +404,16 @@ def differing_tiles(a: DataFrame, b: DataFrame, keys: list[str], tile: float | N
         last = turn == QUARTERINGS or not crowds
         fit = found if last else found.filter(F.col("_edges") <= MOST_TILE)
         xy = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"]))).alias("_xy")
-        own = todo.join(few(fit.select(*group)), group, "left_semi").select(*group, "_side", xy)
-        done = own if done is None else done.unionByName(own)
+        if last or tiles > crowds:
+            own = todo.join(few(fit.select(*group)), group, "left_semi").select(*group, "_side", xy)
+            done = own if done is None else done.unionByName(own)
         if last:
             return done
-        halves = todo.join(few(found.filter(F.col("_edges") > MOST_TILE).select(*group)), group, "left_semi").withColumnsRenamed({"_tx": "_px", "_ty": "_py"}).withColumn("_size", F.col("_size") / 2)
-        todo = stage(tiled(halves).filter("floor(_tx / 2) = _px and floor(_ty / 2) = _py").drop("_px", "_py"))
+        # each of these tiles has more than MOST_TILE edges, so they are few
+        large = found.filter(F.col("_edges") > MOST_TILE).select(*group)
+        large = F.broadcast(large) if crowds <= MOST_BROADCAST else large
+        halves = todo.join(large, group, "left_semi").withColumnsRenamed({"_tx": "_px", "_ty": "_py"}).withColumn("_size", F.col("_size") / 2)
+        todo = tiled(halves).filter("floor(_tx / 2) = _px and floor(_ty / 2) = _py").drop("_px", "_py")
     raise AssertionError
 
 

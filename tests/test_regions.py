@@ -185,3 +185,19 @@ def test_tiles_too_large_for_a_task(spark, monkeypatch):
     monkeypatch.setattr(R, "MOST_TILE", 16)
     found = R.xor(rows.limit(0), rows, ["g"], 32.0).collect()
     assert sorted((r["area"], r["min_x"], r["max_x"]) for r in found) == [(50.0, 20.0, 25.0), (132.0, 0.0, 28.0)]
+
+
+def test_rounds_of_quartering_write_no_polygons(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    sides = {k: [(g, rect(x, y, x + w, y + h)) for g in (1, 2) for x, y, w, h in zip(*rng.integers(1, 33, (2, 40)).tolist(), *rng.integers(1, 5, (2, 40)).tolist())] for k in "ab"}
+    staged = []
+    monkeypatch.setattr(R, "MOST_TILE", 200)
+    monkeypatch.setattr(R, "stage", lambda df, own=R.stage: staged.append(df.columns) or own(df))
+    found = R.xor(table(spark, sides["a"]).coalesce(1), table(spark, sides["b"]).coalesce(1), ["g"], 64.0).collect()
+    for g in (1, 2):
+        mask = {k: np.any([filled(p) != 0 for i, p in rows if i == g], axis=0) for k, rows in sides.items()}
+        for side, own in (("added", mask["b"] & ~mask["a"]), ("removed", mask["a"] & ~mask["b"])):
+            want = sorted((min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p) + 1, max(y for _, y in p) + 1, len(p)) for p in parts_of(own))
+            assert sorted((r["min_x"], r["min_y"], r["max_x"], r["max_y"], round(r["area"], 6)) for r in found if r["g"] == g and r["side"] == side) == want
+    assert sum("_edges" in c for c in staged) > 1  # tiles were quartered between tasks
+    assert not any({"points", "_xy"} & set(c) for c in staged)
